@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage, for the registry at the repository's top."""
 
-from . import packing, pii, sharding, token_counts, token_files, toxicity
+from . import packing, pii, sharding, substring_dedup, token_counts, token_files, toxicity
 
-MODULES = (pii, sharding, packing, toxicity, token_counts, token_files)
+MODULES = (pii, sharding, substring_dedup, packing, toxicity, token_counts, token_files)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
