@@ -83,7 +83,7 @@ def cut_documents(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocab, spaced=True)
+        encoder = PieceEncoder.shared(vocab, spaced=True)
         for batch in batches:
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -51,7 +51,7 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int = END_ID) -> bytes
         return b""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples = PieceEncoder(vocab, spaced=False), []
+        encoder, samples = PieceEncoder.shared(vocab, spaced=False), []
         for batch in batches:
             samples += [ids.tobytes() for ids in encode_ids(encoder, batch.column(0).to_pylist(), end_id)]
         try:
@@ -85,7 +85,7 @@ def write_token_files(docs: DataFrame, uri: str, vocab: str | None = None, end_i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, fs_, encoder = TaskContext.get().partitionId(), open_fs(uri)[0], PieceEncoder(vocab, spaced=False)
+        shard, fs_, encoder = TaskContext.get().partitionId(), open_fs(uri)[0], PieceEncoder.shared(vocab, spaced=False)
         zd = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zd, write_dict_id=False)
         name, draft = f"shard-{shard:06d}.tidz", f"{root}/.{uuid.uuid4().hex}"

@@ -2,19 +2,23 @@
 
 Encoding whole texts costs about half a CPU second a MB. Both vocabularies cut a text into pre-tokens before
 merging, and a cut is certain where a single space stands between two non-space characters. So a text is cut
-there, each distinct piece is encoded once by the library, and the ids are remembered up to a limit. A text
-with other white space, or with what may be a special token, goes to the library whole.
+there, each distinct piece is encoded once by the library, and the ids are remembered up to a limit; a new piece
+that ends in punctuation after a letter or digit is two pre-tokens, looked up apart. A text with other white space,
+or with what may be a special token, goes to the library whole. A worker keeps its encoder between tasks.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
-PIECE_LIMIT = 300_000
+PIECE_LIMIT, GROUP = 500_000, 250
+#: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +27,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Generation:
+    """Remembers up to two times PIECE_LIMIT entries; those used lately stay."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+
+class Memo(Generation):
+    def __init__(self) -> None:
+        super().__init__()
+        self.cores = Generation()
+
+    def missing(self, words: set[str], where: Generation | None = None) -> list[str]:
+        """Those not remembered; the others are in `young` afterwards."""
+        g = where or self
+        new = [w for w in words if w not in g.young]  # set operations with a dict's keys walk the whole dict
+        if len(g.young) + len(new) > PIECE_LIMIT:
+            g.old, g.young = g.young, {}
+            new = list(words)
+        g.young.update((w, g.old[w]) for w in new if w in g.old)
+        return [w for w in new if w not in g.young]
+
+
 class PieceEncoder:
     """encode(texts) -> one uint32 array of ids per text, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -34,8 +62,16 @@ class PieceEncoder:
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.mark = os.path.commonprefix([str(t) for t in self.tokenizer.get_added_tokens_decoder().values()])[:2]
         assert self.mark.lower() == self.mark.upper() != "", "special tokens must share a start without letters"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if not spaced else {}
+        self.marks: dict[str, bytes] = {}
+        self.first, self.later = Memo(), Memo()
+        if not spaced:
+            self.later = self.first
+
+    @classmethod
+    def shared(cls, path: str, spaced: bool) -> PieceEncoder:
+        if (path, spaced) not in _encoders:
+            _encoders[path, spaced] = cls(path, spaced)
+        return _encoders[path, spaced]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -44,30 +80,47 @@ class PieceEncoder:
         """Every white space is one space or line end between other characters, and no special token can match."""
         return bool(text) and self.mark not in text and " ".join(text.split()) == text.replace("\n", " ")
 
-    def learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > PIECE_LIMIT:
-            memo.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([lead + w for w in new], add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+    def learn(self, memo: Memo, words: set[str], lead: str) -> None:
+        """Make `memo` hold all `words`, with the ids of lead + word."""
+        tails, whole = {}, []
+        for w in memo.missing(words):
+            core = w.rstrip(PUNCTUATION)
+            if core and core != w and core[-1].isalnum():
+                tails[w] = core
+            else:
+                whole.append(w)
+        cores = memo.missing(set(tails.values()), memo.cores)
+        for w, ids in zip(cores, self.library([lead + w for w in cores])):
+            memo.cores.young[w] = ids
+        marks = [m for m in {w[len(c) :] for w, c in tails.items()} if m not in self.marks]
+        self.marks.update(zip(marks, self.library(marks)))
+        for w, ids in zip(whole, self.library([lead + w for w in whole])):
+            memo.young[w] = ids
+        for w, core in tails.items():
+            memo.young[w] = memo.cores.young[core] + self.marks[w[len(core) :]]
+        if len(self.marks) > PIECE_LIMIT:
+            self.marks.clear()
+
+    def library(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
     def joined(self, lines: list[list[str]]) -> bytes:
-        first, later = self.first.__getitem__, self.later.__getitem__
+        first, later = self.first.young.__getitem__, self.later.young.__getitem__
         return first("\n").join([b"".join((first(p[0]), *map(later, p[1:]))) for p in lines])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if not self.plain(text):
-                yield self.whole(text)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            try:
-                ids = self.joined(lines)
-            except KeyError:
-                heads, tails = {p[0] for p in lines} | {"\n"}, set(chain.from_iterable(p[1:] for p in lines))
-                if self.spaced:
-                    self.learn(self.later, tails, " ")
-                self.learn(self.first, heads if self.spaced else heads | tails, "")
-                ids = self.joined(lines)
-            yield np.frombuffer(ids, "<u4")
+        for at in range(0, len(texts), GROUP):
+            group = [[line.split(" ") for line in t.split("\n")] if self.plain(t) else t for t in texts[at : at + GROUP]]
+            heads, tails = {"\n"}, set()
+            for lines in group:
+                if isinstance(lines, list):
+                    for p in lines:
+                        heads.add(p[0])
+                        tails.update(p[1:])
+            if self.spaced:
+                self.learn(self.later, tails, " ")
+                self.learn(self.first, heads, "")
+            else:
+                self.learn(self.first, heads | tails, "")
+            for lines in group:
+                yield np.frombuffer(self.joined(lines), "<u4") if isinstance(lines, list) else self.whole(lines)
