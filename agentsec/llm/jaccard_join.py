@@ -12,7 +12,8 @@ n - ceil(3n/4) + 1 of each (the larger set), and of the smaller set one of the f
 3. Prefix tokens under the first order go to hash buckets; a bucket lists pairs of *different* components that
    share a token and fit in size. A component with many documents on one token in a chunk is sent as one
    mark; if another component has that token too, its documents are joined by Spark on that token.
-4. A pair must also share prefix tokens under the other orders; what is left is verified on the whole sets.
+4. Sketches of the sets, counts in hash cells, drop pairs that cannot overlap enough. A pair must then share prefix
+   tokens under the other orders too; what is left is verified on the whole sets.
 
 No link is lost: a pair left out is in one component already. No bucket lists pairs inside a component, so rows
 don't grow with the square of a group of copies.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import join_small, materialize, table
 from .components import connected_components
 from .substring_dedup import _table, pack, split_by, squeeze, top_bits, unpack, unsqueeze
-from .words import LOWER, WordHashes, mix, shingles
+from .words import mix, row_shingles
 
 SHINGLE, STARS, ORDERS, SLOT_BITS = 5, 4, 3, 16
 #: Rows of a component on one token in a chunk above which they travel as one mark; rows of a token above which Spark joins them.
@@ -42,10 +43,6 @@ HOT, GROUP = 8, 1500
 CHUNK, BUCKET_ROWS, PARTNERS = 1_000_000, 500_000, 400
 
 
-def shingle_set(text: str | None, memo: WordHashes) -> np.ndarray:
-    return shingles(memo.of((text or "").encode(errors="surrogatepass").translate(LOWER).split()), SHINGLE)
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 75 * (len(a) + len(b) - both) > 0
@@ -67,26 +64,43 @@ def index_length(n: np.ndarray) -> np.ndarray:
     return n - (6 * n + 6) // 7 + 1
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in about half as many hash cells, 255 for more; an upper bound of any overlap."""
+    bits = max(3, int(len(s)).bit_length() - 1)
+    cells = np.bincount(((s >> np.uint64(8)) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """False only where the sketches show that the sets overlap too little."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    full = bool((x == 255).any() or (y == 255).any())
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return full or 7 * int(np.minimum(x, y).sum()) >= 3 * (n_a + n_b)
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """(kind, a, b, digest, mins): kind 0 a document (id, set size, set digest, minhashes), kind 1 a slot and its count."""
-    fields = [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary()), ("mins", pa.list_(pa.int64()))]
+    """(kind, a, b, digest, mins, sketch): kind 0 a document (id, set size, set digest, minhashes), kind 1 a slot and its count."""
+    fields = [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary()), ("mins", pa.list_(pa.int64())), ("sketch", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, slots = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64)
+        slots = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingle_set(text, memo)
-                slots += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots)) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(slots, (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+            rows, slot_parts = [], []
+            for doc_id, s in zip(batch.column(0).to_pylist(), row_shingles(batch.column(1))):
+                slot_parts.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.uint16))
                 mins = [int(mix(s, 50 + k).min().astype(np.int64)) for k in range(STARS)] if len(s) else None
-                rows.append((0, doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, mins))
-            yield from _table(rows, fields).to_batches()
+                rows.append((0, doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, mins, sketch(s) if len(s) else None))
+            if rows:
+                slots += np.bincount(np.concatenate(slot_parts), minlength=len(slots))
+                yield from _table(rows, fields).to_batches()
         at = np.flatnonzero(slots)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(slots[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.int64()))], names=[f for f, _ in fields])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(slots[at]), *(pa.nulls(len(at), t) for _, t in fields[3:])], names=[f for f, _ in fields])
 
-    return docs.mapInArrow(run, "kind int, a long, b long, digest binary, mins array<long>")
+    return docs.mapInArrow(run, "kind int, a long, b long, digest binary, mins array<long>, sketch binary")
 
 
 def frequency_levels(profiles: DataFrame) -> np.ndarray:
@@ -108,12 +122,26 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return pairs.filter(fits).select(F.col("end.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, levels: np.ndarray | None) -> DataFrame:
+def count_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The (a, b) of `pairs` whose sketches allow a link; no text is read."""
+    known = classes.select("rep", "n", "sketch")
+    both = pairs.join(known.toDF("a", "n_a", "s_a"), "a").join(known.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, s_a, s_b = (c.to_pylist() for c in batch.columns[2:])
+            keep = pa.array([may_link(*x) for x in zip(s_a, s_b, n_a, n_b)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, levels: np.ndarray | None) -> DataFrame:
     """The (a, b) of `pairs` that link. Each `a` meets its partners in a stream, its text sent once for some hundreds of them.
 
     levels: if given, pairs must first share prefix tokens under orders 1 and up.
     """
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(count_filter(pairs, classes), "pairs")
     n = pairs.count()
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
     salted = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / PARTNERS)).cast("int").alias("salt"))
@@ -122,11 +150,10 @@ def verify(docs: DataFrame, pairs: DataFrame, levels: np.ndarray | None) -> Data
     rows = rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "part", "id").select("a", "salt", "part", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, key, lead, fronts = WordHashes(), None, None, []
+        key, lead, fronts = None, None, []
         for batch in batches:
             out = []
-            for a, salt, part, b, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingle_set(text, memo)
+            for a, salt, part, b, s in zip(*(c.to_pylist() for c in batch.columns[:4]), row_shingles(batch.column(4))):
                 if part == 0:
                     if key != (a, salt):
                         key, lead = (a, salt), s
@@ -145,18 +172,16 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(token, doc, comp, n, idx) under order 0 of `docs` (doc_id, text, comp); idx: a smaller set must meet here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            for token, doc, comp, n, idx in _prefixes(batch, memo, levels):
+            for token, doc, comp, n, idx in _prefixes(batch, levels):
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(comp), pa.array(n), pa.array(idx)], names=["token", "doc", "comp", "n", "idx"])
 
     return docs.mapInArrow(run, "token long, doc long, comp long, n long, idx boolean")
 
 
-def _prefixes(batch: pa.RecordBatch, memo: WordHashes, levels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _prefixes(batch: pa.RecordBatch, levels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     tokens, ids, comps, sizes = [], [], [], []
-    for doc_id, text, comp in zip(*(c.to_pylist() for c in batch.columns)):
-        s = shingle_set(text, memo)
+    for doc_id, s, comp in zip(batch.column(0).to_pylist(), row_shingles(batch.column(1)), batch.column(2).to_pylist()):
         if len(s):
             tokens.append(prefix(s, levels, 0))
             ids.append(doc_id)
@@ -188,9 +213,9 @@ def candidate_pairs(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["bucket", "blob"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, parts, rows = WordHashes(), [], 0
+        parts, rows = [], 0
         for batch in batches:
-            for part in _prefixes(batch, memo, levels):
+            for part in _prefixes(batch, levels):
                 parts.append(part)
                 rows += len(part[0])
             if rows >= CHUNK:
@@ -243,11 +268,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(profile(docs), "profiles")
     levels = frequency_levels(profiles)
-    rows = profiles.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "digest", "mins")
+    rows = profiles.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "digest", "mins", "sketch")
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "classes")
 
-    stars = verify(docs, star_pairs(classes), None)
+    stars = verify(docs, star_pairs(classes), classes, None)
     comps = materialize(connected_components(stars), "comps")
 
     # what is known of a document beyond itself: a copy isn't a representative, a linked one has a component
@@ -262,11 +287,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     n_tokens = tokens.count()
     if n_tokens:
         pairs = pairs.union(joined_pairs(prefix_rows(reps, levels), tokens, n_tokens))
-    links = stars.union(verify(docs, pairs.distinct(), levels))
+    links = stars.union(verify(docs, pairs.distinct(), classes, levels))
 
     final = connected_components(links).withColumnsRenamed({"node": "rep", "component": "component_id"})
     whole = classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.join(whole, "digest", "left")
+    out = rows.select("doc_id", "n", "digest").join(whole, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

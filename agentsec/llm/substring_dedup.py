@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
-from .words import WordHashes, grams, mix
+from .words import mix, row_grams
 
 WINDOW, CHUNK, BUCKET_WINDOWS = 13, 1_500_000, 1_000_000
 
@@ -113,10 +113,9 @@ def edges(docs: DataFrame, bits: int, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, hs, ids, n = WordHashes(), [], [], 0
+        hs, ids, n = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = grams(memo.of(text.encode(errors="surrogatepass").split()), window)
+            for doc_id, g in zip(batch.column(0).to_pylist(), row_grams(batch.column(1), window)):
                 if len(g):
                     hs.append(g)
                     ids.append(doc_id)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import PLAIN, WordHashes, mix
+from .words import PLAIN, hashed, mix
 
 BITS, SAMPLE_ROWS, EPOCHS, THRESHOLD = 20, 20_000, 5, 0.7
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
@@ -35,14 +35,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def feature_slots(text: str | None, memo: WordHashes) -> np.ndarray:
-    """Slots of words, neighbours and skip-pairs, with repeats."""
-    h = memo.of((text or "").encode(errors="surrogatepass").translate(PLAIN).split())
-    parts = [mix(h, 11)]
-    for gap in (1, 2):
-        if len(h) > gap:
-            parts.append(mix(mix(h[:-gap], 20 + gap) + h[gap:], 30 + gap))
-    return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
+def feature_slots(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Slots of the words, neighbours and skip-pairs of each text, with repeats."""
+    for h, at in hashed(texts, PLAIN):
+        single = (mix(h, 11) >> np.uint64(64 - BITS)).astype(np.int64)
+        pairs = [(mix(mix(h[:-gap], 20 + gap) + h[gap:], 30 + gap) >> np.uint64(64 - BITS)).astype(np.int64) for gap in (1, 2)]
+        for lo, hi in zip(at[:-1], at[1:]):
+            yield np.concatenate([single[lo:hi], *(p[lo : max(lo, hi - gap)] for gap, p in enumerate(pairs, 1))])
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -74,9 +73,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            slots = [np.unique(feature_slots(t, memo)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            slots = [np.unique(s).astype("<u4").tobytes() for s in feature_slots(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary()), batch.column(2)], names=["doc_id", "slots", "y"])
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,13 +101,11 @@ def scorer(model: tuple[float, np.ndarray, np.ndarray]):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, memo = np.zeros(1 << BITS), WordHashes()
+        weights = np.zeros(1 << BITS)
         weights[at] = w
         for batch in texts:
-            out = np.empty(len(batch))
-            for k, text in enumerate(batch):
-                slots = feature_slots(text, memo)
-                out[k] = bias + weights[np.unique(slots[weights[slots] != 0])].sum()
+            column = pa.array([None if t is None else t.encode(errors="surrogatepass") for t in batch], pa.binary())
+            out = np.array([bias + weights[np.unique(s[weights[s] != 0])].sum() for s in feature_slots(column)], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     return score
