@@ -4,14 +4,16 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased); two document
 at least 3/4. If sets a and b link, then under any total order of shingles they share one of the first
 n - ceil(3n/4) + 1 of each (the larger set), and of the smaller set one of the first n - ceil(6n/7) + 1.
 
-1. Equal sets become one class by digest. A count of shingles in 2^16 hash slots, over all documents, gives
+1. Equal sets become one class by digest. A count of shingles in 2^17 hash slots, over all documents, gives
    every order its first key, so that frequent shingles come last; a hash finishes each order.
-2. The first shingle under each of STARS orders is a minhash. Documents that share one are compared with the
-   smallest and the largest id that share it, never with each other; verified links are contracted.
-   This is only a head start: near copies in thousands are one component before any pair is listed.
+2. The first shingle under each of STARS orders is a minhash. Documents that share one are compared with the one
+   among them whose minhashes are shared most, the likely original, never with each other; verified links are
+   contracted. This is only a head start: most near copies are one component before any pair is listed.
 3. Prefix tokens under the first order go to hash buckets; a bucket lists pairs of *different* components that
-   share a token and fit in size. A component with many documents on one token in a chunk is sent as one
-   mark; if another component has that token too, its documents are joined by Spark on that token.
+   share a token and fit in size. A token with more than GROUP documents lists none: its documents are compared
+   in blocks, with their sketches beside them, and only pairs that may link come out. A component with very many
+   documents on one token in a chunk is sent as one mark, and its rows are brought by a join where another
+   component has that token too.
 4. Sketches of the sets, counts in hash cells, drop pairs that cannot overlap enough. A pair must then share prefix
    tokens under the other orders too; what is left is verified on the whole sets.
 
@@ -37,9 +39,9 @@ from .components import connected_components
 from .substring_dedup import _table, pack, split_by, squeeze, top_bits, unpack, unsqueeze
 from .words import mix, row_shingles
 
-SHINGLE, STARS, ORDERS, SLOT_BITS = 5, 4, 3, 16
-#: Rows of a component on one token in a chunk above which they travel as one mark; rows of a token above which Spark joins them.
-HOT, GROUP = 8, 1500
+SHINGLE, STARS, ORDERS, SLOT_BITS = 5, 8, 3, 17
+#: Rows of a component on one token in a chunk above which they travel as one mark; rows of a token above which they are compared in blocks, of so many rows.
+HOT, GROUP, BLOCK = 200, 16, 512
 CHUNK, BUCKET_ROWS, PARTNERS = 1_000_000, 500_000, 400
 
 
@@ -91,7 +93,7 @@ def profile(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows, slot_parts = [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), row_shingles(batch.column(1))):
-                slot_parts.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.uint16))
+                slot_parts.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
                 mins = [int(mix(s, 50 + k).min().astype(np.int64)) for k in range(STARS)] if len(s) else None
                 rows.append((0, doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, mins, sketch(s) if len(s) else None))
             if rows:
@@ -104,22 +106,25 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def frequency_levels(profiles: DataFrame) -> np.ndarray:
-    """Level of each slot: the logarithm of its count over the mean."""
-    got = profiles.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toPandas()  # at most 2^16 rows
+    """Level of each slot: 0 up to four deviations above the median count, then the logarithm of the excess."""
+    got = profiles.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toPandas()  # at most 2^SLOT_BITS rows
     counts = np.zeros(1 << SLOT_BITS)
     counts[got["a"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return np.minimum(np.log2(1 + counts / max(counts.mean(), 1e-9)), 31).astype(np.uint8)
+    middle = np.median(counts)
+    return np.clip(np.log2(np.maximum((counts - middle) / (4 * np.sqrt(middle) + 4), 0.5)) + 1, 0, 31).astype(np.uint8)
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each class against the smallest and largest that share a minhash, if sizes allow a link."""
+    """(a, b): each class against the likely original of those that share a minhash with it, if sizes allow a link."""
     one = classes.select("rep", "n", F.posexplode("mins").alias("k", "m"))
-    ends = one.groupBy("k", "m").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi")).filter("lo.rep < hi.rep")
-    near = one.join(ends, ["k", "m"])
-    pairs = near.select(F.explode(F.array("lo", "hi")).alias("end"), "rep", "n").filter("end.rep <> rep")
-    fits = 4 * F.least("end.n", "n") >= 3 * F.greatest("end.n", "n")
+    shared = one.groupBy("k", "m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    fame = one.join(shared, ["k", "m"]).withColumn("fame", F.log2("c"))
+    score = fame.groupBy("rep").agg(F.round(F.sum("fame"), 3).alias("score"))
+    scored = fame.select("rep", "n", "k", "m").join(score, "rep")
+    lead = scored.groupBy("k", "m").agg(F.max(F.struct("score", (-F.col("rep")).alias("back"), "n")).alias("lead"))
+    pairs = scored.join(lead, ["k", "m"]).select((-F.col("lead.back")).alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("n_a"), "n").filter("a <> b")
     # the leader, which most share, is `a`
-    return pairs.filter(fits).select(F.col("end.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    return pairs.filter("4 * least(n_a, n) >= 3 * greatest(n_a, n)").select("a", "b").distinct()
 
 
 def count_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -194,7 +199,8 @@ def _prefixes(batch: pa.RecordBatch, levels: np.ndarray) -> Iterator[tuple[np.nd
 
 
 def candidate_pairs(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
-    """(token, a, b): a pair of different components on one token, or, with b null, a token for Spark to join."""
+    """(kind, token, a, b, n, idx): 0 a pair (a, b) of different components; 1 a row of a token of more than GROUP documents, `a` in
+    component `b` with set size n; 2 a token some of whose rows were sent as one mark."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         token, doc, comp, n, idx = (np.concatenate(c) for c in zip(*parts))
@@ -236,31 +242,94 @@ def candidate_pairs(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame
         at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         end = np.r_[at[1:], len(token)]
         mixed = comp[at] != comp[end - 1]  # sorted by component within a token
-        pairs, open_tokens = [], []
+        pairs, wide, closed = [], [], []
         for lo, hi in zip(at[mixed], end[mixed]):
             o = order[lo:hi]
-            if hi - lo > GROUP or many[o].any():
-                open_tokens.append(token[lo])
-                continue
-            d, c, m, x = doc[o], comp[lo:hi], n[o], idx[o]
-            # (i, j): j is the smaller set and meets within its index prefix
-            ok = (c[:, None] != c) & (m[:, None] >= m) & x & (4 * m >= 3 * m[:, None])
-            i, j = np.nonzero(ok)
-            if len(i):
-                pairs.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]))
+            if many[o].any():
+                closed.append(token[lo])
+            elif hi - lo > GROUP:
+                wide.append((lo, hi))
+            else:
+                d, c, m, x = doc[o], comp[lo:hi], n[o], idx[o]
+                # (i, j): j is the smaller set and meets within its index prefix
+                i, j = np.nonzero((c[:, None] != c) & (m[:, None] >= m) & x & (4 * m >= 3 * m[:, None]))
+                if len(i):
+                    pairs.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]))
         a, b = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
-        wide = np.array(open_tokens, np.uint64).view(np.int64)
-        return pa.Table.from_arrays([pa.array(np.r_[np.zeros(len(a), np.int64), wide]), pa.array(np.r_[a, np.zeros(len(wide), np.int64)]), pa.array(np.r_[b, np.zeros(len(wide), np.int64)], mask=np.r_[np.zeros(len(a), bool), np.ones(len(wide), bool)])], names=["token", "a", "b"])
+        rows = np.concatenate([np.arange(lo, hi) for lo, hi in wide]) if wide else np.empty(0, np.int64)
+        o = order[rows]
+        cols = {"kind": (np.zeros(len(a), np.int32), np.ones(len(o), np.int32), np.full(len(closed), 2, np.int32)), "token": (np.zeros(len(a), np.int64), token[rows].view(np.int64), np.array(closed, np.uint64).view(np.int64))}
+        nil = np.zeros(len(closed), np.int64)
+        cols |= {"a": (a, doc[o], nil), "b": (b, comp[rows], nil), "n": (np.zeros(len(a), np.int64), n[o], nil), "idx": (np.zeros(len(a), bool), idx[o], nil.astype(bool))}
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in cols.values()], names=list(cols))
+
+    return docs.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, token long, a long, b long, n long, idx boolean")
+
+
+def fold(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Sketches (a row each) with their cells added up to 2^bits."""
+    while cells.shape[1] > 1 << bits:
+        half = cells.shape[1] // 2
+        cells = cells[:, :half] + cells[:, half:]
+    return cells
+
+
+def block_survivors(side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, idx: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of a block (side 2), or between two blocks (sides 0 and 1), that differ in component and may link."""
+    bits = np.array([len(s).bit_length() - 1 for s in sketches])
+    full = np.array([b"\xff" in s for s in sketches])
+    out = []
+    for b in np.unique(bits):
+        mine = np.flatnonzero(bits == b)
+        near = np.flatnonzero((bits == b) | (bits == b + 1))
+        small = np.frombuffer(b"".join(sketches[i] for i in mine), np.uint8).reshape(len(mine), -1).astype(np.int16)
+        other = np.concatenate([fold(np.frombuffer(sketches[j], np.uint8).astype(np.int16)[None], b) for j in near])
+        for row, i in enumerate(mine):
+            meets = np.where(n[near] >= n[i], idx[i], False) | np.where(n[i] >= n[near], idx[near], False)
+            ok = meets & (comp[near] != comp[i]) & (4 * np.minimum(n[near], n[i]) >= 3 * np.maximum(n[near], n[i]))
+            # within a block each pair is met twice if both have as many cells
+            ok &= np.where(side[i] == 2, (bits[near] > b) | (near > i), side[near] != side[i])
+            ok &= np.where((side[i] != 2) & (bits[near] == b), side[i] == 0, True)
+            k = np.flatnonzero(ok)
+            if len(k):
+                bound = np.minimum(other[k], small[row]).sum(1, dtype=np.int64)
+                j = near[k[full[i] | full[near[k]] | (7 * bound >= 3 * (n[near[k]] + n[i]))]]
+                out += ((int(min(doc[i], d)), int(max(doc[i], d))) for d in doc[j])
+    return out
+
+
+def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of different components that share a token of many documents (token, doc, comp, n, idx) and may link."""
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    known = rows.join(sizes, "token").join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("i", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    dealt = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
+    dealt = dealt.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), side.alias("side"), "doc", "comp", "n", "idx", "sketch")
+    dealt = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
-    return docs.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "token long, a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            get = lambda c: t[c].to_numpy()
+            found = block_survivors(get("side"), get("doc"), get("comp"), get("n"), get("idx"), t["sketch"].to_pylist())
+            a, b = zip(*found) if found else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        for batch in batches:
+            token, p, q = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero(np.r_[True, (np.diff(token) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(token)]):
+                if (token[lo], p[lo], q[lo]) != key:
+                    if held:
+                        yield done()
+                    key, held = (token[lo], p[lo], q[lo]), []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
 
-def joined_pairs(rows: DataFrame, tokens: DataFrame, n_tokens: int) -> DataFrame:
-    """(a, b) of different components that share one of the open `tokens`, by Spark's own join."""
-    rows = materialize(join_small(rows, tokens, "token", "inner", n_tokens), "open")
-    small = rows.filter("idx").select("token", F.col("doc").alias("d2"), F.col("comp").alias("c2"), F.col("n").alias("n2"))
-    met = rows.join(small, "token").filter("comp <> c2 AND n >= n2 AND 4 * n2 >= 3 * n")
-    return met.select(F.least("doc", "d2").alias("a"), F.greatest("doc", "d2").alias("b")).distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -282,11 +351,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, total / 4 / BUCKET_ROWS)))))
     found = materialize(candidate_pairs(reps, levels, bits), "candidates")
-    pairs = found.filter("b IS NOT NULL").select("a", "b")
-    tokens = found.filter("b IS NULL").select("token").distinct()
-    n_tokens = tokens.count()
-    if n_tokens:
-        pairs = pairs.union(joined_pairs(prefix_rows(reps, levels), tokens, n_tokens))
+    pairs = found.filter("kind = 0").select("a", "b")
+    wide = found.filter("kind = 1").select("token", F.col("a").alias("doc"), F.col("b").alias("comp"), "n", "idx")
+    closed = found.filter("kind = 2").select("token").distinct()
+    n_closed = closed.count()
+    if n_closed:
+        wide = wide.union(join_small(prefix_rows(reps, levels), closed, "token", "inner", n_closed))
+    pairs = pairs.union(open_pairs(wide, classes))
     links = stars.union(verify(docs, pairs.distinct(), classes, levels))
 
     final = connected_components(links).withColumnsRenamed({"node": "rep", "component": "component_id"})
