@@ -12,10 +12,13 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE_LIMIT, GROUP = 500_000, 250
+PIECE_LIMIT, GROUP_CHARS = 500_000, 4 << 20
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
@@ -40,7 +43,7 @@ class Memo(Generation):
         super().__init__()
         self.cores = Generation()
 
-    def missing(self, words: set[str], where: Generation | None = None) -> list[str]:
+    def missing(self, words: list[str], where: Generation | None = None) -> list[str]:
         """Those not remembered; the others are in `young` afterwards."""
         g = where or self
         new = [w for w in words if w not in g.young]  # set operations with a dict's keys walk the whole dict
@@ -80,7 +83,7 @@ class PieceEncoder:
         """Every white space is one space or line end between other characters, and no special token can match."""
         return bool(text) and self.mark not in text and " ".join(text.split()) == text.replace("\n", " ")
 
-    def learn(self, memo: Memo, words: set[str], lead: str) -> None:
+    def learn(self, memo: Memo, words: list[str], lead: str) -> None:
         """Make `memo` hold all `words`, with the ids of lead + word."""
         tails, whole = {}, []
         for w in memo.missing(words):
@@ -89,7 +92,7 @@ class PieceEncoder:
                 tails[w] = core
             else:
                 whole.append(w)
-        cores = memo.missing(set(tails.values()), memo.cores)
+        cores = memo.missing(list(set(tails.values())), memo.cores)
         for w, ids in zip(cores, self.library([lead + w for w in cores])):
             memo.cores.young[w] = ids
         marks = [m for m in {w[len(c) :] for w, c in tails.items()} if m not in self.marks]
@@ -104,23 +107,63 @@ class PieceEncoder:
     def library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
-    def joined(self, lines: list[list[str]]) -> bytes:
-        first, later = self.first.young.__getitem__, self.later.young.__getitem__
-        return first("\n").join([b"".join((first(p[0]), *map(later, p[1:]))) for p in lines])
+    def group(self, segments: list[str], heads: list[bool]) -> list[np.ndarray]:
+        """Ids of plain segments; a segment's first word is a head (without a space before it) or not."""
+        # the words and line ends of all segments as codes into their distinct values, without Python objects
+        parts = pc.split_pattern(pa.array(segments, pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        head = np.zeros(len(codes), bool)
+        if self.spaced:
+            ends = np.array([w == "\n" for w in words])[codes]
+            head[1:] = ends[:-1]
+            head |= ends
+            head[offsets[:-1]] = heads
+        keys = codes * 2 + head
+        used = np.flatnonzero(np.bincount(keys, minlength=2 * len(words)))
+        late, early = [words[k >> 1] for k in used if not k & 1], [words[k >> 1] for k in used if k & 1]
+        self.learn(self.later, late, " " if self.spaced else "")
+        got_late = [self.later.young[w] for w in late]
+        self.learn(self.first, early, "")
+        got_early = [self.first.young[w] for w in early]
+        order = np.concatenate([used[used % 2 == 0], used[used % 2 == 1]])
+        sizes = np.fromiter(map(len, chain(got_late, got_early)), np.int64, len(order)) // 4
+        pool = np.frombuffer(b"".join(chain(got_late, got_early)), "<u4")
+        size, start = np.zeros((2, 2 * len(words)), np.int64)
+        size[order], start[order] = sizes, np.cumsum(sizes) - sizes
+        n = size[keys]
+        done = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(start[keys] - done[:-1], n) + np.arange(done[-1])]
+        return [ids[done[lo] : done[hi]] for lo, hi in zip(offsets[:-1], offsets[1:])]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), GROUP):
-            group = [[line.split(" ") for line in t.split("\n")] if self.plain(t) else t for t in texts[at : at + GROUP]]
-            heads, tails = {"\n"}, set()
-            for lines in group:
-                if isinstance(lines, list):
-                    for p in lines:
-                        heads.add(p[0])
-                        tails.update(p[1:])
-            if self.spaced:
-                self.learn(self.later, tails, " ")
-                self.learn(self.first, heads, "")
-            else:
-                self.learn(self.first, heads | tails, "")
-            for lines in group:
-                yield np.frombuffer(self.joined(lines), "<u4") if isinstance(lines, list) else self.whole(lines)
+        at = 0
+        while at < len(texts):
+            segments, heads, owners, chars, stop = [], [], [], 0, at
+            while stop < len(texts) and (chars == 0 or chars + len(texts[stop]) <= GROUP_CHARS):
+                text = texts[stop]
+                chars += len(text)
+                if self.plain(text):
+                    for k, part in enumerate(cut(text)):
+                        segments.append(part.replace("\n", " \n "))
+                        heads.append(k == 0)
+                        owners.append(stop)
+                stop += 1
+            made = self.group(segments, heads) if segments else []
+            k = 0
+            for i in range(at, stop):
+                mine = k
+                while k < len(owners) and owners[k] == i:
+                    k += 1
+                yield self.whole(texts[i]) if mine == k else made[mine] if k - mine == 1 else np.concatenate(made[mine:k])
+            at = stop
+
+
+def cut(text: str) -> Iterator[str]:
+    """Parts of a long text, cut at single spaces, which are left out."""
+    at = 0
+    while len(text) - at > GROUP_CHARS and (end := text.find(" ", at + GROUP_CHARS)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
