@@ -67,21 +67,32 @@ def index_length(n: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles in about half as many hash cells, 255 for more; an upper bound of any overlap."""
-    bits = max(3, int(len(s)).bit_length() - 1)
+    """Counts of a set's shingles in two to four times as many hash cells, as three bit planes: at least 1, 2 and 3."""
+    bits = max(6, int(len(s)).bit_length() + 1)
     cells = np.bincount(((s >> np.uint64(8)) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+    return b"".join(np.packbits(cells >= t, bitorder="little").tobytes() for t in (1, 2, 3))
+
+
+def planes(raw: bytes, words: int | None = None) -> np.ndarray:
+    """[plane, word] of a sketch, cells added up until `words` are left."""
+    p = np.frombuffer(raw, np.uint64).reshape(3, -1)
+    while words and p.shape[1] > words:
+        (a1, a2, a3), (b1, b2, b3) = p[:, : p.shape[1] // 2], p[:, p.shape[1] // 2 :]
+        p = np.stack([a1 | b1, (a1 & b1) | a2 | b2, (a1 & b2) | (a2 & b1) | a3 | b3])
+    return p
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray, n_x: int, n_y: np.ndarray) -> np.ndarray:
+    """No set of y ([row, plane, word], sizes n_y) shares more than this with x: smaller counts, and what cells above 3 may hide."""
+    shown = np.bitwise_count(y & x).sum((1, 2), dtype=np.int64)
+    hidden_y = n_y - np.bitwise_count(y).sum((1, 2), dtype=np.int64)
+    return shown + np.minimum(hidden_y, n_x - int(np.bitwise_count(x).sum()))
 
 
 def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
     """False only where the sketches show that the sets overlap too little."""
-    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
-    if len(x) > len(y):
-        x, y = y, x
-    full = bool((x == 255).any() or (y == 255).any())
-    while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return full or 7 * int(np.minimum(x, y).sum()) >= 3 * (n_a + n_b)
+    words = min(len(a), len(b)) // 24
+    return 7 * int(overlap_bound(planes(a, words), planes(b, words)[None], n_a, np.array([n_b]))[0]) >= 3 * (n_a + n_b)
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -266,45 +277,45 @@ def candidate_pairs(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame
     return docs.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, token long, a long, b long, n long, idx boolean")
 
 
-def fold(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Sketches (a row each) with their cells added up to 2^bits."""
-    while cells.shape[1] > 1 << bits:
-        half = cells.shape[1] // 2
-        cells = cells[:, :half] + cells[:, half:]
-    return cells
+def block_survivors(token: int, side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, idx: np.ndarray, sketches: list[bytes], shared: list[list[int]], leading: list[list[int]]) -> list[tuple[int, int]]:
+    """Pairs of a block (side 2), or between two blocks (sides 0 and 1), that differ in component and may link.
+
+    shared, leading: the open tokens of each document, and those in its index prefix; a pair comes out only at the
+    smallest token at which it meets.
+    """
+    size = np.array([len(s) // 24 for s in sketches])
+    sets, leads = [frozenset(t) for t in shared], [frozenset(t) for t in leading]
 
+    def first(i: int, j: int) -> int:
+        met = (sets[i] & leads[j] if n[i] >= n[j] else frozenset()) | (sets[j] & leads[i] if n[j] >= n[i] else frozenset())
+        return min(met)
 
-def block_survivors(side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, idx: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of a block (side 2), or between two blocks (sides 0 and 1), that differ in component and may link."""
-    bits = np.array([len(s).bit_length() - 1 for s in sketches])
-    full = np.array([b"\xff" in s for s in sketches])
     out = []
-    for b in np.unique(bits):
-        mine = np.flatnonzero(bits == b)
-        near = np.flatnonzero((bits == b) | (bits == b + 1))
-        small = np.frombuffer(b"".join(sketches[i] for i in mine), np.uint8).reshape(len(mine), -1).astype(np.int16)
-        other = np.concatenate([fold(np.frombuffer(sketches[j], np.uint8).astype(np.int16)[None], b) for j in near])
-        for row, i in enumerate(mine):
+    for w in np.unique(size):
+        mine, near = np.flatnonzero(size == w), np.flatnonzero((size == w) | (size == 2 * w))
+        other = np.stack([planes(sketches[j], w) for j in near])
+        for i in mine:
             meets = np.where(n[near] >= n[i], idx[i], False) | np.where(n[i] >= n[near], idx[near], False)
             ok = meets & (comp[near] != comp[i]) & (4 * np.minimum(n[near], n[i]) >= 3 * np.maximum(n[near], n[i]))
-            # within a block each pair is met twice if both have as many cells
-            ok &= np.where(side[i] == 2, (bits[near] > b) | (near > i), side[near] != side[i])
-            ok &= np.where((side[i] != 2) & (bits[near] == b), side[i] == 0, True)
+            # two of one size are met from both: once is enough
+            ok &= np.where(side[i] == 2, (size[near] > w) | (near > i), (side[near] != side[i]) & ((size[near] > w) | (side[i] == 0)))
             k = np.flatnonzero(ok)
             if len(k):
-                bound = np.minimum(other[k], small[row]).sum(1, dtype=np.int64)
-                j = near[k[full[i] | full[near[k]] | (7 * bound >= 3 * (n[near[k]] + n[i]))]]
-                out += ((int(min(doc[i], d)), int(max(doc[i], d))) for d in doc[j])
+                bound = overlap_bound(planes(sketches[i]), other[k], int(n[i]), n[near[k]])
+                j = near[k[7 * bound >= 3 * (n[near[k]] + n[i])]]
+                out += ((int(min(doc[i], doc[x])), int(max(doc[i], doc[x]))) for x in j if first(i, x) == token)
     return out
 
 
 def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of different components that share a token of many documents (token, doc, comp, n, idx) and may link."""
     sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    known = rows.join(sizes, "token").join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("i", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    mixed = rows.join(sizes, "token")
+    tokens = mixed.groupBy("doc").agg(F.collect_set("token").alias("shared"), F.collect_set(F.when(F.col("idx"), F.col("token"))).alias("leading"))  # no more than a document's prefix
+    known = mixed.join(tokens, "doc").join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("i", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     dealt = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
-    dealt = dealt.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), side.alias("side"), "doc", "comp", "n", "idx", "sketch")
+    dealt = dealt.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), side.alias("side"), "doc", "comp", "n", "idx", "sketch", "shared", "leading")
     dealt = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +324,7 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             get = lambda c: t[c].to_numpy()
-            found = block_survivors(get("side"), get("doc"), get("comp"), get("n"), get("idx"), t["sketch"].to_pylist())
+            found = block_survivors(key[0], get("side"), get("doc"), get("comp"), get("n"), get("idx"), t["sketch"].to_pylist(), t["shared"].to_pylist(), t["leading"].to_pylist())
             a, b = zip(*found) if found else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -324,7 +335,7 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 if (token[lo], p[lo], q[lo]) != key:
                     if held:
                         yield done()
-                    key, held = (token[lo], p[lo], q[lo]), []
+                    key, held = (int(token[lo]), int(p[lo]), int(q[lo])), []
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield done()
