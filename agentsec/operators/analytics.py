@@ -81,7 +81,7 @@ def category(layer: Column) -> Column:
 def report_summary(calls: DataFrame) -> DataFrame:
     """A row for each session: counts by category, tool calls, duration in ms, tokens."""
     counts = [F.count_if(category(F.col("layer")) == c).alias(c) for c in sorted(set(CATEGORIES.values()))]
-    return calls.groupBy("session_id").agg(*counts, F.count(F.lit(1)).alias("tool_calls"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1000).cast("long").alias("duration_ms"), F.sum(S.token_estimate(F.col("input_chars"))).alias("tokens"))
+    return calls.groupBy("session_id").agg(*counts, F.count(F.lit(1)).alias("tool_calls"), ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).cast("long").alias("duration_ms"), F.sum(S.token_estimate(F.col("input_chars"))).alias("tokens"))
 
 
 def severity_matrix(events: DataFrame, display: int | None = None) -> DataFrame:
@@ -209,10 +209,11 @@ def in_session_window(rows: DataFrame, sessions: DataFrame, slack: str = "60 SEC
 
     The spans are bucketed by hour, so the join is an equality join with a range condition and not a nested loop.
     """
-    hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
+    hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
     end = F.col("ended_at") + F.expr(f"INTERVAL {slack}")
     spans = sessions.select("session_id", "started_at", end.alias("until"), F.explode(F.sequence(hour(F.col("started_at")), hour(end))).alias("_h"))
-    return rows.withColumn("_h", hour(F.col("ts"))).join(spans, "_h").filter(F.col("ts").between(F.col("started_at"), F.col("until"))).select(spans["session_id"], "id", "ts")
+    loose = rows.select("id", "ts", hour(F.col("ts")).alias("_h"))
+    return loose.join(spans, "_h").filter(F.col("ts").between(F.col("started_at"), F.col("until"))).select("session_id", "id", "ts")
 
 
 # --- joins --------------------------------------------------------------------------------------------------

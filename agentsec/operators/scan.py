@@ -130,6 +130,10 @@ def classify_code(content: Column, lang: Column) -> Column:
     return F.struct(triggers.alias("triggers"), risk.alias("risk"), confidence.alias("confidence"), kind.alias("classification"), ((F.size(triggers) > 0) & (risk == "CRITICAL")).alias("blocked"))
 
 
+def _matches(rule: Rule):
+    return lambda s: F.coalesce(s.rlike(rule.regex), F.lit(False))
+
+
 def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], rules: Sequence[Rule] = LINTER) -> DataFrame:
     """(keys, rule_id, severity, line): first line of each rule that applies to the language; comment lines are skipped."""
     lines = F.split(F.col(content), "\n")
@@ -137,7 +141,7 @@ def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], r
     code = F.transform(lines, lambda s: F.when(~comment(s), s))
     out = []
     for r in rules:
-        at = F.array_position(F.transform(code, lambda s, r=r: F.coalesce(s.rlike(r.regex), F.lit(False))), True)
+        at = F.array_position(F.transform(code, _matches(r)), True)
         applies = F.lit(True) if "*" in r.languages or not r.languages else lang.isin(*r.languages)
         out.append(F.when(applies & F.col(content).rlike(r.regex) & (at > 0), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), at.cast("int").alias("line"))))
     return df.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")
@@ -220,7 +224,7 @@ def memory_document_scan(docs: DataFrame, rules: Sequence[Rule], keys: Sequence[
     out = []
     for r in rules:
         if r.severity != "LOW":
-            at = F.array_position(F.transform(body, lambda s, r=r: s.rlike(r.regex)), True)
+            at = F.array_position(F.transform(body, _matches(r)), True)
             kind = "persistence" if r.id.startswith("persist") else "injection" if "-inj-" in r.id else "fake_fact" if "-fake-" in r.id else "encoding" if "-enc-" in r.id else "sensitive"
             out.append(F.when(at > 0, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(kind).alias("kind"), at.cast("int").alias("line"))))
     return docs.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")

@@ -96,7 +96,7 @@ def level_changes(rows: DataFrame) -> DataFrame:
 
 def uniform_intervals(rows: DataFrame) -> DataFrame:
     """(session_id, n, uniform): five times or more, with one interval between all, in steps of 10 ms."""
-    ms = F.unix_micros("ts") / 1000
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
     gap = F.round((ms - F.lag(ms).over(ordered())) / 10)
     return rows.withColumn("_gap", gap).groupBy(BY).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_gap").alias("gaps")).select(BY, "n", ((F.col("n") >= 5) & (F.col("gaps") == 1)).alias("uniform"))
 

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = sql.replace("count_if(", "count(*) FILTER (WHERE ")
         return f
 
     return add
@@ -159,7 +159,7 @@ def _(spark, d):
     return logs.subagent_text(table(spark, d, "conversations"), "conv_id", ["turn"])
 
 
-@query("s5_transcript", """SELECT conv_id, no, kind, text, tool FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back,
+@query("s5_transcript", """SELECT conv_id, CAST(no AS INTEGER) AS no, kind, text, tool FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back,
   CASE role WHEN 'user' THEN 'user' ELSE 'tool' END AS kind, CASE role WHEN 'user' THEN substr(trim(text), 1, 500) END AS text, CASE role WHEN 'assistant' THEN 'Reply' END AS tool
   FROM conversations WHERE role = 'assistant' OR (role = 'user' AND trim(text) <> '')) WHERE back <= 100""")
 def _(spark, d):
@@ -448,7 +448,7 @@ def _(spark, d):
     return A.session_summary(security_events(spark, d))
 
 
-@query("a8_layer_statistics", se(f"SELECT l.layer, l.name, count(se.id) AS invocations, count_if(action = 'block') AS blocks, count_if(action IN ('warn','alert')) AS warnings, max(ts) AS last_invoked FROM {LAYERS_SQL} LEFT JOIN se ON se.layer = l.layer GROUP BY 1, 2"))
+@query("a8_layer_statistics", se(f"SELECT l.layer, l.name, count(se.id) AS invocations, coalesce(count_if(action = 'block'), 0) AS blocks, coalesce(count_if(action IN ('warn','alert')), 0) AS warnings, max(ts) AS last_invoked FROM {LAYERS_SQL} LEFT JOIN se ON se.layer = l.layer GROUP BY 1, 2"))
 def _(spark, d):
     return A.layer_statistics(logs.layers(spark), security_events(spark, d))
 
@@ -549,7 +549,7 @@ def _(spark, d):
     return W.taint(tool_calls(spark, d)).select("id", "taint_level")
 
 
-@query("w2_taint_source", tc(f"""SELECT id, last_value(src IGNORE NULLS) {OVER} AS taint_source, last_value(at IGNORE NULLS) {OVER} AS taint_time FROM (SELECT *, CASE WHEN lvl > coalesce(before, 0) THEN coalesce(file_path, concat('command:', command)) END AS src, CASE WHEN lvl > coalesce(before, 0) THEN ts END AS at
+@query("w2_taint_source", tc(f"""SELECT id, last_value(src IGNORE NULLS) {OVER} AS taint_source, last_value(seen IGNORE NULLS) {OVER} AS taint_time FROM (SELECT *, CASE WHEN lvl > coalesce(before, 0) THEN coalesce(file_path, concat('command:', command)) END AS src, CASE WHEN lvl > coalesce(before, 0) THEN ts END AS seen
   FROM (SELECT *, max(lvl) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, {LEVEL_SQL} AS lvl FROM tc)))"""))
 def _(spark, d):
     return W.taint(tool_calls(spark, d)).select("id", "taint_source", "taint_time")
@@ -709,7 +709,7 @@ def _(spark, d):
 @query("c20_duration", se("SELECT session_id, CASE WHEN s < 60 THEN concat(CAST(s AS VARCHAR), 's') WHEN s < 3600 THEN concat(CAST(s // 60 AS VARCHAR), 'm ', CAST(s % 60 AS VARCHAR), 's') ELSE concat(CAST(s // 3600 AS VARCHAR), 'h ', CAST((s // 60) % 60 AS VARCHAR), 'm') END AS duration FROM (SELECT session_id, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS s FROM se GROUP BY session_id)"))
 def _(spark, d):
     s = A.session_summary(security_events(spark, d))
-    return s.select("session_id", S.duration_text(((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000).cast("long")).alias("duration"))
+    return s.select("session_id", S.duration_text(((F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000).cast("long")).alias("duration"))
 
 
 @query("c21_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') AS escaped FROM pages")

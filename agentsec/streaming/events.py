@@ -111,7 +111,7 @@ def session_states(calls: DataFrame) -> DataFrame:
 def session_fold(calls: DataFrame) -> DataFrame:
     """The same step over a table: one pass for each session, for parity with the stream."""
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state, out = dict(START), []
         for call in rows.sort_values(["ts", "id"]).to_dict("records"):
             state = step(state, call)
