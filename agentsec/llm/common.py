@@ -42,14 +42,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str,
     return big.join(F.broadcast(small) if small_rows <= BROADCAST_ROWS else small, on, how)
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_block: int = 4096, rows: int | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_block: int = 4096, rows: int | None = None, spread: str | None = None) -> DataFrame:
     """`out`: 0, 1, 2, ... within `group`, without bringing a group into one task.
 
-    Rows are dealt to hash blocks by `order`, ranked inside (group, block), and shifted by the rows of the
+    Rows are dealt to blocks by the hash of `order`, or by the column `spread` modulo their number, ranked inside (group, block), and shifted by the rows of the
     blocks before. `df` must be cheap to read twice. Equal `order` values get adjacent ranks in no set order.
     """
     blocks = max(1, -(-(df.count() if rows is None else rows) // rows_per_block))
-    dealt = df.withColumn("_blk", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    dealt = df.withColumn("_blk", F.pmod(F.col(spread) if spread else F.xxhash64(*order), F.lit(blocks)))
     before = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*group, "_blk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*group, "_blk").orderBy(*order)

@@ -141,4 +141,3 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_simhash_decontamination": op3_simhash_decontamination}
-ORACLES: dict[str, str] = {}

@@ -382,4 +382,3 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLES: dict[str, str] = {}

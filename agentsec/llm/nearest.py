@@ -210,4 +210,3 @@ def op5_rabitq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_rabitq_neighbours": op5_rabitq_neighbours}
-ORACLES: dict[str, str] = {}

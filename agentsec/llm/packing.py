@@ -118,4 +118,3 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_pack_sequences": op6_pack_sequences}
-ORACLES: dict[str, str] = {}

@@ -251,4 +251,3 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_weak_pii": op1_weak_pii}
-ORACLES: dict[str, str] = {}

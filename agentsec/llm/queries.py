@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage, for the registry at the repository's top."""
 
-from . import decontamination, jaccard_join, nearest, packing, pii, sharding, substring_dedup, token_counts, token_files, toxicity
+from . import decontamination, jaccard_join, nearest, oracles, packing, pii, sharding, substring_dedup, token_counts, token_files, toxicity
 
 MODULES = (pii, sharding, decontamination, substring_dedup, nearest, packing, toxicity, jaccard_join, token_counts, token_files)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+ORACLES = {"op2_jump_shards": oracles.OP2, "op4_debruijn_dedup": oracles.OP4, "op8_jaccard_join": oracles.OP8}

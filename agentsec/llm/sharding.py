@@ -53,8 +53,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.select(id_col, (F.col("_bytes") + 1).alias("size"), "text_crc32", stable_key(F.col(id_col)).alias("_key"))
-    rows = rows.withColumns({"shard": jump_shard(F.col("_key"), shards), "grown_shard": jump_shard(F.col("_key"), shards + 1)}).drop("_key")
-    return gapless_rank(rows, ["shard"], [id_col, "text_crc32", "size"], "slot", rows=docs.count())
+    rows = rows.withColumns({"shard": jump_shard(F.col("_key"), shards), "grown_shard": jump_shard(F.col("_key"), shards + 1)})
+    return gapless_rank(rows, ["shard"], [id_col, "text_crc32", "size"], "slot", rows=docs.count(), spread="_key").drop("_key")
 
 
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,3 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_jump_shards": op2_jump_shards}
-ORACLES: dict[str, str] = {}

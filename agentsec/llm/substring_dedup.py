@@ -236,4 +236,3 @@ def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_debruijn_dedup": op4_debruijn_dedup}
-ORACLES: dict[str, str] = {}

@@ -106,4 +106,3 @@ def op9_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_viterbi_token_counts": op9_viterbi_token_counts}
-ORACLES: dict[str, str] = {}

@@ -165,4 +165,3 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_token_files": op10_token_files}
-ORACLES: dict[str, str] = {}

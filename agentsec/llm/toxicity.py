@@ -124,4 +124,3 @@ def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ftrl_toxicity": op7_ftrl_toxicity}
-ORACLES: dict[str, str] = {}
