@@ -82,17 +82,17 @@ def planes(raw: bytes, words: int | None = None) -> np.ndarray:
     return p
 
 
-def overlap_bound(x: np.ndarray, y: np.ndarray, n_x: int, n_y: np.ndarray) -> np.ndarray:
-    """No set of y ([row, plane, word], sizes n_y) shares more than this with x: smaller counts, and what cells above 3 may hide."""
-    shown = np.bitwise_count(y & x).sum((1, 2), dtype=np.int64)
-    hidden_y = n_y - np.bitwise_count(y).sum((1, 2), dtype=np.int64)
-    return shown + np.minimum(hidden_y, n_x - int(np.bitwise_count(x).sum()))
+def overlap_bound(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """No two sets of one row ([row, plane, word]) share more than this: smaller counts, and what cells above 3 may hide."""
+    count = lambda p: np.bitwise_count(p).sum((1, 2), dtype=np.int64)
+    return count(x & y) + np.minimum(n_x - count(x), n_y - count(y))
 
 
 def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
     """False only where the sketches show that the sets overlap too little."""
     words = min(len(a), len(b)) // 24
-    return 7 * int(overlap_bound(planes(a, words), planes(b, words)[None], n_a, np.array([n_b]))[0]) >= 3 * (n_a + n_b)
+    bound = overlap_bound(planes(a, words)[None], planes(b, words)[None], np.array([n_a]), np.array([n_b]))
+    return 7 * int(bound[0]) >= 3 * (n_a + n_b)
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -277,45 +277,35 @@ def candidate_pairs(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame
     return docs.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, token long, a long, b long, n long, idx boolean")
 
 
-def block_survivors(token: int, side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, idx: np.ndarray, sketches: list[bytes], shared: list[list[int]], leading: list[list[int]]) -> list[tuple[int, int]]:
-    """Pairs of a block (side 2), or between two blocks (sides 0 and 1), that differ in component and may link.
-
-    shared, leading: the open tokens of each document, and those in its index prefix; a pair comes out only at the
-    smallest token at which it meets.
-    """
+def block_survivors(side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, idx: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block (side 2), or between two blocks (sides 0 and 1), that differ in component and may link."""
     size = np.array([len(s) // 24 for s in sketches])
-    sets, leads = [frozenset(t) for t in shared], [frozenset(t) for t in leading]
-
-    def first(i: int, j: int) -> int:
-        met = (sets[i] & leads[j] if n[i] >= n[j] else frozenset()) | (sets[j] & leads[i] if n[j] >= n[i] else frozenset())
-        return min(met)
-
-    out = []
+    found: list[np.ndarray] = []
     for w in np.unique(size):
         mine, near = np.flatnonzero(size == w), np.flatnonzero((size == w) | (size == 2 * w))
-        other = np.stack([planes(sketches[j], w) for j in near])
-        for i in mine:
-            meets = np.where(n[near] >= n[i], idx[i], False) | np.where(n[i] >= n[near], idx[near], False)
-            ok = meets & (comp[near] != comp[i]) & (4 * np.minimum(n[near], n[i]) >= 3 * np.maximum(n[near], n[i]))
-            # two of one size are met from both: once is enough
-            ok &= np.where(side[i] == 2, (size[near] > w) | (near > i), (side[near] != side[i]) & ((size[near] > w) | (side[i] == 0)))
-            k = np.flatnonzero(ok)
-            if len(k):
-                bound = overlap_bound(planes(sketches[i]), other[k], int(n[i]), n[near[k]])
-                j = near[k[7 * bound >= 3 * (n[near[k]] + n[i])]]
-                out += ((int(min(doc[i], doc[x])), int(max(doc[i], doc[x]))) for x in j if first(i, x) == token)
-    return out
+        here = np.stack([planes(sketches[i]) for i in mine])
+        there = np.stack([planes(sketches[j], w) for j in near])
+        a, b = mine[:, None], near[None]
+        ok = ((n[b] >= n[a]) & idx[a]) | ((n[a] >= n[b]) & idx[b])
+        ok &= (comp[b] != comp[a]) & (4 * np.minimum(n[b], n[a]) >= 3 * np.maximum(n[b], n[a]))
+        # two of one size are met from both: once is enough
+        ok &= np.where(side[a] == 2, (size[b] > w) | (b > a), (side[b] != side[a]) & ((size[b] > w) | (side[a] == 0)))
+        i, j = np.nonzero(ok)
+        for lo in range(0, len(i), step := max(1, 300_000 // int(w))):
+            p, q = i[lo : lo + step], j[lo : lo + step]
+            keep = 7 * overlap_bound(here[p], there[q], n[mine[p]], n[near[q]]) >= 3 * (n[mine[p]] + n[near[q]])
+            found.append(np.stack([doc[mine[p[keep]]], doc[near[q[keep]]]]))
+    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return both.min(axis=0), both.max(axis=0)
 
 
 def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of different components that share a token of many documents (token, doc, comp, n, idx) and may link."""
     sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    mixed = rows.join(sizes, "token")
-    tokens = mixed.groupBy("doc").agg(F.collect_set("token").alias("shared"), F.collect_set(F.when(F.col("idx"), F.col("token"))).alias("leading"))  # no more than a document's prefix
-    known = mixed.join(tokens, "doc").join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("i", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    known = rows.join(sizes, "token").join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("i", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     dealt = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
-    dealt = dealt.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), side.alias("side"), "doc", "comp", "n", "idx", "sketch", "shared", "leading")
+    dealt = dealt.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), side.alias("side"), "doc", "comp", "n", "idx", "sketch")
     dealt = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +314,7 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             get = lambda c: t[c].to_numpy()
-            found = block_survivors(key[0], get("side"), get("doc"), get("comp"), get("n"), get("idx"), t["sketch"].to_pylist(), t["shared"].to_pylist(), t["leading"].to_pylist())
-            a, b = zip(*found) if found else ([], [])
+            a, b = block_survivors(get("side"), get("doc"), get("comp"), get("n"), get("idx"), t["sketch"].to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
