@@ -10,6 +10,7 @@ or with what may be a special token, goes to the library whole. A worker keeps i
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -30,6 +31,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[str, str]:
+    """Byte -> the printable character that byte-level vocabularies write for it: itself, or the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class Generation:
     """Remembers up to two times PIECE_LIMIT entries; those used lately stay."""
 
@@ -66,6 +74,12 @@ class PieceEncoder:
         self.mark = os.path.commonprefix([str(t) for t in self.tokenizer.get_added_tokens_decoder().values()])[:2]
         assert self.mark.lower() == self.mark.upper() != "", "special tokens must share a start without letters"
         self.marks: dict[str, bytes] = {}
+        # a run of these letters is one pre-token: the model is asked directly, in the byte alphabet of byte-level vocabularies
+        self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.model, self.alphabet = self.tokenizer.model, str.maketrans(byte_alphabet())
+        tries = ["Hello", "naïve", "GRÜSSE", "thhewhing", "a", "ÿ"]
+        if [self.word(w) for w in tries] != self.library([(" " if spaced else "") + w for w in tries]):
+            self.letters = lambda w: None
         self.first, self.later = Memo(), Memo()
         if not spaced:
             self.later = self.first
@@ -93,17 +107,26 @@ class PieceEncoder:
             else:
                 whole.append(w)
         cores = memo.missing(list(set(tails.values())), memo.cores)
-        for w, ids in zip(cores, self.library([lead + w for w in cores])):
-            memo.cores.young[w] = ids
+        fast = [w for w in cores if self.letters(w)] if lead or not self.spaced else []
+        memo.cores.young.update((w, self.word(w)) for w in fast)
+        rest = [w for w in cores if w not in memo.cores.young]
+        memo.cores.young.update(zip(rest, self.library([lead + w for w in rest])))
         marks = [m for m in {w[len(c) :] for w, c in tails.items()} if m not in self.marks]
         self.marks.update(zip(marks, self.library(marks)))
-        for w, ids in zip(whole, self.library([lead + w for w in whole])):
-            memo.young[w] = ids
+        if lead or not self.spaced:
+            memo.young.update((w, self.word(w)) for w in whole if self.letters(w))
+            whole = [w for w in whole if w not in memo.young]
+        memo.young.update(zip(whole, self.library([lead + w for w in whole])))
         for w, core in tails.items():
             memo.young[w] = memo.cores.young[core] + self.marks[w[len(core) :]]
         if len(self.marks) > PIECE_LIMIT:
             self.marks.clear()
 
+    def word(self, word: str) -> bytes:
+        """Ids of a run of letters, after a space where the vocabulary keeps it."""
+        text = " " + word if self.spaced else word.lower()
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
     def library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
