@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 from .words import mix, row_grams
 
-WINDOW, CHUNK, BUCKET_WINDOWS = 13, 1_500_000, 1_000_000
+WINDOW, CHUNK, BUCKET_WINDOWS = 13, 800_000, 1_000_000
 
 
 def squeeze(values: np.ndarray) -> bytes:

@@ -201,7 +201,7 @@ def test_substring_dedup_against_brute_force(spark, texts, none, monkeypatch):
                 keep[k : k + 13] = [False] * 13
         kept = [x for x, y in zip(w, keep) if y]
         want[i] = (len(w), len(w) - len(kept), b" ".join(kept).decode())
-    for chunk in (1_500_000, 200):
+    for chunk in (800_000, 200):
         monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
         got = collected(substring_dedup.remove_repeats(frame(spark, [*rows, (None, passage)]).repartition(5)))
         assert len(got) == len(rows) + 1
