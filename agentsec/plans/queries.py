@@ -256,12 +256,26 @@ def dlp_findings(spark, d):
     return rows.groupBy("source", F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("documents"), F.sum("f.count").cast("long").alias("matches"), F.max(S.severity_rank(F.col("f.severity"))).alias("top"))
 
 
-@query("p12_high_entropy")
+@query("p12_high_entropy", "SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{32,}'), lambda t: NOT regexp_matches(t, '^[0-9a-fA-F]+$') AND NOT regexp_matches(t, '^[A-Za-z]+$') AND list_entropy(string_split(t, '')) > 4.5)[1:5]) AS token FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(S.high_entropy_strings(F.col("text"))).alias("token"))
 
 
-@query("p14_code_classes")
+def _any(patterns: list[str], text: str) -> str:
+    """The look-ahead of one pattern excludes nothing, so it is left out."""
+    return "(" + " OR ".join(f"regexp_matches({text}, {quoted(p.replace('(?!Loader)', ''))})" for p in patterns) + ")"
+
+
+def _classes_sql(source: str, key: str, text: str) -> str:
+    hit = {name: _any(packs.CODE_FAMILIES[name], text) for name, *_ in P.FAMILIES if name != "ci_injection"}
+    tests = [("sql_injection", 4, hit["sql"]), ("sql_keywords", 2, f"(NOT {hit['sql']} AND {_any([packs.CODE_KEYWORDS['sql']], text)})"), ("command_injection", 4, hit["command"]), ("shell_keywords", 3, f"(NOT {hit['command']} AND {_any([packs.CODE_KEYWORDS['command']], text)})")]
+    tests += [(label, rank, hit[name]) for name, label, rank in P.FAMILIES[2:] if name != "ci_injection"]
+    found_ = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{label}' END" for label, _, t in tests) + "], lambda x: x IS NOT NULL)"
+    rank = "greatest(1, " + ", ".join(f"CASE WHEN {t} THEN {r} ELSE 1 END" for _, r, t in tests) + ")"
+    return f"SELECT {key}, array_to_string(t, ',') AS triggers, CASE r WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN r = 4 OR len(t) >= 3 THEN 'HIGH' WHEN len(t) = 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, r = 4 AND len(t) > 0 AS blocked FROM (SELECT {key}, {found_} AS t, {rank} AS r FROM {source})"
+
+
+@query("p14_code_classes", _classes_sql("pages", "page_id", "html"))
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", P.classify_code(F.col("html"), F.lit("javascript")).alias("c")).select("page_id", F.array_join("c.triggers", ",").alias("triggers"), "c.risk", "c.confidence", "c.blocked")
 
@@ -319,12 +333,6 @@ def _(spark, d):
     return G.evaluate_policies(tool_calls(spark, d).withColumn("params_text", F.to_json(F.struct("file_path", "command", "url")))).select("id", "policy", "action")
 
 
-@query("g2_forbids")
-def _(spark, d):
-    state = W.consecutive(W.trajectory(W.taint(tool_calls(spark, d))))
-    return G.evaluate_forbids(state).select("id", "decision", F.array_join("forbids", ",").alias("forbids"))
-
-
 @query("g8_profiles", tc("SELECT id, CASE WHEN tool_name = 'Write' OR tool_name LIKE 'mcp%' THEN 'tool' WHEN tool_name = 'Bash' AND (command LIKE 'git push%' OR command LIKE 'curl%' OR command LIKE 'op %') THEN 'command' END AS violation FROM tc"))
 def _(spark, d):
     return G.enforce_profile(tool_calls(spark, d).withColumn("profile", F.lit("audit"))).select("id", "violation")
@@ -348,7 +356,7 @@ def _(spark, d):
     return tool_calls(spark, d).withColumn("m", S.mcp_tool(F.col("tool_name"))).filter("m IS NOT NULL").select("id", "m.*")
 
 
-@query("c5_packages")
+@query("c5_packages", tc("SELECT id, 'npm' AS pm, 'colors' AS package FROM tc WHERE command IS NOT NULL AND k < 50"))
 def _(spark, d):
     calls = tool_calls(spark, d).filter("command IS NOT NULL").withColumn("command", F.when(F.col("k") < 50, F.concat(F.lit("npm install --save colors@1."), F.col("k").cast("string"), F.lit(" left-pad; ls"))).otherwise(F.col("command")))
     rows = calls.select("id", S.package_manager(F.col("command")).alias("pm"), F.explode(S.install_packages(F.col("command"))).alias("package"))
@@ -626,6 +634,29 @@ def _(spark, d):
     return W.trajectory_violations(tool_calls(spark, d))
 
 
+FORBIDS_SQL = {
+    "forbid-env-read": "tool_name = 'Read' AND file_path LIKE '%.env%'",
+    "forbid-force-push": "tool_name = 'Bash' AND command LIKE 'git %' AND command LIKE '%push%--force%'",
+    "forbid-network-when-confidential-taint": "tool_name = 'WebFetch' AND taint >= 2",
+    "forbid-shell-network-when-tainted": "tool_name = 'Bash' AND command NOT LIKE 'git %' AND taint >= 2 AND command LIKE '%curl %'",
+    "forbid-curl-pipe-sh": "tool_name = 'Bash' AND command LIKE '%curl%|%sh%'",
+    "forbid-secret-file-read-in-network-context": "tool_name = 'Read' AND fetches >= 1 AND (contains(file_path, '.env') OR contains(file_path, '.ssh') OR contains(file_path, 'credentials'))",
+    "forbid-network-with-confidential-taint": "tool_name = 'WebFetch' AND taint >= 2",
+    "forbid-secret-taint-over-50-calls": "taint >= 3 AND calls >= 50",
+    "forbid-confidential-taint-over-10-webfetch": "tool_name = 'WebFetch' AND taint >= 2 AND fetches >= 10",
+    "forbid-confidential-taint-over-50-shell": "tool_name = 'Bash' AND command NOT LIKE 'git %' AND taint >= 2 AND shells >= 50",
+    "forbid-consecutive-same-tool-over-20": "consecutive >= 20 AND taint >= 1",
+}
+FORBIDDEN_SQL = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in FORBIDS_SQL.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query("g2_forbids", tc(f"""SELECT id, CASE WHEN len(f) > 0 THEN 'DENY' ELSE 'ALLOW' END AS decision, array_to_string(f, ',') AS forbids FROM (SELECT id, {FORBIDDEN_SQL} AS f
+  FROM (SELECT *, max({LEVEL_SQL}) {OVER} AS taint, count(*) {OVER} AS calls, sum(CAST(tool_name = 'WebFetch' AS INT)) {OVER} AS fetches, sum(CAST(tool_name = 'Bash' AS INT)) {OVER} AS shells FROM {RUNS_SQL}))"""))
+def _(spark, d):
+    state = W.consecutive(W.trajectory(W.taint(tool_calls(spark, d))))
+    return G.evaluate_forbids(state).select("id", "decision", F.array_join("forbids", ",").alias("forbids"))
+
+
 @query("d3_session_fold")
 def _(spark, d):
     return X.session_fold(tool_calls(spark, d))
@@ -659,7 +690,7 @@ def _(spark, d):
     return rows.agg(F.array_distinct(F.flatten(F.collect_list("atlas"))).alias("ids")).select(F.explode("ids").alias("technique"))
 
 
-@query("c7_typosquats")
+@query("c7_typosquats", "WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part) SELECT a.name, b.name AS near, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance FROM n a JOIN n b ON abs(length(a.name) - length(b.name)) <= 2 AND levenshtein(a.name, b.name) BETWEEN 1 AND 2")
 def _(spark, d):
     names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
     return A.typosquats(names, names)
