@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_LIMIT, GROUP_CHARS = 500_000, 4 << 20
+PIECE_LIMIT, GROUP_CHARS = 500_000, 3 << 20
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
