@@ -4,13 +4,15 @@ Encoding whole texts costs about half a CPU second a MB. Both vocabularies cut a
 merging, and a cut is certain where a single space stands between two non-space characters. So a text is cut
 there, each distinct piece is encoded once by the library, and the ids are remembered up to a limit; a new piece
 that ends in punctuation after a letter or digit is two pre-tokens, looked up apart. A text with other white space,
-or with what may be a special token, goes to the library whole. A worker keeps its encoder between tasks.
+or with what may be a special token, goes to the library whole. A worker keeps its encoder between tasks
+and drops it after IDLE seconds without use.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import threading
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -19,10 +21,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_LIMIT, GROUP_CHARS = 500_000, 3 << 20
+PIECE_LIMIT, GROUP_CHARS, IDLE = 400_000, 3 << 20, 4.0
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
+_timers: list[threading.Timer] = []
+
+
+def keep_alive() -> None:
+    """Put off dropping the shared encoders; one still in use goes on by its own reference."""
+    while _timers:
+        _timers.pop().cancel()
+    timer = threading.Timer(IDLE, _encoders.clear)
+    timer.daemon = True
+    timer.start()
+    _timers.append(timer)
 
 
 def vocabulary(name: str) -> str:
@@ -86,9 +99,11 @@ class PieceEncoder:
 
     @classmethod
     def shared(cls, path: str, spaced: bool) -> PieceEncoder:
-        if (path, spaced) not in _encoders:
-            _encoders[path, spaced] = cls(path, spaced)
-        return _encoders[path, spaced]
+        keep_alive()
+        encoder = _encoders.get((path, spaced))
+        if encoder is None:
+            encoder = _encoders[path, spaced] = cls(path, spaced)
+        return encoder
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -173,6 +188,7 @@ class PieceEncoder:
                         heads.append(k == 0)
                         owners.append(stop)
                 stop += 1
+            keep_alive()
             made = self.group(segments, heads) if segments else []
             k = 0
             for i in range(at, stop):
