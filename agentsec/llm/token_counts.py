@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import vocabulary
+from .tokens import keep_alive, kept, vocabulary
 
 UNKNOWN_PENALTY, SPACE, WORD_LIMIT = 10.0, "▁", 300_000
 
@@ -46,27 +46,36 @@ class ViterbiCounter:
                 self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
         self.memo: dict[str, tuple[int, float]] = {}
+        self.old: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
         """(pieces, score) of the best path through a word."""
-        n = len(word)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.machine.iter(word):
-            found[end + 1].append(match)
-        single = {end for end in range(1, n + 1) if any(length == 1 for length, _ in found[end])}
+        n, at, best, pieces, single, unk = len(word), 1, None, 0, False, self.unknown
         score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            best = None
-            for length, s in sorted(found[end], reverse=True):  # earlier starts first: a tie keeps the first
-                total = score[end - length] + s
-                if best is None or total > best:
-                    best, count[end], unknown[end] = total, count[end - length] + 1, False
-            if end not in single:
-                total = score[end - 1] + self.unknown
+
+        def close() -> None:
+            """All matches that end at `at` are known: try the unknown character last, then fix the best."""
+            if not single:
+                total = score[at - 1] + unk
                 if best is None or total > best:
-                    more = len(word[end - 1].encode(errors="surrogatepass")) if self.bytes else 0 if unknown[end - 1] else 1
-                    best, count[end], unknown[end] = total, count[end - 1] + more, True
-            score[end] = best
+                    more = len(word[at - 1].encode(errors="surrogatepass")) if self.bytes else 0 if unknown[at - 1] else 1
+                    score[at], count[at], unknown[at] = total, count[at - 1] + more, True
+                    return
+            score[at], count[at] = best, pieces
+
+        # matches come by end, the longest first: a tie keeps the earlier start
+        for last, (length, s) in self.machine.iter(word):
+            while at <= last:
+                close()
+                at, best, single = at + 1, None, False
+            total = score[at - length] + s
+            if best is None or total > best:
+                best, pieces = total, count[at - length] + 1
+            if length == 1:
+                single = True
+        while at <= n:
+            close()
+            at, best, single = at + 1, None, False
         return count[n], score[n]
 
     def text(self, text: str) -> tuple[int, int, float]:
@@ -78,9 +87,11 @@ class ViterbiCounter:
         for w in words:
             got = memo.get(w)
             if got is None:
-                if len(memo) >= WORD_LIMIT:
-                    memo.clear()
-                got = memo[w] = self.word(SPACE + w)
+                if len(memo) >= WORD_LIMIT:  # words used lately stay
+                    self.old, self.memo = memo, {}
+                    memo = self.memo
+                got = self.old.get(w) or self.word(SPACE + w)
+                memo[w] = got
             tokens += got[0]
             total += got[1]
         return len(words), tokens, total
@@ -91,8 +102,9 @@ def count_tokens(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_i
     path = vocab or vocabulary("piece_bpe_32k.model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = ViterbiCounter(load_pieces(path))
+        counter = kept((path, "counts"), lambda: ViterbiCounter(load_pieces(path)))
         for batch in batches:
+            keep_alive()
             got = [counter.text(t or "") for t in batch.column(1).to_pylist()]
             cols = [pa.array(c, t) for c, t in zip(zip(*got) if got else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "n_words", "n_tokens", "score"])

@@ -14,8 +14,9 @@ import os
 import re
 import threading
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +25,29 @@ import pyarrow.compute as pc
 PIECE_LIMIT, GROUP_CHARS, IDLE = 400_000, 3 << 20, 4.0
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-_encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
+_kept: dict[tuple, Any] = {}
 _timers: list[threading.Timer] = []
 
 
 def keep_alive() -> None:
-    """Put off dropping the shared encoders; one still in use goes on by its own reference."""
+    """Put off dropping what is kept between tasks; what is still in use goes on by its own reference."""
     while _timers:
         _timers.pop().cancel()
-    timer = threading.Timer(IDLE, _encoders.clear)
+    timer = threading.Timer(IDLE, _kept.clear)
     timer.daemon = True
     timer.start()
     _timers.append(timer)
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker keeps under `key`, made at first use."""
+    keep_alive()
+    got = _kept.get(key)
+    if got is None:
+        got = _kept[key] = make()
+    return got
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -99,11 +109,7 @@ class PieceEncoder:
 
     @classmethod
     def shared(cls, path: str, spaced: bool) -> PieceEncoder:
-        keep_alive()
-        encoder = _encoders.get((path, spaced))
-        if encoder is None:
-            encoder = _encoders[path, spaced] = cls(path, spaced)
-        return encoder
+        return kept((path, spaced), lambda: cls(path, spaced))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
