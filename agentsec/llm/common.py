@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """At most 1000 rows in an Arrow batch: texts are long, and a worker holds whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
