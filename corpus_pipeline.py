@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentsec.llm import decontamination, jaccard_join, packing, pii, toxicity
-from agentsec.llm.common import join_small, materialize, table
+from agentsec.llm.common import bound_batches, join_small, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,11 +25,13 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, rejects go."""
+    bound_batches(spark)
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of linked documents stays, once."""
+    bound_batches(spark)
     groups = materialize(jaccard_join.link_documents(docs), "groups")
     rest = without(docs, groups.filter("component_id <> doc_id")).select(*COLUMNS)
     repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
@@ -40,17 +42,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    bound_batches(spark)
     return without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))).select(*COLUMNS)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the text."""
+    bound_batches(spark)
     masked = pii.mask_documents(docs)
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 1024 ids."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 
