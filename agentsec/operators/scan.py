@@ -134,16 +134,27 @@ def _matches(rule: Rule):
     return lambda s: F.coalesce(s.rlike(rule.regex), F.lit(False))
 
 
+#: Names and extensions of a language -> the key by which the line rules know it. Fixed values.
+RULE_LANGUAGES = {"ts": "ts", "tsx": "ts", "mts": "ts", "typescript": "ts", "js": "js", "jsx": "js", "mjs": "js", "javascript": "js", "py": "py", "python": "py"}
+
+
+def rule_language(lang: Column) -> Column:
+    name = F.regexp_replace(F.lower(lang), r"^\.", "")
+    return F.coalesce(*[F.when(name.isin(*[n for n, k in RULE_LANGUAGES.items() if k == key]), F.lit(key)) for key in ("ts", "js", "py")], name)
+
+
 def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], rules: Sequence[Rule] = LINTER) -> DataFrame:
-    """(keys, rule_id, severity, line): first line of each rule that applies to the language; comment lines are skipped."""
-    lines = F.split(F.col(content), "\n")
-    comment = lambda s: F.trim(s).rlike(r"^(?://|#|\*|/\*)")
+    """(keys, rule_id, severity, line): first line of each rule that applies to the language, given by name or extension; comment lines are skipped."""
+    lines, lang = F.split(F.col(content), "\n"), rule_language(lang)
+    comment = lambda s: s.rlike(r"^[\s\p{Z}\x{FEFF}]*(?://|#|\*)")
     code = F.transform(lines, lambda s: F.when(~comment(s), s))
     out = []
     for r in rules:
         at = F.array_position(F.transform(code, _matches(r)), True)
         applies = F.lit(True) if "*" in r.languages or not r.languages else lang.isin(*r.languages)
-        out.append(F.when(applies & F.col(content).rlike(r.regex) & (at > 0), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), at.cast("int").alias("line"))))
+        # a look-ahead may see the next line in the whole text, so there it is no gate
+        gate = applies if "(?!" in r.pattern else applies & F.col(content).rlike(r.regex)
+        out.append(F.when(gate & (at > 0), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), at.cast("int").alias("line"))))
     return df.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")
 
 

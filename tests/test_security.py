@@ -122,6 +122,23 @@ def test_code(spark):
     assert [(r.rule_id, r.line) for r in P.lint_lines(df, "text", F.lit("javascript"), ["id"]).collect() if r.rule_id == "hardcoded-password"] == [("hardcoded-password", 3)]
 
 
+def test_every_line_rule_runs_for_its_languages(spark):
+    hits = {
+        "hardcoded-api-key": "k = 'sk-abcdefghijklmnopqrstuv'", "hardcoded-password": 'pwd = "abcd"', "hardcoded-secret": 'token: "abcdefghijklmnopqrstuv"', "sql-injection": "db.query(`SELECT a FROM b WHERE c = ${d}`)", "command-injection-shell-true": "subprocess.run(c, shell=True)",
+        "command-injection-exec": "exec(`ls ${d}`)", "path-traversal": "readFile(req.path)", "unsafe-pickle": "pickle.loads(x)", "unsafe-eval-json": "eval(JSON.stringify(x))", "xss-innerhtml": "a.innerHTML = b", "xss-document-write": "document.write(b)",
+        "weak-crypto-md5": "hashlib.md5(b)", "weak-crypto-sha1": "hashlib.sha1(b)", "no-input-validation": "x = req.body.name", "debug-console-log": "console.log(password)",
+    }
+    assert set(hits) == {r.id for r in R.LINTER}
+    keys = {"ts": ["ts", "tsx", "mts", "typescript"], "js": ["js", "jsx", "mjs", "javascript", ".JS"], "py": ["py", "python"], "go": ["go", "unknown"]}
+    rows = [(rule, lang, f"ok\n{text}") for rule, text in hits.items() for langs in keys.values() for lang in langs]
+    got = P.lint_lines(spark.createDataFrame(rows, "name string, lang string, text string"), "text", F.col("lang"), ["name", "lang"]).collect()
+    own = {(r.name, r.lang) for r in got if r.rule_id == r.name and r.line == 2}
+    assert own == {(r.id, lang) for r in R.LINTER for key, langs in keys.items() for lang in langs if "*" in r.languages or key in r.languages}
+    lines = [("/* a", "/* pwd = 'abcd'"), ("tab", "\t// pwd = 'abcd'"), ("star", " * pwd = 'abcd'"), ("hash", "# pwd = 'abcd'"), ("next", "a.innerHTML = \n''"), ("empty", "a.innerHTML = ''")]
+    df = spark.createDataFrame([(n, t) for n, t in lines], "name string, text string").withColumn("lang", S.language(F.lit("a/b.ts")))
+    assert {(r.name, r.rule_id) for r in P.lint_lines(df, "text", F.col("lang"), ["name"]).collect()} == {("/* a", "hardcoded-password"), ("next", "xss-innerhtml")}
+
+
 def test_rule_tables(spark):
     r = lambda i, p: R.Rule(i, "jailbreak", "HIGH", "i", p)
     a, b, c = (R.rule_table(spark, x) for x in ([r("1", "p"), r("2", "q")], [r("1", "new"), r("3", "q"), r("4", "z")], [r("5", "new"), r("3", "y")]))
