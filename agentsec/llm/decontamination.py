@@ -1,12 +1,14 @@
 """Operator 3, benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
 DataFrame operations only. Words are the runs of letters and digits of the lower-cased text; a shingle is five of them
-(all, in an item with fewer). For an item of L words, windows of L words slide over a document word by word.
+(all, in an item with fewer). For an item of L words, windows of L words slide over a document word by word; a
+document of fewer words is one window.
 
 1. Sieve. Similarity here is that of shingle multisets, the sum of smaller counts over the sum of larger ones, at
    least 0.75. As window and item have m shingles each, at least 6m/7 of the window's are the item's. Shingles of
    the documents meet those of the benchmark, and only windows with so many shingles of items of their length
-   stay. This is exact for every window and item.
+   stay. A document shorter than the item has fewer shingles than the item's m, so there it is 3/7 of the sum of both
+   counts. This is exact for every window and item.
 2. SimHash. Each window and item gets 64 bits, each the majority of that bit in its shingle hashes.
 3. Index. Bits are cut into 8 bytes. Two fingerprints within 23 bits differ by at most 2 bits in one byte, so
    items are filed under all 37 values within 2 bits of each byte, and windows look their 8 bytes up: all
@@ -79,14 +81,18 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def candidate_starts(hits: DataFrame) -> DataFrame:
-    """(doc_id, n_words, k, start): windows in which at least 6/7 of the shingle places are hits for their length."""
+    """(doc_id, length, n_words, k, start): windows in which enough shingle places are hits for their length.
+
+    That is 6/7 of the places; in a document of fewer words, one window, 3/7 of its places and the item's.
+    """
     m = (F.col("n_words") - F.col("k") + 1).alias("m")
-    need = F.floor((6 * F.col("m") + 6) / 7).cast("int").alias("need")
-    runs = hits.groupBy("doc_id", "n_words", "k").agg(F.array_sort(F.collect_set("pos")).alias("p")).select("*", m).select("*", need).filter(F.size("p") >= F.col("need"))
+    short = F.col("length") < F.col("n_words")
+    need = F.when(short, F.floor((3 * (F.col("length") - F.col("k") + 1 + F.col("m")) + 6) / 7)).otherwise(F.floor((6 * F.col("m") + 6) / 7)).cast("int").alias("need")
+    runs = hits.groupBy("doc_id", "length", "n_words", "k").agg(F.array_sort(F.collect_set("pos")).alias("p")).select("*", m).select("*", need).filter(F.size("p") >= F.col("need"))
     spans = F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda i: F.struct(F.greatest(F.get("p", i + F.col("need") - 1) - F.col("m") + 1, F.lit(0)).alias("lo"), F.get("p", i).alias("hi")))
     spans = F.filter(spans, lambda s: s["lo"] <= s["hi"])
-    starts = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"]))))
-    return runs.select("doc_id", "n_words", "k", F.explode(starts).alias("start"))
+    starts = F.when(short, F.array(F.lit(0))).otherwise(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"])))))
+    return runs.select("doc_id", "length", "n_words", "k", F.explode(starts).alias("start"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -100,20 +106,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75)
 
     hits = None
     for k in lengths:
-        places = words.select("doc_id", F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "h"))
-        met = join_small(places, known.filter(F.col("k") == k), "h", "inner", n_known).select("doc_id", "n_words", "k", "pos")
+        places = words.select("doc_id", F.size("words").alias("length"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "h"))
+        met = join_small(places, known.filter(F.col("k") == k), "h", "inner", n_known).select("doc_id", "length", "n_words", "k", "pos")
         hits = met if hits is None else hits.union(met)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_words int")
 
-    starts = materialize(candidate_starts(hits).groupBy("doc_id").agg(F.collect_set(F.struct("n_words", "k", "start")).alias("windows")), "windows")
+    starts = materialize(candidate_starts(hits).groupBy("doc_id").agg(F.collect_set(F.struct("length", "n_words", "k", "start")).alias("windows")), "windows")
     found = join_small(texts, starts, "doc_id", "inner", starts.count()).select("doc_id", "windows", word_hashes(F.col("text")).alias("words"))
-    keys = ["doc_id", "n_words", "start"]
+    keys = ["doc_id", "length", "n_words", "start"]
     cut = None
     for k in lengths:
         arrays = found.select("doc_id", "windows", shingle_hashes(F.col("words"), k).alias("all"))
         one = arrays.select("doc_id", "all", F.explode(F.filter("windows", lambda w: w["k"] == k)).alias("w")).select("doc_id", "all", "w.*")
-        one = one.filter(F.col("start") + F.col("n_words") - k < F.size("all"))
+        one = one.filter((F.col("length") - k + 1 == F.size("all")) & (F.col("start") + F.least("length", "n_words") - k < F.size("all")))
         one = one.select(*keys, F.array_sort(F.slice("all", F.col("start") + 1, F.col("n_words") - k + 1)).alias("hashes"))
         cut = one if cut is None else cut.union(one)
     cut = materialize(cut.dropDuplicates([*keys, "hashes"]), "cut")
@@ -130,9 +136,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75)
     ours = cut.select(*keys, occurrences(F.col("hashes")).alias("ours"))
     both = join_small(pairs.join(ours, keys), sets, ids, "inner", n_items)
     shared = F.size(F.array_intersect("ours", "theirs"))
-    similarity = (shared / (2 * F.size("theirs") - shared)).alias("similarity")
+    similarity = (shared / (F.size("ours") + F.size("theirs") - shared)).alias("similarity")
     kept = both.select(*keys, "item_id", similarity).filter(F.col("similarity") >= threshold)
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b"))
+    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.least("length", "n_words").alias("n_words"))).alias("b"))
     return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start_word"), "b.n_words")
 
 

@@ -183,6 +183,33 @@ def test_decontamination_against_brute_force(spark, none):
     assert decontamination.contaminated(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    rng = random.Random(11)
+    items = [(k, sentence(rng, n)) for k, n in enumerate([39, 39, 24, 60, 6, 4])]
+    rows, want = [], {}
+    for j, b in items:
+        w = b.split()
+        for cut in range(len(w)):  # the passage without its last words, its first words, or some inside
+            for n, own in enumerate((w[: len(w) - cut], w[cut:], w[: len(w) // 2] + w[len(w) // 2 + cut :], w[:-1][: cut or None] + ["other"] + w[:-1][cut + 1 :])):
+                rows.append((1000 * j + 10 * cut + n, " ".join(own)))
+    rows += [(90_000, items[0][1]), (90_001, sentence(rng, 30)), (90_002, items[0][1].rsplit(" ", 1)[0]), (90_002, sentence(rng, 50))]
+    for i, t in rows:
+        for j, b in items:
+            w, v = t.split(), b.split()
+            k = min(5, len(v))
+            grams = lambda x: Counter(tuple(x[a : a + k]) for a in range(len(x) - k + 1))
+            for s in range(max(1, len(w) - len(v) + 1)):
+                ours, theirs = grams(w[s : s + len(v)]), grams(v)
+                both = sum((ours & theirs).values())
+                whole = sum(ours.values()) + sum(theirs.values()) - both
+                if both and both / whole >= 0.75 and both / whole > want.get((i, j), (0,))[0]:
+                    want[i, j] = both / whole, s, min(len(w), len(v))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in collected(decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")))}
+    assert got.keys() == want.keys() and all(abs(got[x][0] - want[x][0]) < 1e-9 and got[x][1:] == want[x][1:] for x in got)
+    assert want[10, 0][2] == 38 and got[10, 0][0] > 0.9
+    assert sum(n < len(items[j][1].split()) for (_, j), (_, _, n) in want.items()) > 40 and (90_002, 0) in want
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------
 def test_substring_dedup_against_brute_force(spark, texts, none, monkeypatch):
     rng = random.Random(9)
