@@ -4,7 +4,7 @@ Centroids come from k-means on a bounded sample (SAMPLE rows, lowest id hash fir
 its unit residual from the nearest centroid as one sign bit a dimension after a random rotation, with the scalars that
 correct the estimate. A query probes the nearest PROBE_SHARE of the clusters (a large share: the test vectors have no
 cluster structure, and the nearest of random vectors lie in any cluster; where vectors do cluster, pass less). There the packed bits give an estimate of each
-inner product and a bound on its error; rows whose upper bound reaches the k-th best lower bound are
+inner product and a bound on its error; rows whose upper bound reaches the k-th best lower bound of distinct ids are
 reranked by the exact cosine, in double precision, on the original vectors.
 
 A cluster of any size is split into blocks of about BLOCK rows by id hash, and a query meets each block in its
@@ -122,6 +122,10 @@ def search_block(base: dict[str, np.ndarray], queries: dict[str, np.ndarray], ce
     vs = v / scale[:, None]
     v_norm = np.sqrt((vs * vs).sum(1))
     fit = np.maximum(base["fit"], 1e-9)
+    # rows by id: an id counts once in the floor, with its best lower bound
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
+    repeated = len(starts) < len(ids)
     spread = np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * EPSILON / np.sqrt(max(dim - 1, 1))
     for lo in range(0, len(queries["ids"]), 256):
         q = queries["v"][lo : lo + 256]
@@ -133,7 +137,9 @@ def search_block(base: dict[str, np.ndarray], queries: dict[str, np.ndarray], ce
         for row, query_id in enumerate(queries["ids"][lo : lo + 256]):
             mine = ids != query_id
             low = np.where(mine, estimate[row] - error[row], -np.inf)
-            n = min(k, int(mine.sum()))
+            if repeated:
+                low = np.maximum.reduceat(low[by_id], starts)
+            n = min(k, int((low > -np.inf).sum()))
             if not n:
                 continue
             floor = np.partition(low, len(low) - n)[len(low) - n]

@@ -263,6 +263,24 @@ def test_nearest_recall_and_order(spark, monkeypatch):
     assert nearest.nearest(few.filter("vec_id < 0")).count() == 0
 
 
+def test_nearest_with_an_id_repeated_ten_times(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((200, 16))
+    v[1] = v[0] + 0.01 * v[1]  # close to the query, and ten times in the table
+    for near in range(2, 6):
+        v[near] = v[0] + 0.3 * near * v[near]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(1, v[1].tolist())] * 9
+    rows += rows[6:]  # and others twice
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, df.filter("vec_id < 6")).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(6):
+        s = u @ u[q]
+        s[q] = -9
+        one = got[got.query_id == q].sort_values("rank")
+        assert list(one.vec_id) == list(np.argsort(-s, kind="stable")[:5]) and np.allclose(one.score, np.sort(s)[::-1][:5])
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------
 def test_plan_uses_every_piece_once_and_fills_closest():
     rng = random.Random(4)
