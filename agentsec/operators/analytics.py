@@ -205,9 +205,10 @@ def reportable(events: DataFrame) -> DataFrame:
 
 
 def in_session_window(rows: DataFrame, sessions: DataFrame, slack: str = "60 SECONDS") -> DataFrame:
-    """(session_id, id): rows without a session matched to the sessions whose span, and some slack, holds their time.
+    """(session_id, id, ts): rows without a session matched to the sessions whose span, and some slack, holds their time.
 
-    The spans are bucketed by hour, so the join is an equality join with a range condition and not a nested loop.
+    The spans are bucketed by hour, so the join is an equality join with a range condition and not a nested loop. Sessions
+    without bounds match nothing here; for them see `in_window_or_last`.
     """
     hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
     end = F.col("ended_at") + F.expr(f"INTERVAL {slack}")
@@ -216,6 +217,16 @@ def in_session_window(rows: DataFrame, sessions: DataFrame, slack: str = "60 SEC
     return loose.join(spans, "_h").filter(F.col("ts").between(F.col("started_at"), F.col("until"))).select("session_id", "id", "ts")
 
 
+def in_window_or_last(rows: DataFrame, sessions: DataFrame, n: int = 10, slack: str = "60 SECONDS") -> DataFrame:
+    """`in_session_window`, and the last n rows by (ts, id) for each session with no bounds."""
+    bounded = F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()
+    back = Window.orderBy(F.desc("ts"), F.desc("id"))
+    # the limit is taken in each task first, so that the window sees n rows
+    last = rows.select("id", "ts").orderBy(F.desc("ts"), F.desc("id")).limit(n).withColumn("_place", F.row_number().over(back)).filter(F.col("_place") <= n).drop("_place")
+    unbounded = sessions.filter(~bounded).select("session_id").crossJoin(F.broadcast(last)).select("session_id", "id", "ts")
+    return in_session_window(rows, sessions.filter(bounded), slack).unionByName(unbounded)
+
+
 # --- joins --------------------------------------------------------------------------------------------------
 
 

@@ -143,6 +143,13 @@ def _(spark, d):
     return A.in_session_window(loose, A.session_summary(e.filter("session_id IN ('s1','s2','s3')")))
 
 
+@query("f15_session_window_all")
+def _(spark, d):
+    """All events as loose ones against all sessions; no SQL, as the pairs are too many. `f15_session_window` is the part of it that SQL checks."""
+    e = security_events(spark, d)
+    return A.in_window_or_last(e.drop("session_id"), A.session_summary(e))
+
+
 @query("f16_reportable", se(f"SELECT {COLS} FROM se WHERE session_id IN (SELECT session_id FROM se WHERE action IN ('block','alert'))"))
 def _(spark, d):
     return A.reportable(security_events(spark, d)).select(*EVENT)

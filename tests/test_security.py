@@ -14,6 +14,9 @@ from agentsec.operators import sessions as W
 from agentsec.rules import compile as R
 from agentsec.rules import packs
 from agentsec.sources import logs
+from agentsec.sources.views import security_events
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column, value, schema="x string"):
@@ -139,6 +142,27 @@ def test_every_line_rule_runs_for_its_languages(spark):
     assert {(r.name, r.rule_id) for r in P.lint_lines(df, "text", F.col("lang"), ["name"]).collect()} == {("/* a", "hardcoded-password"), ("next", "xss-innerhtml")}
 
 
+def test_session_window_has_all_sessions_and_events(spark):
+    import __spark_entry__
+
+    e = [(r.id, r.ts, r.session_id) for r in security_events(spark, SF).select("id", "ts", "session_id").collect()]
+    spans = {}
+    for _, ts, s in e:
+        lo, hi = spans.get(s, (ts, ts))
+        spans[s] = min(lo, ts), max(hi, ts)
+    want = {(s, i, ts) for s, (lo, hi) in spans.items() for i, ts, _ in e if lo <= ts <= hi + dt.timedelta(seconds=60)}
+    got = [tuple(r) for r in __spark_entry__.queries()["f15_session_window_all"](spark, SF).select("session_id", "id", "ts").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_sessions_without_bounds_get_the_last_rows(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    rows = spark.createDataFrame([(k, t(k)) for k in range(30)] + [(30, t(29))], "id long, ts timestamp").repartition(4)
+    sessions = spark.createDataFrame([("a", t(3), t(4)), ("b", None, None), ("c", t(1), None)], "session_id string, started_at timestamp, ended_at timestamp")
+    got = {(r.session_id, r.id) for r in A.in_window_or_last(rows, sessions, 4).collect()}
+    assert got == {("a", k) for k in (3, 4, 5)} | {(s, k) for s in "bc" for k in (27, 28, 29, 30)}
+
+
 def test_rule_tables(spark):
     r = lambda i, p: R.Rule(i, "jailbreak", "HIGH", "i", p)
     a, b, c = (R.rule_table(spark, x) for x in ([r("1", "p"), r("2", "q")], [r("1", "new"), r("3", "q"), r("4", "z")], [r("5", "new"), r("3", "y")]))
