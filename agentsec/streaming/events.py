@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +80,33 @@ def escalation_of(state: dict) -> str:
     return "CRITICAL" if signals >= 5 else "ELEVATED" if signals >= 3 else "NORMAL"
 
 
+OUT_ROWS = 1000
+COLUMNS = [f.split()[0] for f in OUTPUT.split(", ")]
+
+
+def row_of(session_id: str, call: dict, state: dict) -> tuple:
+    return (session_id, call["id"], state["taint"], state["calls"], state["writes"], state["shells"], state["fetches"], state["mcps"], state["run"], state["bytes"], state["cost"], state["level"], escalation_of(state))
+
+
+def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Rows of all batches by (ts, id), nulls last; more than one batch is sorted in a temporary table that spills to disk."""
+    first = next(batches, None)
+    if first is None:
+        return
+    second = next(batches, None)
+    if second is None:
+        yield from first.sort_values(["ts", "id"]).to_dict("records")
+        return
+    with closing(sqlite3.connect("")) as db:
+        db.execute("CREATE TABLE calls (ts INTEGER, id INTEGER, call BLOB)")
+        for batch in chain([first, second], batches):
+            times = [None if pd.isna(t) else pd.Timestamp(t).value for t in batch["ts"]]
+            ids = [None if pd.isna(i) else int(i) for i in batch["id"]]
+            db.executemany("INSERT INTO calls VALUES (?, ?, ?)", zip(times, ids, map(pickle.dumps, batch.to_dict("records"))))
+        for (call,) in db.execute("SELECT call FROM calls ORDER BY ts IS NULL, ts, id IS NULL, id, rowid"):
+            yield pickle.loads(call)
+
+
 class SessionState(StatefulProcessor):
     """Keyed state of a session; rows of a micro-batch are put in order first, batches count as they arrive."""
 
@@ -86,11 +117,14 @@ class SessionState(StatefulProcessor):
         names = list(START)
         state = dict(zip(names, self.state.get())) if self.state.exists() else dict(START)
         out = []
-        for call in pd.concat(list(rows)).sort_values(["ts", "id"]).to_dict("records"):
+        for call in in_order(iter(rows)):
             state = step(state, call)
-            out.append((key[0], call["id"], state["taint"], state["calls"], state["writes"], state["shells"], state["fetches"], state["mcps"], state["run"], state["bytes"], state["cost"], state["level"], escalation_of(state)))
+            out.append(row_of(key[0], call, state))
+            if len(out) == OUT_ROWS:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out = []
         self.state.update(tuple(state[n] for n in names))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -109,13 +143,19 @@ def session_states(calls: DataFrame) -> DataFrame:
 
 
 def session_fold(calls: DataFrame) -> DataFrame:
-    """The same step over a table: one pass for each session, for parity with the stream."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = dict(START), []
-        for call in rows.sort_values(["ts", "id"]).to_dict("records"):
-            state = step(state, call)
-            out.append((key[0], call["id"], state["taint"], state["calls"], state["writes"], state["shells"], state["fetches"], state["mcps"], state["run"], state["bytes"], state["cost"], state["level"], escalation_of(state)))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
-
-    return prepared_calls(calls).groupBy("session_id").applyInPandas(fold, OUTPUT)
+    """The same step over a table, for parity with the stream: sorted rows pass once, only the state of the session at hand is kept."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for call in batch.to_dict("records"):
+                session = None if pd.isna(call["session_id"]) else call["session_id"]
+                if state is None or session != key:
+                    key, state = session, dict(START)
+                state = step(state, call)
+                out.append(row_of(key, call, state))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    order = [F.col("session_id"), F.col("ts").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    return prepared_calls(calls).repartition("session_id").sortWithinPartitions(*order).mapInPandas(fold, OUTPUT)

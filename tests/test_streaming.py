@@ -1,5 +1,8 @@
 """Streams give what the batch operators give."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +46,33 @@ def test_session_state_equals_windows(spark, calls, tmp_path):
     assert {tuple(r) for r in got.select(*cols).collect()} == want
 
 
+def test_rows_come_in_order_over_batches():
+    rng = random.Random(3)
+    rows = [(pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rng.randrange(50)), k, "Bash") for k in range(500)]
+    rng.shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["ts", "id", "tool_name"])
+    for size in (500, 37, 1):
+        got = list(X.in_order(frame[k : k + size] for k in range(0, 500, size)))
+        assert [(r["ts"], r["id"], r["tool_name"]) for r in got] == sorted(rows)
+    assert list(X.in_order(iter([]))) == []
+
+
+def test_session_of_many_batches(spark, calls, tmp_path):
+    """No frame that a session's fold or state sees or makes is larger than an Arrow batch, and the results stay the same."""
+    one = calls.withColumn("session_id", F.when(F.col("id") % 3 == 0, F.lit("s1")).otherwise(F.col("session_id"))).withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    cols = ["session_id", "id", "calls", "total_bytes", "consecutive", "taint_level", "spend_level"]
+    want = sorted(tuple(r) for r in W.spend(W.egress(W.consecutive(W.trajectory(W.taint(one))))).select(*cols).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        plan = X.session_fold(one)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+        assert sorted(tuple(r) for r in X.session_fold(one).select(*cols).collect()) == want
+        got = run(X.session_states(streamed(spark, one, tmp_path)), tmp_path, "many_batches")
+        assert sorted(tuple(r) for r in got.select(*cols).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_sink_sessions_and_repeats(spark, calls, tmp_path):
     stream = streamed(spark, calls.unionAll(calls), tmp_path)
     assert run(X.without_repeats(stream), tmp_path, "once").count() == calls.count()
