@@ -17,8 +17,10 @@ n - ceil(3n/4) + 1 of each (the larger set), and of the smaller set one of the f
 4. Sketches of the sets, counts in hash cells, drop pairs that cannot overlap enough. A pair must then share prefix
    tokens under the other orders too; what is left is verified on the whole sets.
 
-No link is lost: a pair left out is in one component already. No bucket lists pairs inside a component, so rows
-don't grow with the square of a group of copies.
+No link is lost: a pair left out is in one component already. No bucket lists pairs inside a component. Blocks are not
+so frugal: a token that c documents hold, of two components or more, is dealt as c * ceil(c / BLOCK) rows with their
+sketches, and all its block pairs are compared, those inside one component masked only there. So a very large group
+of near copies whose token one outsider holds too costs rows and comparisons that grow with the square of the group.
 
 Nulls: a null or empty text, or one without words, has an empty set and is alone; a null doc_id has no links and a null
 component. Rows that repeat a doc_id are expected to repeat the text. Shingles are compared by 64-bit hashes.
