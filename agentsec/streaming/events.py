@@ -138,7 +138,7 @@ def prepared_calls(calls: DataFrame) -> DataFrame:
 
 
 def session_states(calls: DataFrame) -> DataFrame:
-    """Streaming taint, counters, egress, spend and escalation of each call. Needs the RocksDB state store."""
+    """Streaming taint, counters, egress, spend and escalation of each call. Needs the RocksDB state store; state has no time limit and is never evicted."""
     return prepared_calls(calls).groupBy("session_id").transformWithStateInPandas(SessionState(), OUTPUT, "Append", "None")
 
 
