@@ -152,8 +152,8 @@ def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], r
     for r in rules:
         at = F.array_position(F.transform(code, _matches(r)), True)
         applies = F.lit(True) if "*" in r.languages or not r.languages else lang.isin(*r.languages)
-        # a look-ahead may see the next line in the whole text, so there it is no gate
-        gate = applies if "(?!" in r.pattern else applies & F.col(content).rlike(r.regex)
+        # in the whole text a look-ahead may see the next line, so only what stands before it is the gate
+        gate = applies & F.col(content).rlike(r.regex.split("(?!")[0])
         out.append(F.when(gate & (at > 0), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), at.cast("int").alias("line"))))
     return df.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")
 
