@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_arrow, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS, ACCEPT, EM_ROUNDS = 6, 0.9, 50
@@ -186,7 +186,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 rows.append([dict(zip(keys, (*s, votes(text, s, b), b))) for s, b in every])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, "doc_id long, spans array<struct<start:int,kind:int,end:int,code:int,base:boolean>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), search, "doc_id long, spans array<struct<start:int,kind:int,end:int,code:int,base:boolean>>")
 
 
 def train_classifier(found: DataFrame) -> np.ndarray:
@@ -232,7 +232,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return found.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(found, decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_documents(docs: DataFrame, classifier: np.ndarray | None = None) -> DataFrame:

@@ -15,25 +15,30 @@ import re
 import threading
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-PIECE_LIMIT, GROUP_CHARS, IDLE = 400_000, 3 << 20, 4.0
+PIECE_LIMIT, PART_CHARS, IDLE = 200_000, 3 << 20, 4.0
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _kept: dict[tuple, Any] = {}
 _timers: list[threading.Timer] = []
 
 
+def drop_kept() -> None:
+    """Forget what is kept between tasks and give its memory back to the system."""
+    from .common import release_memory
+
+    _kept.clear()
+    release_memory()
+
+
 def keep_alive() -> None:
     """Put off dropping what is kept between tasks; what is still in use goes on by its own reference."""
     while _timers:
         _timers.pop().cancel()
-    timer = threading.Timer(IDLE, _kept.clear)
+    timer = threading.Timer(IDLE, drop_kept)
     timer.daemon = True
     timer.start()
     _timers.append(timer)
@@ -61,28 +66,22 @@ def byte_alphabet() -> dict[str, str]:
     return {chr(b): chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
-class Generation:
-    """Remembers up to two times PIECE_LIMIT entries; those used lately stay."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
+class Pieces(dict):
+    """Piece -> ids as bytes, found by `make` at first use. Up to two times `limit` entries; those used lately stay."""
 
-class Memo(Generation):
-    def __init__(self) -> None:
+    def __init__(self, make: Callable[[str], bytes], limit: int = PIECE_LIMIT):
         super().__init__()
-        self.cores = Generation()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def missing(self, words: list[str], where: Generation | None = None) -> list[str]:
-        """Those not remembered; the others are in `young` afterwards."""
-        g = where or self
-        new = [w for w in words if w not in g.young]  # set operations with a dict's keys walk the whole dict
-        if len(g.young) + len(new) > PIECE_LIMIT:
-            g.old, g.young = g.young, {}
-            new = list(words)
-        g.young.update((w, g.old[w]) for w in new if w in g.old)
-        return [w for w in new if w not in g.young]
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= self.limit:
+            self.old = self.copy()
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -96,119 +95,77 @@ class PieceEncoder:
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.mark = os.path.commonprefix([str(t) for t in self.tokenizer.get_added_tokens_decoder().values()])[:2]
         assert self.mark.lower() == self.mark.upper() != "", "special tokens must share a start without letters"
-        self.marks: dict[str, bytes] = {}
         # a run of these letters is one pre-token: the model is asked directly, in the byte alphabet of byte-level vocabularies
         self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.model, self.alphabet = self.tokenizer.model, str.maketrans(byte_alphabet())
         tries = ["Hello", "naïve", "GRÜSSE", "thhewhing", "a", "ÿ"]
-        if [self.word(w) for w in tries] != self.library([(" " if spaced else "") + w for w in tries]):
+        if [self.word(w) for w in tries] != [self.library((" " if spaced else "") + w) for w in tries]:
             self.letters = lambda w: None
-        self.first, self.later = Memo(), Memo()
-        if not spaced:
-            self.later = self.first
+        self.line_end = self.library("\n")
+        self.marks = Pieces(self.library, 20_000)
+        self.heads = Pieces(self.head, 50_000) if spaced else None
+        self.pieces = Pieces(self.piece)
 
     @classmethod
     def shared(cls, path: str, spaced: bool) -> PieceEncoder:
         return kept((path, spaced), lambda: cls(path, spaced))
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def plain(self, text: str) -> bool:
-        """Every white space is one space or line end between other characters, and no special token can match."""
-        return bool(text) and self.mark not in text and " ".join(text.split()) == text.replace("\n", " ")
-
-    def learn(self, memo: Memo, words: list[str], lead: str) -> None:
-        """Make `memo` hold all `words`, with the ids of lead + word."""
-        tails, whole = {}, []
-        for w in memo.missing(words):
-            core = w.rstrip(PUNCTUATION)
-            if core and core != w and core[-1].isalnum():
-                tails[w] = core
-            else:
-                whole.append(w)
-        cores = memo.missing(list(set(tails.values())), memo.cores)
-        fast = [w for w in cores if self.letters(w)] if lead or not self.spaced else []
-        memo.cores.young.update((w, self.word(w)) for w in fast)
-        rest = [w for w in cores if w not in memo.cores.young]
-        memo.cores.young.update(zip(rest, self.library([lead + w for w in rest])))
-        marks = [m for m in {w[len(c) :] for w, c in tails.items()} if m not in self.marks]
-        self.marks.update(zip(marks, self.library(marks)))
-        if lead or not self.spaced:
-            memo.young.update((w, self.word(w)) for w in whole if self.letters(w))
-            whole = [w for w in whole if w not in memo.young]
-        memo.young.update(zip(whole, self.library([lead + w for w in whole])))
-        for w, core in tails.items():
-            memo.young[w] = memo.cores.young[core] + self.marks[w[len(core) :]]
-        if len(self.marks) > PIECE_LIMIT:
-            self.marks.clear()
+    def library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a run of letters, after a space where the vocabulary keeps it."""
         text = " " + word if self.spaced else word.lower()
         return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
-    def library(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
-
-    def group(self, segments: list[str], heads: list[bool]) -> list[np.ndarray]:
-        """Ids of plain segments; a segment's first word is a head (without a space before it) or not."""
-        # the words and line ends of all segments as codes into their distinct values, without Python objects
-        parts = pc.split_pattern(pa.array(segments, pa.large_string()), " ")
-        offsets = parts.offsets.to_numpy()
-        coded = parts.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        head = np.zeros(len(codes), bool)
-        if self.spaced:
-            ends = np.array([w == "\n" for w in words])[codes]
-            head[1:] = ends[:-1]
-            head |= ends
-            head[offsets[:-1]] = heads
-        keys = codes * 2 + head
-        used = np.flatnonzero(np.bincount(keys, minlength=2 * len(words)))
-        late, early = [words[k >> 1] for k in used if not k & 1], [words[k >> 1] for k in used if k & 1]
-        self.learn(self.later, late, " " if self.spaced else "")
-        got_late = [self.later.young[w] for w in late]
-        self.learn(self.first, early, "")
-        got_early = [self.first.young[w] for w in early]
-        order = np.concatenate([used[used % 2 == 0], used[used % 2 == 1]])
-        sizes = np.fromiter(map(len, chain(got_late, got_early)), np.int64, len(order)) // 4
-        pool = np.frombuffer(b"".join(chain(got_late, got_early)), "<u4")
-        size, start = np.zeros((2, 2 * len(words)), np.int64)
-        size[order], start[order] = sizes, np.cumsum(sizes) - sizes
-        n = size[keys]
-        done = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(start[keys] - done[:-1], n) + np.arange(done[-1])]
-        return [ids[done[lo] : done[hi]] for lo, hi in zip(offsets[:-1], offsets[1:])]
+    def head(self, word: str) -> bytes:
+        """Ids of a word at the start of a text or line, where no space stands before it."""
+        core = word.rstrip(PUNCTUATION)
+        if core != word and core and core[-1].isalnum():
+            return self.heads[core] + self.marks[word[len(core) :]]
+        return self.library(word)
+
+    def piece(self, word: str) -> bytes:
+        """Ids of a word after a space; or of a line end and the word after it."""
+        if self.letters(word):
+            return self.word(word)
+        if word[0] == "\n":
+            return self.line_end + self.heads[word[1:]]
+        core = word.rstrip(PUNCTUATION)
+        if core != word and core and core[-1].isalnum():
+            return self.pieces[core] + self.marks[word[len(core) :]]
+        return self.library(" " + word if self.spaced else word)
+
+    def encode_one(self, text: str) -> np.ndarray:
+        found: list[bytes] = []
+        for part in cut(text) if self.mark not in text else ():
+            # every white space must be one space or line end between other characters
+            words = part.split()
+            gaps = part.count(" ") + part.count("\n")
+            if not words or gaps != len(words) - 1 or gaps != len(part) - sum(map(len, words)):
+                found = []
+                break
+            if "\n" in part and (self.spaced or self.line_end):
+                if not self.spaced:
+                    found = []
+                    break
+                words = part.replace("\n", " \n").split(" ")
+            if self.spaced and not found:
+                found.append(self.heads[words[0]])
+                del words[0]
+            found += map(self.pieces.__getitem__, words)
+        return np.frombuffer(b"".join(found) if found else self.library(text), np.uint32)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        at = 0
-        while at < len(texts):
-            segments, heads, owners, chars, stop = [], [], [], 0, at
-            while stop < len(texts) and (chars == 0 or chars + len(texts[stop]) <= GROUP_CHARS):
-                text = texts[stop]
-                chars += len(text)
-                if self.plain(text):
-                    for k, part in enumerate(cut(text)):
-                        segments.append(part.replace("\n", " \n "))
-                        heads.append(k == 0)
-                        owners.append(stop)
-                stop += 1
-            keep_alive()
-            made = self.group(segments, heads) if segments else []
-            k = 0
-            for i in range(at, stop):
-                mine = k
-                while k < len(owners) and owners[k] == i:
-                    k += 1
-                yield self.whole(texts[i]) if mine == k else made[mine] if k - mine == 1 else np.concatenate(made[mine:k])
-            at = stop
+        for text in texts:
+            yield self.encode_one(text)
+        keep_alive()
 
 
 def cut(text: str) -> Iterator[str]:
     """Parts of a long text, cut at single spaces, which are left out."""
     at = 0
-    while len(text) - at > GROUP_CHARS and (end := text.find(" ", at + GROUP_CHARS)) >= 0:
+    while len(text) - at > PART_CHARS and (end := text.find(" ", at + PART_CHARS)) >= 0:
         yield text[at:end]
         at = end + 1
     yield text[at:]
