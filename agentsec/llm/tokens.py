@@ -3,8 +3,8 @@
 Encoding whole texts costs about half a CPU second a MB. Both vocabularies cut a text into pre-tokens before
 merging, and a cut is certain where a single space stands between two non-space characters. So a text is cut
 there, each distinct piece is encoded once by the library, and the ids are remembered up to a limit; a new piece
-that ends in punctuation after a letter or digit is two pre-tokens, looked up apart. A text with other white space,
-or with what may be a special token, goes to the library whole. A worker keeps its encoder between tasks
+that ends in punctuation after a letter or digit is two pre-tokens, looked up apart. A text with other white space
+(seen when a new piece holds it or is empty), or with what may be a special token, goes to the library whole. A worker keeps its encoder between tasks
 and drops it after IDLE seconds without use.
 """
 
@@ -19,7 +19,7 @@ from typing import Any
 
 import numpy as np
 
-PIECE_LIMIT, PART_CHARS, IDLE = 200_000, 3 << 20, 4.0
+PIECE_LIMIT, GROUP_CHARS, IDLE = 200_000, 3 << 20, 4.0
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _kept: dict[tuple, Any] = {}
@@ -69,7 +69,7 @@ def byte_alphabet() -> dict[str, str]:
 class Pieces(dict):
     """Piece -> ids as bytes, found by `make` at first use. Up to two times `limit` entries; those used lately stay."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = PIECE_LIMIT):
+    def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -84,6 +84,10 @@ class Pieces(dict):
         return ids
 
 
+class Uncertain(ValueError):
+    """A piece that isn't one word: its text has other white space than single spaces and line ends."""
+
+
 class PieceEncoder:
     """encode(texts) -> one uint32 array of ids per text, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -96,15 +100,16 @@ class PieceEncoder:
         self.mark = os.path.commonprefix([str(t) for t in self.tokenizer.get_added_tokens_decoder().values()])[:2]
         assert self.mark.lower() == self.mark.upper() != "", "special tokens must share a start without letters"
         # a run of these letters is one pre-token: the model is asked directly, in the byte alphabet of byte-level vocabularies
-        self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        self.model, self.alphabet = self.tokenizer.model, str.maketrans(byte_alphabet())
+        self.letters, self.direct = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, True
+        self.tokenize, self.alphabet = self.tokenizer.model.tokenize, str.maketrans(byte_alphabet())
+        self.front = " ".translate(self.alphabet) if spaced else ""
         tries = ["Hello", "naïve", "GRÜSSE", "thhewhing", "a", "ÿ"]
         if [self.word(w) for w in tries] != [self.library((" " if spaced else "") + w) for w in tries]:
-            self.letters = lambda w: None
+            self.letters, self.direct = lambda w: None, False
         self.line_end = self.library("\n")
         self.marks = Pieces(self.library, 20_000)
         self.heads = Pieces(self.head, 50_000) if spaced else None
-        self.pieces = Pieces(self.piece)
+        self.pieces = Pieces(self.piece, PIECE_LIMIT)
 
     @classmethod
     def shared(cls, path: str, spaced: bool) -> PieceEncoder:
@@ -115,11 +120,15 @@ class PieceEncoder:
 
     def word(self, word: str) -> bytes:
         """Ids of a run of letters, after a space where the vocabulary keeps it."""
-        text = " " + word if self.spaced else word.lower()
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        text = word if self.spaced else word.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenize(self.front + text)]).tobytes()
 
     def head(self, word: str) -> bytes:
         """Ids of a word at the start of a text or line, where no space stands before it."""
+        if word.split() != [word]:
+            raise Uncertain
         core = word.rstrip(PUNCTUATION)
         if core != word and core and core[-1].isalnum():
             return self.heads[core] + self.marks[word[len(core) :]]
@@ -127,34 +136,33 @@ class PieceEncoder:
 
     def piece(self, word: str) -> bytes:
         """Ids of a word after a space; or of a line end and the word after it."""
-        if self.letters(word):
+        if self.direct and word.isascii() and word.isalpha():
             return self.word(word)
-        if word[0] == "\n":
+        if word[:1] == "\n":
             return self.line_end + self.heads[word[1:]]
+        if word.split() != [word]:
+            raise Uncertain
+        if self.letters(word):
+            return self.word(word)
         core = word.rstrip(PUNCTUATION)
         if core != word and core and core[-1].isalnum():
             return self.pieces[core] + self.marks[word[len(core) :]]
         return self.library(" " + word if self.spaced else word)
 
     def encode_one(self, text: str) -> np.ndarray:
+        if self.mark in text or not self.spaced and self.line_end and "\n" in text:
+            return np.frombuffer(self.library(text), np.uint32)
         found: list[bytes] = []
-        for part in cut(text) if self.mark not in text else ():
-            # every white space must be one space or line end between other characters
-            words = part.split()
-            gaps = part.count(" ") + part.count("\n")
-            if not words or gaps != len(words) - 1 or gaps != len(part) - sum(map(len, words)):
-                found = []
-                break
-            if "\n" in part and (self.spaced or self.line_end):
-                if not self.spaced:
-                    found = []
-                    break
-                words = part.replace("\n", " \n").split(" ")
-            if self.spaced and not found:
-                found.append(self.heads[words[0]])
-                del words[0]
-            found += map(self.pieces.__getitem__, words)
-        return np.frombuffer(b"".join(found) if found else self.library(text), np.uint32)
+        try:
+            for part in cut(text):
+                words = part.replace("\n", " \n" if self.spaced else " ").split(" ")
+                if self.spaced and not found:
+                    found.append(self.heads[words[0]])
+                    del words[0]
+                found += map(self.pieces.__getitem__, words)
+        except Uncertain:
+            return np.frombuffer(self.library(text), np.uint32)
+        return np.frombuffer(b"".join(found), np.uint32)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for text in texts:
@@ -165,7 +173,7 @@ class PieceEncoder:
 def cut(text: str) -> Iterator[str]:
     """Parts of a long text, cut at single spaces, which are left out."""
     at = 0
-    while len(text) - at > PART_CHARS and (end := text.find(" ", at + PART_CHARS)) >= 0:
+    while len(text) - at > GROUP_CHARS and (end := text.find(" ", at + GROUP_CHARS)) >= 0:
         yield text[at:end]
         at = end + 1
     yield text[at:]
