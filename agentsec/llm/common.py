@@ -50,6 +50,19 @@ def released(task: Callable) -> Callable:
     return run
 
 
+def released_group(group: Callable) -> Callable:
+    """The same for a function of one group's table."""
+
+    @functools.wraps(group)
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return group(t)
+        finally:
+            release_memory()
+
+    return run
+
+
 def map_arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(released(task), schema)
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, table
+from .common import join_small, map_arrow, materialize, released_group, table
 from .components import connected_components
 from .substring_dedup import _table, pack, split_by, squeeze, top_bits, unpack, unsqueeze
 from .words import mix, row_shingles
@@ -44,7 +44,7 @@ from .words import mix, row_shingles
 SHINGLE, STARS, ORDERS, SLOT_BITS = 5, 8, 3, 17
 #: Rows of a component on one token in a chunk above which they travel as one mark; rows of a token above which they are compared in blocks, of so many rows.
 HOT, GROUP, BLOCK = 200, 16, 512
-CHUNK, BUCKET_ROWS, PARTNERS = 1_000_000, 500_000, 400
+CHUNK, BUCKET_ROWS, PARTNERS = 500_000, 500_000, 400
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -115,7 +115,7 @@ def profile(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(slots)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(slots[at]), *(pa.nulls(len(at), t) for _, t in fields[3:])], names=[f for f, _ in fields])
 
-    return docs.mapInArrow(run, "kind int, a long, b long, digest binary, mins array<long>, sketch binary")
+    return map_arrow(docs, run, "kind int, a long, b long, digest binary, mins array<long>, sketch binary")
 
 
 def frequency_levels(profiles: DataFrame) -> np.ndarray:
@@ -151,7 +151,7 @@ def count_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = pa.array([may_link(*x) for x in zip(s_a, s_b, n_a, n_b)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_arrow(both, run, "a long, b long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, levels: np.ndarray | None) -> DataFrame:
@@ -183,7 +183,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, levels: np.nda
             if out:
                 yield from _table(out, [("a", pa.int64()), ("b", pa.int64())]).to_batches()
 
-    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    return materialize(map_arrow(rows, run, "a long, b long").distinct(), "links")
 
 
 def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -194,7 +194,7 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             for token, doc, comp, n, idx in _prefixes(batch, levels):
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(doc), pa.array(comp), pa.array(n), pa.array(idx)], names=["token", "doc", "comp", "n", "idx"])
 
-    return docs.mapInArrow(run, "token long, doc long, comp long, n long, idx boolean")
+    return map_arrow(docs, run, "token long, doc long, comp long, n long, idx boolean")
 
 
 def _prefixes(batch: pa.RecordBatch, levels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -276,7 +276,7 @@ def candidate_pairs(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame
         cols |= {"a": (a, doc[o], nil), "b": (b, comp[rows], nil), "n": (np.zeros(len(a), np.int64), n[o], nil), "idx": (np.zeros(len(a), bool), idx[o], nil.astype(bool))}
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in cols.values()], names=list(cols))
 
-    return docs.mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, token long, a long, b long, n long, idx boolean")
+    return map_arrow(docs, deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(released_group(meet), "kind int, token long, a long, b long, n long, idx boolean")
 
 
 def block_survivors(side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, idx: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +331,7 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame) -> DataFrame:

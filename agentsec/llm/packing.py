@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize, table
+from .common import gapless_rank, map_arrow, materialize, table
 from .tokens import PieceEncoder, vocabulary
 
 WINDOW, END_ID = 1024, 0
@@ -92,7 +92,7 @@ def cut_documents(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int
                 rows += ((doc_id, at, len(p := ids[at : at + window]), zlib.crc32(p.tobytes()), len(ids)) for at in range(0, len(ids), window))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, schema)
 
 
 def pack(docs: DataFrame, vocab: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
