@@ -9,7 +9,8 @@ The model is fitted on a bounded sample: at most SAMPLE_ROWS labelled training r
 
 Nulls: a null or empty text is scored by the bias alone; a row with a null id is scored too and isn't held out; null
 labels don't train; for a doc_id labelled twice the higher label counts. Without rows of both labels the score
-is the mean label (0.5 without any). Repeated rows are scored alike. Other columns of the tables are ignored.
+is the mean label (0.5 without any). Repeated rows are scored alike. Texts of any length are
+scored whole. Other columns pass through; those called score or predicted are kept as score_in and predicted_in.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 from .words import PLAIN, hashed, mix
 
 BITS, SAMPLE_ROWS, EPOCHS, THRESHOLD = 20, 20_000, 5, 0.7
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
 
     # the sample has at most `sample_rows` rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(features, "doc_id long, slots binary, y int")
+    rows = map_arrow(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y"), features, "doc_id long, slots binary, y int")
     model = rows.repartition(1).sortWithinPartitions("doc_id", "slots").mapInPandas(train, "slot long, w double").toPandas()  # at most 2^BITS rows
     bias = float(model.loc[model["slot"] < 0, "w"].iloc[0]) if (model["slot"] < 0).any() else 0.0
     model = model[model["slot"] >= 0]
@@ -114,6 +115,7 @@ def scorer(model: tuple[float, np.ndarray, np.ndarray]):
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, train_docs: DataFrame | None = None) -> DataFrame:
     """`docs` with `score` and `predicted`; train_docs: where the labelled texts are, if not in `docs`."""
     score = scorer(fit(docs if train_docs is None else train_docs, labels, sample_rows))
+    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in ("score", "predicted")})
     return docs.withColumn("score", score(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
