@@ -8,7 +8,8 @@ bounded sample of short documents and stored beside the shards under its hash; a
 
 Nulls: a null text is empty and keeps the end id alone; null ids come first. Repeated rows each get a frame;
 equal ids are ordered by text. An empty table gives no shard and no rows. A write retried after a lost
-executor replaces the same file by a rename.
+executor replaces the same file by a rename. Texts of any length are one frame; other columns are ignored; a
+vocabulary with ids of more than 16 bits is refused.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table, text_or_empty
+from .common import map_arrow, materialize, new_path, table, text_or_empty
 from .tokens import PieceEncoder, vocabulary
 
 MAGIC, END_ID, ID_TYPE = b"TIDZ1\n", 1, "<u2"
@@ -61,7 +62,7 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int = END_ID) -> bytes
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["d"])
 
     sample = short.filter(F.xxhash64("doc_id", "text") <= picked["h"]).dropDuplicates(["text"]).select("text").repartition(1).sortWithinPartitions("text")
-    return bytes(sample.mapInArrow(train, "d binary").first()["d"])
+    return bytes(map_arrow(sample, train, "d binary").first()["d"])
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -86,6 +87,8 @@ def write_token_files(docs: DataFrame, uri: str, vocab: str | None = None, end_i
         from pyspark import TaskContext
 
         shard, fs_, encoder = TaskContext.get().partitionId(), open_fs(uri)[0], PieceEncoder.shared(vocab, spaced=False)
+        if max(encoder.tokenizer.get_vocab_size() - 1, end_id) > np.iinfo(ID_TYPE).max:
+            raise ValueError("ids of this vocabulary don't fit in 16 bits")
         zd = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zd, write_dict_id=False)
         name, draft = f"shard-{shard:06d}.tidz", f"{root}/.{uuid.uuid4().hex}"
@@ -107,7 +110,7 @@ def write_token_files(docs: DataFrame, uri: str, vocab: str | None = None, end_i
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "dict_sha256": [sha.hex()], "n_docs": [len(index)], "n_tokens": [tokens]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("dict_sha256", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(dealt.mapInArrow(write, "shard int, file string, dict_sha256 string, n_docs long, n_tokens long"), "manifest")
+    return materialize(map_arrow(dealt, write, "shard int, file string, dict_sha256 string, n_docs long, n_tokens long"), "manifest")
 
 
 class ShardReader:
@@ -156,7 +159,7 @@ def read_token_files(manifest: DataFrame, uri: str, with_ids: bool = False) -> D
 
     shards = max(1, manifest.count())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return jobs.repartition(shards, "k").select("file", "base").mapInArrow(read, schema)
+    return map_arrow(jobs.repartition(shards, "k").select("file", "base"), read, schema)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
