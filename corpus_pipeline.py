@@ -3,7 +3,8 @@ is masked, and what is left is packed into sequences.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on all its predecessor kept. All but the last return the
 columns of documents; the last returns the packed pieces. Rows with a null doc_id pass the stages that decide by
-id; a null text is kept as it is and packs as an empty document.
+id; a null text is kept as it is and packs as an empty document. Columns beyond those of documents are dropped. Rows
+that repeat a doc_id and its text are one document; rows that repeat a doc_id with another text are kept.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
     if not repeated:
         return rest
-    return rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(rest.filter("doc_id IS NULL"))
+    others = F.min(F.struct("lang", "source", "n_chars")).alias("others")
+    once = rest.filter("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(others).select("doc_id", "text", "others.*")
+    return once.select(*COLUMNS).union(rest.filter("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
