@@ -279,7 +279,8 @@ def typosquats(names: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame
     """(name, near, distance): names within an edit distance of a popular one and not equal to it.
 
     A name within distance d of another keeps one of its d + 1 pieces whole, at most d places off, so pairs meet on
-    (piece, place, popular name's length) and no cross join is needed.
+    (piece, place, popular name's length) and no cross join is needed. A popular name of at most d characters has an empty
+    piece: it meets every name whose length is near enough, and such names have few characters.
     """
     parts = most + 1
 
@@ -294,5 +295,8 @@ def typosquats(names: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame
     source = names.select("name").distinct().withColumn("m", F.length("name"))
     probes = source.join(F.broadcast(lengths), F.abs(F.col("m") - F.col("n")) <= most).select("name", "n", "k", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), F.col("at") + most)).alias("s"), "size")
     probes = probes.select("name", "n", "k", F.substring(F.col("name"), F.col("s") + 1, F.col("size")).alias("piece")).distinct()
-    met = probes.join(target.select("near", "n", "k", "piece"), ["n", "k", "piece"]).select("name", "near").distinct()
+    met = probes.join(target.select("near", "n", "k", "piece"), ["n", "k", "piece"]).select("name", "near")
+    size = F.length("near")
+    short = popular.select(F.col("name").alias("near")).distinct().filter(size <= most).select("near", F.explode(F.sequence(F.greatest(size - most, F.lit(0)), size + most)).alias("m"))
+    met = met.union(source.join(short, "m").select("name", "near")).distinct()
     return met.withColumn("distance", F.levenshtein("name", "near", most)).filter("distance > 0")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import operator
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..rules import packs
-from ..rules.compile import LINTER, MENTION, PARAMETER_SECRET, SKILL, Rule, findings, first_match, pack
+from ..rules.compile import LINTER, MENTION, PARAMETER_SECRET, SKILL, Rule, findings, first_match, gate, pack
 
 
 def scan(df: DataFrame, text: str, rules: Sequence[Rule], cut: int = 100, normalise: bool = False, gated: bool = True) -> DataFrame:
@@ -88,7 +90,8 @@ def blocked_destination(url: Column, rules: Sequence[Rule]) -> Column:
 
 def dlp_counts(text: Column, rules: Sequence[Rule]) -> Column:
     """array<struct<category, severity, count, preview>>: all matches of each rule, the first one masked."""
-    one = [F.when(text.rlike(r.regex), F.struct(F.lit(r.id).alias("category"), F.lit(r.severity).alias("severity"), F.regexp_count(text, F.lit(r.regex)).alias("count"), S.mask_middle(F.regexp_extract(text, r.regex, 0)).alias("preview"))) for r in rules]
+    lower = F.lower(text)
+    one = [F.when(gate(r, lower) & text.rlike(r.regex), F.struct(F.lit(r.id).alias("category"), F.lit(r.severity).alias("severity"), F.regexp_count(text, F.lit(r.regex)).alias("count"), S.mask_middle(F.regexp_extract(text, r.regex, 0)).alias("preview"))) for r in rules]
     return F.array_compact(F.array(*one))
 
 
@@ -103,31 +106,51 @@ def parameter_secrets(calls: DataFrame, params: str = "tool_input", keys: Sequen
     return each.withColumn("hit", hit).filter("hit IS NOT NULL").select(*keys, "param", "hit.*")
 
 
-#: Code families in order: (name, label, severity, also keywords: label and severity). Fixed values.
+#: Code families in order: (name, label, severity). Fixed values.
 FAMILIES = [
-    ("sql", "sql_injection", 4), ("command", "command_injection", 4), ("secret", "hardcoded_secret", 4), ("file", "path_traversal", 3), ("deserialization", "unsafe_deserialization", 3),
+    ("sql", "sql_injection", 4), ("command", "command_injection", 4), ("api_key", "hardcoded_api_key", 4), ("password", "hardcoded_password", 4), ("file", "path_traversal", 3), ("deserialization", "unsafe_deserialization", 3),
     ("prompt", "prompt_injection", 3), ("xss", "xss", 2), ("crypto", "weak_crypto", 2), ("ci_injection", "ci_expression", 4),
 ]
+#: Families whose keywords count where no pattern matches: label and severity. Fixed values.
+KEYWORDS = {"sql": ("sql_keywords", 2), "command": ("shell_keywords", 3)}
+
+
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` where `value` is computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def code_triggers(text: Column, lower: Column, lang: Column) -> Column:
+    """array<struct<label, rank>> of the families that `text` matches, each pattern tried once and behind its literals."""
+
+    def any_of(patterns: Sequence[str]) -> Column:
+        rules = [Rule(p, "", "", "", p) for p in patterns]
+        return reduce(operator.or_, [gate(r, lower) & text.rlike(r.pattern) for r in rules])
+
+    def trigger(label: str, rank: int) -> Column:
+        return F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"))
+
+    found = []
+    for name, label, rank in FAMILIES:
+        test = any_of(packs.CODE_FAMILIES[name])
+        hit = F.when((lang == "yaml") & test if name == "ci_injection" else test, trigger(label, rank))
+        found.append(hit.when(text.rlike(packs.CODE_KEYWORDS[name]), trigger(*KEYWORDS[name])) if name in KEYWORDS else hit)
+    return F.array_compact(F.array(*found))
 
 
 def classify_code(content: Column, lang: Column) -> Column:
-    """(triggers, risk, confidence, classification, blocked) of a piece of code."""
-    hit = {}
-    for name, _, _ in FAMILIES:
-        any_of = F.lit(False)
-        for p in packs.CODE_FAMILIES[name]:
-            any_of = any_of | content.rlike(p)
-        hit[name] = any_of & (lang == "yaml") if name == "ci_injection" else any_of
-    # keywords count where nothing before them did
-    sql_words = ~hit["sql"] & content.rlike(packs.CODE_KEYWORDS["sql"])
-    shell_words = ~hit["command"] & content.rlike(packs.CODE_KEYWORDS["command"])
-    tests = [("sql_injection", 4, hit["sql"]), ("sql_keywords", 2, sql_words), ("command_injection", 4, hit["command"]), ("shell_keywords", 3, shell_words)] + [(label, rank, hit[name]) for name, label, rank in FAMILIES[2:]]
-    triggers = F.array_compact(F.array(*[F.when(t, F.lit(label)) for label, _, t in tests]))
-    rank = F.greatest(*[F.when(t, F.lit(r)).otherwise(F.lit(1)) for _, r, t in tests])
-    risk = S.rank_severity(rank)
-    confidence = F.when((risk == "CRITICAL") | (F.size(triggers) >= 3), "HIGH").when(F.size(triggers) == 2, "MEDIUM").otherwise("LOW")
-    kind = F.when(F.size(triggers) > 0, "SECURITY_SENSITIVE").otherwise("STANDARD")
-    return F.struct(triggers.alias("triggers"), risk.alias("risk"), confidence.alias("confidence"), kind.alias("classification"), ((F.size(triggers) > 0) & (risk == "CRITICAL")).alias("blocked"))
+    """(triggers, risk, confidence, classification, blocked) of a piece of code, after look-alike letters are folded."""
+
+    def decide(found: Column) -> Column:
+        n, rank = F.size(found), F.coalesce(F.array_max(F.transform(found, lambda t: t["rank"])), F.lit(1))
+        confidence = F.when((rank == 4) | (n >= 3), "HIGH").when(n != 1, "MEDIUM").otherwise("LOW")
+        return F.struct(
+            F.transform(found, lambda t: t["label"]).alias("triggers"), S.rank_severity(rank).alias("risk"), confidence.alias("confidence"),
+            F.when(n > 0, "SECURITY_SENSITIVE").otherwise("SAFE").alias("classification"), ((n > 0) & (rank == 4)).alias("blocked"),
+        )
+
+    texts = with_value(S.normalise_unicode(content), lambda c: F.struct(c.alias("text"), F.lower(c).alias("lower")))
+    return with_value(with_value(texts, lambda t: code_triggers(t["text"], t["lower"], lang)), decide)
 
 
 def _matches(rule: Rule):
@@ -231,14 +254,20 @@ def memory_limits(write: Column) -> Column:
 
 def memory_document_scan(docs: DataFrame, rules: Sequence[Rule], keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, rule_id, severity, kind, line): each rule once in a document, at its first line; LOW rules are ignored."""
-    body = F.split(S.normalise_unicode(F.col(text)), "\n")
+    # the folded text is a column of its own, so no rule computes it again; lines are tried only where the whole text may match
+    folded = docs.select(*keys, S.normalise_unicode(F.col(text)).alias("_text"))
+    ready = folded.select(*keys, "_text", F.lower("_text").alias("_lower"), F.split("_text", "\n").alias("_lines"))
     out = []
     for r in rules:
         if r.severity != "LOW":
-            at = F.array_position(F.transform(body, _matches(r)), True)
+            may = gate(r, F.col("_lower"))
+            if not any(mark in r.regex for mark in ("^", "$", "\\z", "(?=", "(?!", "(?<")):
+                may = may & F.col("_text").rlike(r.regex)
+            at = F.when(may, F.array_position(F.transform("_lines", _matches(r)), True))
             kind = "persistence" if r.id.startswith("persist") else "injection" if "-inj-" in r.id else "fake_fact" if "-fake-" in r.id else "encoding" if "-enc-" in r.id else "sensitive"
-            out.append(F.when(at > 0, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(kind).alias("kind"), at.cast("int").alias("line"))))
-    return docs.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")
+            line = F.when(at > 0, at.cast("int"))
+            out.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(kind).alias("kind"), line.alias("line")))
+    return ready.select(*keys, F.explode(F.filter(F.array(*out), lambda f: f["line"].isNotNull())).alias("f")).select(*keys, "f.*")
 
 
 def split_quarantine(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

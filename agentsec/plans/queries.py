@@ -279,7 +279,7 @@ def _classes_sql(source: str, key: str, text: str) -> str:
     tests += [(label, rank, hit[name]) for name, label, rank in P.FAMILIES[2:] if name != "ci_injection"]
     found_ = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{label}' END" for label, _, t in tests) + "], lambda x: x IS NOT NULL)"
     rank = "greatest(1, " + ", ".join(f"CASE WHEN {t} THEN {r} ELSE 1 END" for _, r, t in tests) + ")"
-    return f"SELECT {key}, array_to_string(t, ',') AS triggers, CASE r WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN r = 4 OR len(t) >= 3 THEN 'HIGH' WHEN len(t) = 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, r = 4 AND len(t) > 0 AS blocked FROM (SELECT {key}, {found_} AS t, {rank} AS r FROM {source})"
+    return f"SELECT {key}, array_to_string(t, ',') AS triggers, CASE r WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN r = 4 OR len(t) >= 3 THEN 'HIGH' WHEN len(t) <> 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, r = 4 AND len(t) > 0 AS blocked FROM (SELECT {key}, {found_} AS t, {rank} AS r FROM {source})"
 
 
 @query("p14_code_classes", _classes_sql("pages", "page_id", "html"))

@@ -309,7 +309,8 @@ MEMORY_PERSISTENT = [
 CODE_FAMILIES = {
     'sql': ['(?i)f["\'].*SELECT.*WHERE.*\\{', '(?i)f["\'].*INSERT.*VALUES.*\\{', '(?i)f["\'].*UPDATE.*SET.*\\{', '(?i)f["\'].*DELETE.*WHERE.*\\{', '(?i)\\.format\\(.*\\).*SELECT', '(?i)`.*SELECT.*\\$\\{', '(?i)\\+\\s*["\'].*SELECT', '(?i)["\'].*SELECT.*["\']\\s*\\+', '(?i)execute\\s*\\(\\s*f["\']', '(?i)query\\s*=\\s*f["\']'],
     'command': ['(?i)subprocess\\.run\\(.*shell\\s*=\\s*True', '(?i)subprocess\\.call\\(.*shell\\s*=\\s*True', '(?i)subprocess\\.Popen\\(.*shell\\s*=\\s*True', '(?i)os\\.system\\s*\\(', '(?i)os\\.popen\\s*\\(', '(?i)exec\\s*\\(\\s*f["\']', '(?i)eval\\s*\\(', '(?i)new\\s+Function\\s*\\(', '(?i)import\\s*\\(\\s*[^)]*\\+', '(?i)child_process\\.exec\\s*\\(', '(?i)execSync\\s*\\(', '(?i)spawn\\s*\\(.*shell:\\s*true'],
-    'secret': ['["\']sk-[a-zA-Z0-9]{20,}["\']', '["\']pplx-[a-zA-Z0-9]{20,}["\']', '["\']ghp_[a-zA-Z0-9]{36}["\']', '["\']gho_[a-zA-Z0-9]{36}["\']', '["\']AKIA[A-Z0-9]{16}["\']', '(?i)password\\s*=\\s*["\'][^"\']+["\']', '(?i)passwd\\s*=\\s*["\'][^"\']+["\']', '(?i)secret\\s*=\\s*["\'][^"\']+["\']', '(?i)api_key\\s*=\\s*["\'][^"\']+["\']', '(?i)apiKey\\s*=\\s*["\'][^"\']+["\']'],
+    'api_key': ['["\']sk-[a-zA-Z0-9]{20,}["\']', '["\']pplx-[a-zA-Z0-9]{20,}["\']', '["\']ghp_[a-zA-Z0-9]{36}["\']', '["\']gho_[a-zA-Z0-9]{36}["\']', '["\']AKIA[A-Z0-9]{16}["\']'],
+    'password': ['(?i)password\\s*=\\s*["\'][^"\']+["\']', '(?i)passwd\\s*=\\s*["\'][^"\']+["\']', '(?i)secret\\s*=\\s*["\'][^"\']+["\']', '(?i)api_key\\s*=\\s*["\'][^"\']+["\']', '(?i)apiKey\\s*=\\s*["\'][^"\']+["\']'],
     'file': ['(?i)open\\s*\\(\\s*f["\']', '(?i)open\\s*\\(.*\\+', '(?i)readFile\\s*\\(.*\\+', '(?i)writeFile\\s*\\(.*\\+', '\\.\\./|\\.\\.\\\\'],
     'deserialization': ['(?i)pickle\\.load', '(?i)pickle\\.loads', '(?i)yaml\\.load\\s*\\([^)]*(?!Loader)', '(?i)yaml\\.unsafe_load', '(?i)marshal\\.load', '(?i)shelve\\.open', '(?i)jsonpickle'],
     'prompt': ['(?i)f["\'].*\\{user', '(?i)f["\'].*\\{input', '(?i)f["\'].*\\{query', '(?i)f["\'].*\\{message', '(?i)`.*\\$\\{.*user', '(?i)prompt\\s*=\\s*f["\']', '(?i)system_prompt.*\\{', '(?i)\\.format\\(.*user'],

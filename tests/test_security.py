@@ -63,7 +63,7 @@ def test_typosquats_lose_no_pair(spark):
     import random
 
     rng = random.Random(1)
-    words = sorted({"".join(rng.choices("ab", k=rng.randrange(2, 8))) for _ in range(60)})
+    words = sorted({"".join(rng.choices("ab", k=rng.randrange(2, 8))) for _ in range(60)} | {"l", "ls", "xy", "rc", "go", "abc", "xyz"})
     df = spark.createDataFrame([(w,) for w in words], "name string")
 
     def distance(a, b):
@@ -120,7 +120,9 @@ def test_context(spark):
 def test_code(spark):
     classify = lambda c: P.classify_code(c, F.lit("python"))
     got = many(spark, classify, ['cursor.execute(f"SELECT * FROM t WHERE id={x}")', "x = 1", "SELECT 1", "pickle.loads(b); yaml.load(x)", 'key = "AKIA' + "A" * 16 + '"'])
-    assert got[0].risk == "CRITICAL" and got[0].blocked and got[1].classification == "STANDARD" and got[2].triggers == ["sql_keywords"] and got[3].risk == "HIGH" and got[4].blocked
+    assert got[0].risk == "CRITICAL" and got[0].blocked and got[1].classification == "SAFE" and got[1].confidence == "MEDIUM" and got[2].triggers == ["sql_keywords"] and got[3].risk == "HIGH" and got[4].blocked
+    both = many(spark, classify, ["ev\u0430l(x)", 'password = "abc"; k = "sk-' + "a" * 20 + '"', "eval(x)", None])
+    assert both[0] == both[2] and both[0].triggers == ["command_injection"] and both[1].triggers == ["hardcoded_api_key", "hardcoded_password"]
     df = spark.createDataFrame([(1, '// password = "abcd"\nok\npassword = "abcd"\npassword = "efgh"')], "id int, text string")
     assert [(r.rule_id, r.line) for r in P.lint_lines(df, "text", F.lit("javascript"), ["id"]).collect() if r.rule_id == "hardcoded-password"] == [("hardcoded-password", 3)]
 
