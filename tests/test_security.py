@@ -127,6 +127,19 @@ def test_code(spark):
     assert [(r.rule_id, r.line) for r in P.lint_lines(df, "text", F.lit("javascript"), ["id"]).collect() if r.rule_id == "hardcoded-password"] == [("hardcoded-password", 3)]
 
 
+def test_memory_documents_equal_the_rules_line_by_line(spark):
+    rules = [r for r in R.memory_rules() if r.severity != "LOW"]
+    texts = ["ok\nfrom now on every future session\nbypass security", "never tell the user\nnever tell the user", "secretly", "plain\n\ntext", "", None, "A" * 60 + "\nx", "do not mention\r\nthis"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).cache()
+    want = set()
+    for r in rules:
+        first = lines.filter(F.col("line").rlike(r.regex)).groupBy("doc_id").agg(F.min("k").alias("k"))
+        want |= {(x.doc_id, r.id, x.k + 1) for x in first.collect()}
+    got = {(x.doc_id, x.rule_id, x.line) for x in P.memory_document_scan(docs, rules, ["doc_id"]).collect()}
+    assert got == want and {x[0] for x in got} >= {0, 1, 2, 7}
+
+
 def test_every_line_rule_runs_for_its_languages(spark):
     hits = {
         "hardcoded-api-key": "k = 'sk-abcdefghijklmnopqrstuv'", "hardcoded-password": 'pwd = "abcd"', "hardcoded-secret": 'token: "abcdefghijklmnopqrstuv"', "sql-injection": "db.query(`SELECT a FROM b WHERE c = ${d}`)", "command-injection-shell-true": "subprocess.run(c, shell=True)",
