@@ -461,3 +461,14 @@ def test_a_shard_with_another_dictionary_is_refused(spark, docs):
         f.write(b"other")
     with pytest.raises(ValueError):
         token_files.ShardReader(fs, root, row.file)
+
+
+def test_ids_beyond_16_bits_are_refused(spark, docs):
+    with pytest.raises(Exception, match="16 bits"):
+        token_files.write_token_files(docs, new_path(spark, "round-trip"), end_id=70_000)
+
+
+def test_toxicity_keeps_columns_named_like_its_results(spark):
+    docs = spark.createDataFrame([(1, "a b", "keep", 9)], "doc_id long, text string, score string, predicted int")
+    out = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).first()
+    assert (out.score_in, out.predicted_in, out.score, out.predicted) == ("keep", 9, 0.5, 0)
