@@ -2,7 +2,7 @@
 
 Encoding whole texts costs about half a CPU second a MB. Both vocabularies cut a text into pre-tokens before
 merging, and a cut is certain where a single space stands between two non-space characters. So a text is cut
-there, each distinct piece is encoded once by the library, and the ids are remembered up to a limit; a new piece
+there, the distinct pieces of a group of texts are looked up, each is encoded once by the library, and the ids are remembered up to a limit; a new piece
 that ends in punctuation after a letter or digit is two pre-tokens, looked up apart. A text with other white space
 (seen when a new piece holds it or is empty), or with what may be a special token, goes to the library whole. A worker keeps its encoder between tasks
 and drops it after IDLE seconds without use.
@@ -18,10 +18,16 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE_LIMIT, GROUP_CHARS, IDLE = 200_000, 3 << 20, 4.0
+PIECE_LIMIT, GROUP_CHARS, IDLE = 200_000, 2 << 20, 4.0
+#: What stands before the first word of a text and before closing punctuation (a text that holds them is not cut), and the
+#: ids of an uncertain piece: no multiple of 4 bytes.
+HEAD, TAIL, UNSURE = "\0", "\1", b"?"
 #: What may follow a letter or digit as a pre-token of its own; an apostrophe may start a contraction instead.
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+CLOSING = "([A-Za-z0-9À-ÖØ-öø-ÿ])([" + "".join("\\" + c for c in PUNCTUATION) + "]+)$"
 _kept: dict[tuple, Any] = {}
 _timers: list[threading.Timer] = []
 
@@ -135,9 +141,13 @@ class PieceEncoder:
         return self.library(word)
 
     def piece(self, word: str) -> bytes:
-        """Ids of a word after a space; or of a line end and the word after it."""
+        """Ids of a word after a space; of a line end and the word after it; or, marked so, of the first word or of closing punctuation."""
         if self.direct and word.isascii() and word.isalpha():
             return self.word(word)
+        if word[:1] == TAIL:
+            return self.marks[word[1:]]
+        if word[:1] == HEAD:
+            return self.heads[word[1:]]
         if word[:1] == "\n":
             return self.line_end + self.heads[word[1:]]
         if word.split() != [word]:
@@ -149,27 +159,87 @@ class PieceEncoder:
             return self.pieces[core] + self.marks[word[len(core) :]]
         return self.library(" " + word if self.spaced else word)
 
-    def encode_one(self, text: str) -> np.ndarray:
-        if self.mark in text or not self.spaced and self.line_end and "\n" in text:
-            return np.frombuffer(self.library(text), np.uint32)
-        found: list[bytes] = []
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; UNSURE for one whose text the library must encode whole."""
         try:
-            for part in cut(text):
-                words = part.replace("\n", " \n" if self.spaced else " ").split(" ")
-                if self.spaced and not found:
-                    found.append(self.heads[words[0]])
-                    del words[0]
-                found += map(self.pieces.__getitem__, words)
+            return list(map(self.pieces.__getitem__, pieces))
         except Uncertain:
-            return np.frombuffer(self.library(text), np.uint32)
-        return np.frombuffer(b"".join(found), np.uint32)
+            return [self.known_one(p) for p in pieces]
+
+    def known_one(self, piece: str) -> bytes:
+        try:
+            return self.pieces[piece]
+        except Uncertain:
+            return UNSURE
+
+    def whole(self, text: str) -> bool:
+        """Whether a text must go to the library whole, as far as can be told before cutting it."""
+        return self.mark in text or HEAD in text or TAIL in text or not self.spaced and self.line_end != b"" and "\n" in text
+
+    def encode_parts(self, parts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each part, cut at single spaces; None where a piece is unsure.
+
+        Arrow cuts the parts, finds their distinct words and cuts closing punctuation off those, so Python looks up each
+        distinct piece once.
+        """
+        words, word_codes, part_bounds = distinct(parts)
+        pieces, piece_codes, word_bounds = distinct(pc.replace_substring_regex(words, CLOSING, r"\1 " + TAIL + r"\2"))
+        found = self.known(pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), " ")[0].as_py().split(" "))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.frombuffer(b"".join(f if len(f) % 4 == 0 else bytes(4) for f in found) if (sizes % 4).any() else b"".join(found), np.uint32)
+        unsure, sizes = sizes % 4 != 0, -(-sizes // 4)
+        for codes, bounds in ((piece_codes, word_bounds), (word_codes, part_bounds)):
+            flat, sizes = gather(flat, sizes, codes, bounds)
+            unsure = np.diff(np.append(0, np.cumsum(unsure[codes]))[bounds]) > 0
+        ends = np.cumsum(sizes)
+        return [None if u else flat[end - n : end] for u, n, end in zip(unsure, sizes, ends)]
+
+    def prepared(self, part: str, first: bool) -> str:
+        """A part with its line ends, and its start in a byte-level vocabulary, as pieces of their own kind."""
+        if not self.spaced:
+            return part.replace("\n", " ")
+        return (HEAD if first else "") + part.replace("\n", " \n")
+
+    def encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of texts of at most GROUP_CHARS characters together, or of a single longer one."""
+        if len(texts) == 1 and len(texts[0]) > GROUP_CHARS and not self.whole(texts[0]):
+            found = [self.encode_parts([self.prepared(part, k == 0)])[0] for k, part in enumerate(cut(texts[0]))]
+            yield np.frombuffer(self.library(texts[0]), np.uint32) if any(f is None for f in found) else np.concatenate(found)
+            return
+        sure = [not self.whole(t) for t in texts]
+        parts = [self.prepared(t, True) for t, s in zip(texts, sure) if s]
+        found = iter(self.encode_parts(parts) if parts else [])
+        for text, s in zip(texts, sure):
+            ids = next(found) if s else None
+            yield np.frombuffer(self.library(text), np.uint32) if ids is None else ids
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        group, size = [], 0
         for text in texts:
-            yield self.encode_one(text)
+            if group and size + len(text) > GROUP_CHARS:
+                yield from self.encode_group(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        if group:
+            yield from self.encode_group(group)
         keep_alive()
 
 
+def distinct(texts: list[str] | pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the word of each place as an index of those, bounds of each text's places) of texts cut at spaces."""
+    cuts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = pc.dictionary_encode(cuts.flatten())
+    return coded.dictionary, coded.indices.to_numpy(), cuts.offsets.to_numpy()
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items of `flat`, in runs of `sizes`: the runs that `codes` name one after the other, and how many items lie in each of `bounds`."""
+    starts, each = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    ends = np.append(0, np.cumsum(each))
+    return flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], each)], np.diff(ends[bounds])
+
+
 def cut(text: str) -> Iterator[str]:
     """Parts of a long text, cut at single spaces, which are left out."""
     at = 0

@@ -329,6 +329,8 @@ def test_piece_encoder_equals_the_library(monkeypatch):
             monkeypatch.setattr(tokens, "GROUP_CHARS", chars)
             e = tokens.PieceEncoder(tokens.vocabulary(name), spaced)
             assert [list(x) for x in e.encode(t)] == [x.ids for x in e.tokenizer.encode_batch(t, add_special_tokens=False)]
+            hard = ["\0", "x\0y, z", "a\1, b", "it,\" ¿qué?, ß). 3,4.5", "a\tb, c,", "\n, x,\n\ny.", "word, " * 9 + "<|endoftext|>, "]
+            assert [list(x) for x in e.encode(hard)] == [x.ids for x in e.tokenizer.encode_batch(hard, add_special_tokens=False)]
 
 
 # --- 7 ------------------------------------------------------------------------------------------------------
