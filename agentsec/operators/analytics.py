@@ -67,38 +67,73 @@ def layer_statistics(layers: DataFrame, events: DataFrame) -> DataFrame:
     return layers.select("layer", "name").join(counts, "layer", "left").fillna(0, ["invocations", "blocks", "warnings"])
 
 
-#: Report categories of layers. Fixed values.
-CATEGORIES = {"L0": "code", "L1": "policy", "L4": "injection", "L9": "egress", "L14": "supply_chain"}
-
-
-def category(layer: Column) -> Column:
-    out = F.lit("other")
-    for k, v in CATEGORIES.items():
-        out = F.when(layer == k, v).otherwise(out)
+#: Logs that a session report counts, and how many rows of each it shows. Fixed values.
+REPORT_CAPS = {"governor": 50, "injection": 30, "imageSafety": 30, "secureCode": 30, "linter": 30, "leash": 50, "memory": 50, "securityRadar": 50}
+#: Of these it shows the severest rows, of the others the first. Fixed values.
+SEVEREST_FIRST = ["governor", "injection", "linter", "leash"]
+
+
+def report_rows() -> Column:
+    """Whether a row of the report's logs counts as a finding; linter and radar rows all do, rows of other logs never."""
+    log = F.col("log")
+    tests = {
+        "governor": F.coalesce("policy_matched", F.lit("none")) != "none",
+        "injection": F.col("detected"),
+        "imageSafety": F.col("detected"),
+        "secureCode": F.col("classification") == "SECURITY_SENSITIVE",
+        "linter": F.lit(True),
+        "leash": F.col("decision") == "DENY",
+        "memory": F.col("n_findings") > 0,
+        "securityRadar": F.lit(True),
+    }
+    out = F.lit(False)
+    for name, test in tests.items():
+        out = F.when(log == name, F.coalesce(test, F.lit(False))).otherwise(out)
     return out
 
 
-def report_summary(calls: DataFrame) -> DataFrame:
-    """A row for each session: counts by category, tool calls, duration in ms, tokens."""
-    counts = [F.count_if(category(F.col("layer")) == c).alias(c) for c in sorted(set(CATEGORIES.values()))]
-    return calls.groupBy("session_id").agg(*counts, F.count(F.lit(1)).alias("tool_calls"), ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).cast("long").alias("duration_ms"), F.sum(S.token_estimate(F.col("input_chars"))).alias("tokens"))
-
-
-def severity_matrix(events: DataFrame, display: int | None = None) -> DataFrame:
-    """(severity, a column for each category, total). display: counts after each session and category is cut to so many, as a report shows them."""
-    rows = events.withColumn("category", category(F.col("layer")))
-    if display:
-        w = Window.partitionBy("session_id", "category").orderBy(F.desc(S.severity_rank(F.col("severity"))), "ts", "id")
-        rows = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= display)
-    names = sorted(set(CATEGORIES.values()))
-    wide = rows.groupBy("severity").pivot("category", names).agg(F.count(F.lit(1))).fillna(0)
+def report_shown(rows: DataFrame) -> DataFrame:
+    """The findings that a report shows: of each session and log the first ones, up to its cap."""
+    first = F.when(F.col("log").isin(*SEVEREST_FIRST), -S.severity_rank(F.col("severity"))).otherwise(0)
+    place = F.row_number().over(Window.partitionBy("session_id", "log").orderBy(first, "ts", "id"))
+    cap = F.lit(0)
+    for name, n in REPORT_CAPS.items():
+        cap = F.when(F.col("log") == name, n).otherwise(cap)
+    return rows.filter(report_rows()).withColumn("_n", place).filter(F.col("_n") <= cap).drop("_n")
+
+
+def report_summary(rows: DataFrame) -> DataFrame:
+    """A row for each session: eight counters of findings, errors, tool calls, duration in ms, tokens."""
+    at = lambda name, *more: F.count_if(report_rows() & (F.col("log") == name) & (more[0] if more else F.lit(True)))
+    return rows.groupBy("session_id").agg(
+        at("governor", F.col("severity") != "LOW").alias("policy_violations"),
+        at("injection").alias("injection_detections"),
+        at("imageSafety").alias("image_detections"),
+        at("secureCode").alias("sensitive_writes"),
+        at("linter", F.col("reverted")).alias("code_reverts"),
+        at("leash").alias("leash_blocks"),
+        at("memory").alias("memory_attempts"),
+        at("securityRadar").alias("radar_findings"),
+        F.count_if(F.col("log") == "error").alias("errors"),
+        F.count_if(F.col("log") == "tool").alias("tool_calls"),
+        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).cast("long").alias("duration_ms"),
+        F.sum(S.token_estimate(F.col("input_chars"))).alias("tokens"),
+    )
+
+
+def severity_matrix(rows: DataFrame, display: bool = False) -> DataFrame:
+    """(severity, a column for each of the eight logs, total) of the findings. display: of those that reports show."""
+    found, names = report_shown(rows) if display else rows.filter(report_rows()), sorted(REPORT_CAPS)
+    wide = found.groupBy("severity").pivot("log", names).agg(F.count(F.lit(1))).fillna(0)
     return wide.withColumn("total", sum((F.col(c) for c in names), F.lit(0)).cast("long"))
 
 
-def overall_status(events: DataFrame) -> DataFrame:
-    """(session_id, status): DETECTED with a critical event, a block or an injection alert; WARNINGS with a high one or more than two warnings; else CLEAN."""
-    found = events.groupBy("session_id").agg(F.count_if((F.col("severity") == "CRITICAL") | blocks() | ((F.col("layer") == "L4") & (F.col("action") == "alert"))).alias("bad"), F.count_if(F.col("severity") == "HIGH").alias("high"), F.count_if(warns()).alias("warn"))
-    return found.select("session_id", F.when(F.col("bad") > 0, "DETECTED").when((F.col("high") > 0) | (F.col("warn") > 2), "WARNINGS").otherwise("CLEAN").alias("status"))
+def overall_status(rows: DataFrame) -> DataFrame:
+    """(session_id, status): DETECTED with a critical finding shown, a revert, a denial, or a finding of injection, image, memory or radar; WARNINGS with a high one shown or more than two policy violations; else CLEAN."""
+    shown = report_shown(rows).groupBy("session_id").agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"))
+    all_ = report_summary(rows).join(shown, "session_id", "left").fillna(0, ["critical", "high"])
+    bad = sum((F.col(c) for c in ("code_reverts", "leash_blocks", "injection_detections", "image_detections", "memory_attempts", "radar_findings")), F.col("critical"))
+    return all_.select("session_id", F.when(bad > 0, "DETECTED").when((F.col("high") > 0) | (F.col("policy_violations") > 2), "WARNINGS").otherwise("CLEAN").alias("status"))
 
 
 def posture(events: DataFrame, by: str = "session_id") -> DataFrame:
@@ -106,18 +141,17 @@ def posture(events: DataFrame, by: str = "session_id") -> DataFrame:
     return events.groupBy(by).agg(top.alias("top")).select(by, F.when(F.col("top") == 4, "CRITICAL").when(F.col("top") == 3, "AT_RISK").otherwise("SECURE").alias("posture"))
 
 
-#: Which OWASP agentic risks a layer covers. Fixed values.
-AGENTIC = {"L0": ["ASI05"], "L1": ["ASI01", "ASI02", "ASI03"], "L4": ["ASI01", "ASI06"], "L9": ["ASI02", "ASI03"], "L14": ["ASI04"], "L3": ["ASI06"]}
 ASI = [f"ASI{n:02d}" for n in range(1, 11)]
 
 
-def agentic_coverage(status: DataFrame) -> DataFrame:
+def agentic_coverage(status: DataFrame, report_map: DataFrame) -> DataFrame:
     """(project, risk, layers, coverage): covered from two active layers, partial from one, else gap; ASI06 is at most partial where L3 is active."""
-    spark = status.sparkSession
-    covers = spark.createDataFrame([(k, r) for k, v in AGENTIC.items() for r in v], "layer string, risk string")
-    risks = spark.createDataFrame([(r,) for r in ASI], "risk string")  # ten rows
-    active = status.filter("status = 'active'").join(F.broadcast(covers), "layer").groupBy("project", "risk").agg(F.countDistinct("layer").alias("layers"), F.max((F.col("layer") == "L3").cast("int")).alias("l3"))
-    every = status.select("project").distinct().crossJoin(F.broadcast(risks)).join(active, ["project", "risk"], "left").fillna(0, ["layers", "l3"])
+    covers = report_map.select("layer", F.explode("agentic").alias("risk"))
+    risks = status.sparkSession.createDataFrame([(r,) for r in ASI], "risk string")  # ten rows
+    active = status.filter("status = 'active'")
+    l3 = active.filter("layer = 'L3'").select("project", F.lit(1).alias("l3")).distinct()
+    counts = active.join(F.broadcast(covers), "layer").groupBy("project", "risk").agg(F.countDistinct("layer").alias("layers"))
+    every = status.select("project").distinct().crossJoin(F.broadcast(risks)).join(counts, ["project", "risk"], "left").join(l3, "project", "left").fillna(0, ["layers", "l3"])
     cover = F.when((F.col("layers") >= 2) & ~((F.col("risk") == "ASI06") & (F.col("l3") == 1)), "covered").when(F.col("layers") >= 1, "partial").otherwise("gap")
     return every.select("project", "risk", "layers", cover.alias("coverage"))
 
@@ -163,6 +197,13 @@ def trend(events: DataFrame, days: int = 7) -> DataFrame:
     return daily.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row a day
 
 
+def trend_share(events: DataFrame, by: str, days: int = 7) -> DataFrame:
+    """(by, n, share) of the last days: how often each value of a column, such as a pattern or a category, is met."""
+    recent = with_as_of(events).filter(F.col("ts") >= F.col("as_of") - F.expr(f"INTERVAL {days} DAYS")).filter(F.col(by).isNotNull())
+    counts = recent.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row a value
+
+
 def status_activity(events: DataFrame) -> DataFrame:
     """(layer, events, critical_24h, high_24h)."""
     rows = with_as_of(events).withColumn("recent", F.col("ts") >= F.col("as_of") - F.expr("INTERVAL 24 HOURS"))
@@ -198,10 +239,10 @@ def by_severity(events: DataFrame) -> DataFrame:
     return events.orderBy(F.desc(S.severity_rank(F.col("severity"))), "ts", "id")
 
 
-def reportable(events: DataFrame) -> DataFrame:
-    """Rows of sessions with a block, an alert or an error-layer event."""
-    keys = events.filter(blocks() | (F.col("action") == "alert")).select("session_id").distinct()
-    return events.join(keys, "session_id", "left_semi")
+def reportable(rows: DataFrame) -> DataFrame:
+    """Rows of sessions with a policy hit, an injection, a sensitive write, a linter row, a denial, a memory finding or an error."""
+    grounds = F.col("log").isin("governor", "injection", "secureCode", "linter", "leash", "memory") & report_rows() | (F.col("log") == "error")
+    return rows.join(rows.filter(grounds).select("session_id").distinct(), "session_id", "left_semi")
 
 
 def in_session_window(rows: DataFrame, sessions: DataFrame, slack: str = "60 SECONDS") -> DataFrame:

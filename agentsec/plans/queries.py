@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -15,7 +15,7 @@ from ..operators import sessions as W
 from ..rules import compile as R
 from ..rules import packs
 from ..sources import logs
-from ..sources.views import CALLS_SQL, EVENTS_SQL, layer_status, security_events, table, tool_calls
+from ..sources.views import CALLS_SQL, EVENTS_SQL, REPORT_SQL, layer_status, planted, planted_sql, report_events, security_events, table, tool_calls
 from ..streaming import events as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,20 @@ def tc(sql: str) -> str:
     return f"WITH {CALLS_SQL}\n{sql}"
 
 
+def rp(sql: str) -> str:
+    return f"WITH {REPORT_SQL}\n{sql}"
+
+
+FOUND_SQL = "(log IN ('linter', 'securityRadar') OR log = 'governor' AND policy_matched <> 'none' OR log IN ('injection', 'imageSafety') AND detected OR log = 'secureCode' AND classification = 'SECURITY_SENSITIVE' OR log = 'leash' AND decision = 'DENY' OR log = 'memory' AND n_findings > 0)"
+DAILY_SQL = ", daily AS (SELECT * REPLACE (concat(session_id, '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS session_id) FROM re)"
+SHOWN_SQL = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, log ORDER BY CASE WHEN log IN ('governor', 'injection', 'linter', 'leash') THEN -({RANK}) ELSE 0 END, ts, id) AS n FROM re WHERE {FOUND_SQL}) WHERE n <= CASE WHEN log IN ('governor', 'leash', 'memory', 'securityRadar') THEN 50 ELSE 30 END)"
+
+
+def daily_sessions(rows: DataFrame) -> DataFrame:
+    """Each day of a session as a session of its own: small ones, many of them without findings."""
+    return rows.withColumn("session_id", F.concat_ws("-", "session_id", F.to_date("ts").cast("string")))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -150,9 +164,9 @@ def _(spark, d):
     return A.in_window_or_last(e.drop("session_id"), A.session_summary(e))
 
 
-@query("f16_reportable", se(f"SELECT {COLS} FROM se WHERE session_id IN (SELECT session_id FROM se WHERE action IN ('block','alert'))"))
+@query("f16_reportable", rp(f"{DAILY_SQL} SELECT {COLS} FROM daily WHERE session_id IN (SELECT session_id FROM daily WHERE log = 'error' OR log NOT IN ('imageSafety', 'securityRadar') AND {FOUND_SQL})"))
 def _(spark, d):
-    return A.reportable(security_events(spark, d)).select(*EVENT)
+    return A.reportable(daily_sessions(report_events(spark, d))).select(*EVENT)
 
 
 @query("s4_session_log", se(f"SELECT {COLS} FROM se WHERE session_id = 's2' AND ts >= (SELECT max(ts) FROM se) - INTERVAL 96 HOUR"))
@@ -193,14 +207,14 @@ def _(spark, d):
 
 
 # --- pattern scans ------------------------------------------------------------------------------------------
-@query("p1_injection_scan", scan_sql("documents", "doc_id", "text", R.INJECTION))
+@query("p1_injection_scan", scan_sql(planted_sql("documents", "doc_id", "text"), "doc_id", "text", R.INJECTION))
 def _(spark, d):
-    return found(table(spark, d, "documents"), "text", R.INJECTION, ["doc_id"])
+    return found(planted(table(spark, d, "documents"), "doc_id", "text"), "text", R.INJECTION, ["doc_id"])
 
 
 @query("p2_context_scan")
 def _(spark, d):
-    return P.exploded(P.context_scan(table(spark, d, "documents"), "text", R.INJECTION_LIBRARY), ["doc_id"])
+    return P.exploded(P.context_scan(planted(table(spark, d, "documents"), "doc_id", "text"), "text", R.INJECTION_LIBRARY), ["doc_id"])
 
 
 @query("p3_any_injection", "SELECT doc_id, (" + " OR ".join(f"regexp_matches(text, {quoted(r.regex)})" for r in R.INJECTION) + ") AS hit FROM documents")
@@ -222,9 +236,9 @@ def _(spark, d):
     return rows.select("doc_id", P.alert_action(F.coalesce("severity", F.lit("")), F.size("findings") > 0, P.heuristic_score(F.col("text"))["suspicious"]).alias("verdict"))
 
 
-@query("p6_egress_secrets", scan_sql("documents", "doc_id", "text", R.EGRESS_SECRET, 20))
+@query("p6_egress_secrets", scan_sql(planted_sql("documents", "doc_id", "text"), "doc_id", "text", R.EGRESS_SECRET, 20))
 def _(spark, d):
-    return found(table(spark, d, "documents"), "text", R.EGRESS_SECRET, ["doc_id"], 20)
+    return found(planted(table(spark, d, "documents"), "doc_id", "text"), "text", R.EGRESS_SECRET, ["doc_id"], 20)
 
 
 @query("p7_personal_data", "SELECT doc_id, rule_id, severity, '[REDACTED]' AS match FROM (" + scan_sql("documents", "doc_id", "text", R.EGRESS_PII) + ")")
@@ -263,9 +277,9 @@ def dlp_findings(spark, d):
     return rows.groupBy("source", F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("documents"), F.sum("f.count").cast("long").alias("matches"), F.max(S.severity_rank(F.col("f.severity"))).alias("top"))
 
 
-@query("p12_high_entropy", "SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{32,}'), lambda t: NOT regexp_matches(t, '^[0-9a-fA-F]+$') AND NOT regexp_matches(t, '^[A-Za-z]+$') AND list_entropy(string_split(t, '')) > 4.5)[1:5]) AS token FROM documents")
+@query("p12_high_entropy", "SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{32,}'), lambda t: NOT regexp_matches(t, '^[0-9a-fA-F]+$') AND NOT regexp_matches(t, '^[A-Za-z]+$') AND list_entropy(string_split(t, '')) > 4.5)[1:5]) AS token FROM " + planted_sql("documents", "doc_id", "text"))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(S.high_entropy_strings(F.col("text"))).alias("token"))
+    return planted(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.explode(S.high_entropy_strings(F.col("text"))).alias("token"))
 
 
 def _any(patterns: list[str], text: str) -> str:
@@ -289,12 +303,12 @@ def _(spark, d):
 
 @query("p16_lint")
 def _(spark, d):
-    return P.lint_lines(table(spark, d, "pages"), "html", F.lit("javascript"), ["page_id"])
+    return P.lint_lines(planted(table(spark, d, "pages"), "page_id", "html"), "html", F.lit("javascript"), ["page_id"])
 
 
-@query("p17_unsafe_output", scan_sql("pages", "page_id", "html", R.OUTPUT, 30))
+@query("p17_unsafe_output", scan_sql(planted_sql("pages", "page_id", "html"), "page_id", "html", R.OUTPUT, 30))
 def _(spark, d):
-    return found(table(spark, d, "pages"), "html", R.OUTPUT, ["page_id"], 30)
+    return found(planted(table(spark, d, "pages"), "page_id", "html"), "html", R.OUTPUT, ["page_id"], 30)
 
 
 @query("p19_skill_verdict", f"WITH f AS (SELECT doc_id, max({RANK}) AS r FROM ({scan_sql('documents', 'doc_id', 'text', R.SKILL)}) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN r = 4 THEN 'BLOCK' WHEN r IS NOT NULL THEN 'WARN' ELSE 'PASS' END AS verdict FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id")
@@ -304,7 +318,7 @@ def _(spark, d):
 
 @query("p22_memory_issues")
 def _(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(P.memory_issues(F.col("text"))).alias("i")).select("conv_id", "turn", "i.*")
+    return planted(table(spark, d, "conversations"), "conv_id", "text").select("conv_id", "turn", F.explode(P.memory_issues(F.col("text"))).alias("i")).select("conv_id", "turn", "i.*")
 
 
 @query("p24_memory_documents")
@@ -312,9 +326,9 @@ def _(spark, d):
     return P.memory_document_scan(table(spark, d, "documents"), R.memory_rules(), ["doc_id"])
 
 
-@query("p26_mentions", "SELECT conv_id, turn, m AS mention FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '@([^\\s,;]+)', 1)) AS m FROM conversations) WHERE regexp_matches(m, '\\.netrc|\\.npmrc|\\.kube/config|\\.cargo/credentials|\\.docker/config\\.json|\\.aws/credentials|\\.pgpass|\\.ssh/(?:id_|authorized_keys)|\\.pem$|\\.key$')")
+@query("p26_mentions", "SELECT conv_id, turn, m AS mention FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '@([^\\s,;]+)', 1)) AS m FROM " + planted_sql("conversations", "conv_id", "text") + ") WHERE regexp_matches(m, '\\.netrc|\\.npmrc|\\.kube/config|\\.cargo/credentials|\\.docker/config\\.json|\\.aws/credentials|\\.pgpass|\\.ssh/(?:id_|authorized_keys)|\\.pem$|\\.key$')")
 def _(spark, d):
-    return P.mentions(table(spark, d, "conversations"), "text", ["conv_id", "turn"]).select("conv_id", "turn", "mention")
+    return P.mentions(planted(table(spark, d, "conversations"), "conv_id", "text"), "text", ["conv_id", "turn"]).select("conv_id", "turn", "mention")
 
 
 @query("p30_max_severity", f"SELECT doc_id, max({RANK}) AS top FROM ({scan_sql('documents', 'doc_id', 'text', R.EGRESS_PII + R.EGRESS_SECRET)}) GROUP BY doc_id")
@@ -330,7 +344,7 @@ def _(spark, d):
 
 @query("u6_quarantined_sections")
 def _(spark, d):
-    return P.split_quarantine(table(spark, d, "documents"), R.memory_rules())[1].select("doc_id", "no", "title", "start_line", F.length("body").alias("chars"))
+    return P.split_quarantine(planted(table(spark, d, "documents"), "doc_id", "text"), R.memory_rules())[1].select("doc_id", "no", "title", "start_line", F.length("body").alias("chars"))
 
 
 # --- policy -------------------------------------------------------------------------------------------------
@@ -385,6 +399,14 @@ def _(spark, d):
     return security_events(spark, d).join(F.broadcast(logs.layers(spark).select("layer", "name")), "layer", "left").select("id", F.coalesce("name", F.lit("Unknown")).alias("name"))
 
 
+@query("j3_blocklist_reasons", tc("SELECT id, CASE k % 3 WHEN 0 THEN 'colors' ELSE 'rc' END AS package, CASE k % 3 WHEN 0 THEN 'Protestware - infinite loop' ELSE 'Credential stealer' END AS reason FROM tc WHERE command IS NOT NULL AND k % 3 < 2"))
+def _(spark, d):
+    name = F.element_at(F.array(F.lit("Colors"), F.lit("rc"), F.lit("left-pad")), F.col("k") % 3 + 1)
+    calls = tool_calls(spark, d).filter("command IS NOT NULL").withColumn("command", F.concat(F.lit("npm install "), name))
+    rows = calls.select("id", S.package_manager(F.col("command")).alias("ecosystem"), F.explode(S.install_packages(F.col("command"))).alias("package"))
+    return R.malicious(rows, spark).select("id", "package", "reason")
+
+
 @query("j4_path_labels", tc(f"SELECT id, {PATH_SQL} AS level FROM tc WHERE file_path IS NOT NULL"))
 def _(spark, d):
     labels = spark.createDataFrame(S.PATH_LABELS, "pattern string, level int")
@@ -415,12 +437,12 @@ def _(spark, d):
     return A.integrity(old, now, "doc_id")
 
 
-TECH_SQL = "(VALUES " + ", ".join(f"({quoted(a)}, {quoted(t)})" for a, _, _, _, ts in packs.LAYERS for t in ts) + ") AS t(layer, technique)"
+TECH_SQL = "(VALUES " + ", ".join(f"({quoted(a)}, {quoted(t)})" for a, ts, _, _ in packs.REPORT_MAP for t in ts) + ") AS t(layer, technique)"
 
 
 @query("j10_techniques", se(f"SELECT technique, count(*) AS n FROM se JOIN {TECH_SQL} ON se.layer = t.layer GROUP BY technique"))
 def _(spark, d):
-    return security_events(spark, d).join(F.broadcast(A.framework_map(logs.layers(spark))), "layer").groupBy("technique").agg(F.count(F.lit(1)).alias("n"))
+    return security_events(spark, d).join(F.broadcast(A.framework_map(logs.report_map(spark))), "layer").groupBy("technique").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------
@@ -468,50 +490,52 @@ def _(spark, d):
     return A.layer_statistics(logs.layers(spark), security_events(spark, d))
 
 
-CATEGORY_SQL = "CASE layer WHEN 'L0' THEN 'code' WHEN 'L1' THEN 'policy' WHEN 'L4' THEN 'injection' WHEN 'L9' THEN 'egress' WHEN 'L14' THEN 'supply_chain' ELSE 'other' END"
-NAMES = sorted(set(A.CATEGORIES.values()))
-
-
-@query("a9_report_summary", tc("SELECT session_id, " + ", ".join(f"count_if(({CATEGORY_SQL}) = '{c}') AS {c}" for c in NAMES) + ", count(*) AS tool_calls, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS duration_ms, CAST(sum(CAST(ceil(input_chars / 4) AS BIGINT)) AS BIGINT) AS tokens FROM tc GROUP BY session_id"))
+@query("a9_report_summary", rp("""SELECT session_id, count_if(log = 'governor' AND policy_matched <> 'none' AND severity <> 'LOW') AS policy_violations, count_if(log = 'injection' AND detected) AS injection_detections, count_if(log = 'imageSafety' AND detected) AS image_detections,
+  count_if(log = 'secureCode' AND classification = 'SECURITY_SENSITIVE') AS sensitive_writes, count_if(log = 'linter' AND reverted) AS code_reverts, count_if(log = 'leash' AND decision = 'DENY') AS leash_blocks, count_if(log = 'memory' AND n_findings > 0) AS memory_attempts, count_if(log = 'securityRadar') AS radar_findings,
+  count_if(log = 'error') AS errors, count_if(log = 'tool') AS tool_calls, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000) AS BIGINT) AS duration_ms, CAST(sum(CAST(ceil(input_chars / 4) AS BIGINT)) AS BIGINT) AS tokens FROM re GROUP BY session_id"""))
 def _(spark, d):
-    return A.report_summary(tool_calls(spark, d))
+    return A.report_summary(report_events(spark, d))
 
 
 def _matrix_sql(source: str) -> str:
-    return "SELECT severity, " + ", ".join(f"count_if(({CATEGORY_SQL}) = '{c}') AS {c}" for c in NAMES) + f", count(*) AS total FROM {source} GROUP BY severity"
+    names = ("governor", "imageSafety", "injection", "leash", "linter", "memory", "secureCode", "securityRadar")
+    return "SELECT severity, " + ", ".join(f"count_if(log = '{c}') AS \"{c}\"" for c in names) + f", count(*) AS total FROM {source} GROUP BY severity"
 
 
-@query("a10_severity_matrix", se(_matrix_sql("se")))
+@query("a10_severity_matrix", rp(_matrix_sql(f"(SELECT * FROM re WHERE {FOUND_SQL})")))
 def _(spark, d):
-    return A.severity_matrix(security_events(spark, d))
+    return A.severity_matrix(report_events(spark, d))
 
 
-@query("a10_display_matrix", se(_matrix_sql(f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, {CATEGORY_SQL} ORDER BY {RANK} DESC, ts, id) AS n FROM se) WHERE n <= 50)")))
+@query("a10_display_matrix", rp(_matrix_sql(SHOWN_SQL.replace("FROM re", "FROM (SELECT * REPLACE (concat('s', k % 7) AS session_id) FROM re)"))))
 def _(spark, d):
-    return A.severity_matrix(security_events(spark, d), 50)
+    """Over seven large sessions, so that the caps bind."""
+    return A.severity_matrix(report_events(spark, d).withColumn("session_id", F.concat(F.lit("s"), (F.col("k") % 7).cast("string"))), display=True)
 
 
-@query("a11_overall_status", se("SELECT session_id, CASE WHEN count_if(severity = 'CRITICAL' OR action = 'block' OR (layer = 'L4' AND action = 'alert')) > 0 THEN 'DETECTED' WHEN count_if(severity = 'HIGH') > 0 OR count_if(action IN ('warn','alert')) > 2 THEN 'WARNINGS' ELSE 'CLEAN' END AS status FROM se GROUP BY session_id"))
+@query("a11_overall_status", rp(f"""{DAILY_SQL} SELECT s.session_id, CASE WHEN coalesce(critical, 0) > 0 OR bad > 0 THEN 'DETECTED' WHEN coalesce(high, 0) > 0 OR violations > 2 THEN 'WARNINGS' ELSE 'CLEAN' END AS status
+  FROM (SELECT session_id, count_if(log = 'linter' AND reverted OR log IN ('leash', 'injection', 'imageSafety', 'memory', 'securityRadar') AND {FOUND_SQL}) AS bad, count_if(log = 'governor' AND policy_matched <> 'none' AND severity <> 'LOW') AS violations FROM daily GROUP BY session_id) s
+  LEFT JOIN (SELECT session_id, count_if(severity = 'CRITICAL') AS critical, count_if(severity = 'HIGH') AS high FROM {SHOWN_SQL.replace('FROM re', 'FROM daily')} GROUP BY session_id) f ON s.session_id = f.session_id"""))
 def _(spark, d):
-    return A.overall_status(security_events(spark, d))
+    return A.overall_status(daily_sessions(report_events(spark, d)))
 
 
-STATUS_SQL = EVENTS_SQL + ", st AS (SELECT session_id AS project, layer, CASE WHEN count(*) >= 3 THEN 'active' ELSE 'not_installed' END AS status FROM se GROUP BY 1, 2)"
-COVERS_SQL = "(VALUES " + ", ".join(f"('{k}', '{r}')" for k, v in A.AGENTIC.items() for r in v) + ") AS c(layer, risk)"
+STATUS_SQL = EVENTS_SQL + ", st AS (SELECT session_id AS project, concat('L', CAST(k % 20 AS VARCHAR)) AS layer, CASE WHEN count(*) >= 3 THEN 'active' ELSE 'not_installed' END AS status FROM se GROUP BY 1, 2)"
+COVERS_SQL = "(VALUES " + ", ".join(f"('{a}', '{r}')" for a, _, _, risks in packs.REPORT_MAP for r in risks) + ") AS c(layer, risk)"
 RISKS_SQL = "(VALUES " + ", ".join(f"('{r}')" for r in A.ASI) + ") AS r(risk)"
 
 
-@query("a12_agentic_coverage", f"WITH {STATUS_SQL} SELECT p.project, r.risk, count(DISTINCT x.layer) AS layers, CASE WHEN count(DISTINCT x.layer) >= 2 AND NOT (r.risk = 'ASI06' AND count_if(x.layer = 'L3') > 0) THEN 'covered' WHEN count(DISTINCT x.layer) >= 1 THEN 'partial' ELSE 'gap' END AS coverage FROM (SELECT DISTINCT project FROM st) p CROSS JOIN {RISKS_SQL} LEFT JOIN (SELECT project, st.layer, risk FROM st JOIN {COVERS_SQL} ON st.layer = c.layer WHERE status = 'active') x ON x.project = p.project AND x.risk = r.risk GROUP BY 1, 2")
+@query("a12_agentic_coverage", f"WITH {STATUS_SQL} SELECT p.project, r.risk, count(DISTINCT x.layer) AS layers, CASE WHEN count(DISTINCT x.layer) >= 2 AND NOT (r.risk = 'ASI06' AND p.project IN (SELECT project FROM st WHERE layer = 'L3' AND status = 'active')) THEN 'covered' WHEN count(DISTINCT x.layer) >= 1 THEN 'partial' ELSE 'gap' END AS coverage FROM (SELECT DISTINCT project FROM st) p CROSS JOIN {RISKS_SQL} LEFT JOIN (SELECT project, st.layer, risk FROM st JOIN {COVERS_SQL} ON st.layer = c.layer WHERE status = 'active') x ON x.project = p.project AND x.risk = r.risk GROUP BY 1, 2")
 def _(spark, d):
-    return A.agentic_coverage(layer_status(spark, d))
+    return A.agentic_coverage(layer_status(spark, d), logs.report_map(spark))
 
 
-IDS_SQL = "(VALUES " + ", ".join(f"('{a}', '{k}', {quoted(i)})" for a, _, _, o, t in packs.LAYERS for k, ids in (("o", o), ("a", t)) for i in ids) + ") AS i(layer, k, id)"
+IDS_SQL = "(VALUES " + ", ".join(f"('{a}', '{k}', {quoted(i)})" for a, t, o, _ in packs.REPORT_MAP for k, ids in (("o", o), ("a", t)) for i in ids) + ") AS i(layer, k, id)"
 
 
 @query("a13_framework_totals", f"WITH {STATUS_SQL} SELECT project, count(DISTINCT st.layer) AS active_layers, count(DISTINCT CASE WHEN k = 'a' THEN id END) AS atlas, CAST(round(100.0 * count(DISTINCT CASE WHEN k = 'a' THEN id END) / 16) AS BIGINT) AS atlas_percent, count(DISTINCT CASE WHEN k = 'o' THEN id END) AS owasp, CAST(round(100.0 * count(DISTINCT CASE WHEN k = 'o' THEN id END) / 9) AS BIGINT) AS owasp_percent FROM st LEFT JOIN {IDS_SQL} ON st.layer = i.layer WHERE status = 'active' GROUP BY project")
 def _(spark, d):
-    return A.framework_totals(layer_status(spark, d), logs.layers(spark))
+    return A.framework_totals(layer_status(spark, d), logs.report_map(spark))
 
 
 @query("a14_layer_inventory", f"WITH {STATUS_SQL} SELECT project, status, count(*) AS n FROM st GROUP BY GROUPING SETS ((project, status), (project))")
@@ -539,6 +563,20 @@ def _(spark, d):
     return A.trend(security_events(spark, d))
 
 
+def _share_sql(by: str) -> str:
+    return f"SELECT {by}, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM re WHERE ts >= (SELECT max(ts) FROM re) - INTERVAL 7 DAY AND {by} IS NOT NULL GROUP BY 1"
+
+
+@query("a18_trend_patterns", rp(f"SELECT * FROM ({_share_sql('pattern_id')}) ORDER BY n DESC, pattern_id LIMIT 10"))
+def _(spark, d):
+    return A.trend_share(report_events(spark, d), "pattern_id").orderBy(F.desc("n"), "pattern_id").limit(10)
+
+
+@query("a18_trend_categories", rp(_share_sql("log")))
+def _(spark, d):
+    return A.trend_share(report_events(spark, d), "log")
+
+
 @query("a19_status_activity", se(f"SELECT layer, count(*) AS events, count_if(severity = 'CRITICAL' AND ts >= {ASOF} - INTERVAL 24 HOUR) AS critical_24h, count_if(severity = 'HIGH' AND ts >= {ASOF} - INTERVAL 24 HOUR) AS high_24h FROM se GROUP BY layer"))
 def _(spark, d):
     return A.status_activity(security_events(spark, d))
@@ -670,11 +708,24 @@ def _(spark, d):
 
 
 # --- sets, scalars ------------------------------------------------------------------------------------------
-@query("u1_timeline", se("SELECT session_id, id, kind, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC, kind) AS place FROM (SELECT session_id, ts, id, 'governor' AS kind FROM se WHERE layer = 'L1' UNION ALL SELECT session_id, ts, id, 'injection' FROM se WHERE layer = 'L4' UNION ALL SELECT session_id, ts, id, 'error' FROM se WHERE layer = 'L0')) WHERE place <= 30"))
-def _(spark, d):
-    e = security_events(spark, d)
-    rows = A.timeline((e.filter("layer = 'L1'"), "governor", F.col("tool_name")), (e.filter("layer = 'L4'"), "injection", F.col("pattern_id")), (e.filter("layer = 'L0'"), "error", F.col("severity")))
-    return rows.select("session_id", "id", "kind", "place")
+@query("u1_timeline", rp(f"""SELECT session_id, id, kind, label, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC, kind) AS place FROM (
+  SELECT session_id, ts, id, log AS kind, tool_name AS label FROM re WHERE log = 'tool' UNION ALL SELECT session_id, ts, id, log, concat('Governor: ', policy_matched) FROM re WHERE log = 'governor' AND policy_matched <> 'none'
+  UNION ALL SELECT session_id, ts, id, log, 'Memory Poisoning' FROM re WHERE log = 'memory' AND severity = 'CRITICAL' UNION ALL SELECT session_id, ts, id, log, 'Injection Detected' FROM re WHERE log = 'injection' AND detected
+  UNION ALL SELECT session_id, ts, id, 'security-radar', concat('Radar: ', policy_matched) FROM re WHERE log = 'securityRadar' UNION ALL SELECT session_id, ts, id, log, severity FROM re WHERE log = 'error'
+  UNION ALL SELECT session_id, ts, id, log, tool_name FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS n FROM re WHERE log = 'evaluator') WHERE n <= 10)) WHERE place <= 30"""))
+def _(spark, d):
+    r = report_events(spark, d)
+    hits, of = r.filter(A.report_rows()), lambda df, log: df.filter(F.col("log") == log)
+    evaluated = of(r, "evaluator").withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "id"))).filter("_n <= 10")
+    return A.timeline(
+        (of(r, "tool"), "tool", F.col("tool_name")),
+        (of(hits, "governor"), "governor", F.concat(F.lit("Governor: "), "policy_matched")),
+        (of(r, "memory").filter("severity = 'CRITICAL'"), "memory", F.lit("Memory Poisoning")),
+        (of(hits, "injection"), "injection", F.lit("Injection Detected")),
+        (of(r, "securityRadar"), "security-radar", F.concat(F.lit("Radar: "), "policy_matched")),
+        (of(r, "error"), "error", F.col("severity")),
+        (evaluated, "evaluator", F.col("tool_name")),
+    ).select("session_id", "id", "kind", "label", "place")
 
 
 @query("u2_session_bounds", se("SELECT session_id, min(ts) AS start, max(ts) AS \"end\" FROM se WHERE layer IN ('L0', 'L1', 'L4') GROUP BY session_id"))
@@ -693,7 +744,7 @@ def _(spark, d):
 
 @query("u4_distinct_ids", se(f"SELECT DISTINCT technique FROM se JOIN {TECH_SQL} ON se.layer = t.layer"))
 def _(spark, d):
-    rows = security_events(spark, d).select("layer").distinct().join(F.broadcast(logs.layers(spark)), "layer")
+    rows = security_events(spark, d).select("layer").distinct().join(F.broadcast(logs.report_map(spark)), "layer")
     return rows.agg(F.array_distinct(F.flatten(F.collect_list("atlas"))).alias("ids")).select(F.explode("ids").alias("technique"))
 
 

@@ -189,6 +189,12 @@ def rule_diff(current: DataFrame, candidate: DataFrame) -> DataFrame:
     return new.union(changed)
 
 
+def malicious(packages: DataFrame, spark: SparkSession) -> DataFrame:
+    """Packages (ecosystem, package) known as malicious, in lower case, with the reason."""
+    known = spark.createDataFrame(packs.MALICIOUS_REASONS, "ecosystem string, package string, reason string")  # ten rows
+    return packages.withColumn("package", F.lower("package")).join(F.broadcast(known), ["ecosystem", "package"])
+
+
 def package_blocklist(spark: SparkSession, configured: DataFrame | None = None) -> DataFrame:
     """(package): hard-coded names and configured ones, in lower case, once."""
     base = spark.createDataFrame([(p,) for p in packs.MALICIOUS_PACKAGES], "package string")

@@ -380,5 +380,28 @@ LAYERS = [
     ('L18', 'MCP Audit', 'SessionStart', ('LLM01', 'LLM02'), ('AML.T0051', 'AML.T0053')),
     ('L19', 'Skill Scanner', 'PreToolUse+SessionStart', ('LLM01',), ()),
 ]
+#: What a session report maps a layer to: technique ids, OWASP ids and OWASP agentic ids. Fixed values.
+REPORT_MAP = [
+    ('L0', ('AML.T0057',), ('LLM02',), ('ASI05',)),
+    ('L1', ('AML.T0053', 'AML.T0062', 'AML.T0066'), ('LLM06', 'LLM02'), ('ASI02', 'ASI03', 'ASI07', 'ASI08', 'ASI10')),
+    ('L2', ('AML.T0057',), ('LLM02',), ('ASI05', 'ASI08')),
+    ('L3', ('AML.T0064',), (), ('ASI06',)),
+    ('L4', ('AML.T0051', 'AML.T0051.001', 'AML.T0051.002', 'AML.T0056', 'AML.T0063', 'AML.T0065'), ('LLM01',), ('ASI01',)),
+    ('L5', (), ('LLM05', 'LLM02'), ()),
+    ('L6', ('AML.T0057', 'AML.T0066'), ('LLM02',), ('ASI02',)),
+    ('L7', ('AML.T0048', 'AML.T0051.002'), ('LLM01',), ('ASI01',)),
+    ('L8', ('AML.T0057',), ('LLM02',), ()),
+    ('L9', ('AML.T0035', 'AML.T0062', 'AML.T0057', 'AML.T0067'), ('LLM02', 'LLM06'), ()),
+    ('L10', ('AML.T0053', 'AML.T0062'), ('LLM06',), ('ASI05',)),
+    ('L11', ('AML.T0053', 'AML.T0062', 'AML.T0051.002', 'AML.T0035'), ('LLM01', 'LLM06', 'LLM02'), ('ASI05',)),
+    ('L12', ('AML.T0062', 'AML.T0053'), ('LLM06',), ('ASI02', 'ASI03')),
+    ('L13', (), ('LLM09',), ('ASI09',)),
+    ('L14', ('AML.T0047',), ('LLM03',), ('ASI04',)),
+    ('L15', ('AML.T0048', 'AML.T0068'), ('LLM04', 'LLM08'), ()),
+    ('L16', (), (), ('ASI09',)),
+    ('L17', (), ('LLM10',), ()),
+    ('L18', ('AML.T0051', 'AML.T0053'), ('LLM01', 'LLM02'), ('ASI06',)),
+    ('L19', ('AML.T0051', 'AML.T0053'), ('LLM01', 'LLM06'), ('ASI01', 'ASI02')),
+]
 #: Look-alike letters and their ASCII. Fixed values.
 HOMOGLYPHS = ('\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0423\u0425\u03b1\u03b5\u03b9\u03bf\u03c1\u0391\u0392\u0395\u0399\u039f', 'aeopcyxiABEKMHOPCTYXaeiopABEIO')

@@ -117,6 +117,11 @@ def layers(spark: SparkSession) -> DataFrame:
     return rows.withColumn("layer_num", F.substring("layer", 2, 3).cast("int"))
 
 
+def report_map(spark: SparkSession) -> DataFrame:
+    """(layer, atlas, owasp, agentic): the ids that a session report maps a layer to; not those of `layers`, which is the seed of the database."""
+    return spark.createDataFrame([(a, list(b), list(c), list(d)) for a, b, c, d in packs.REPORT_MAP], "layer string, atlas array<string>, owasp array<string>, agentic array<string>")
+
+
 def export_report(findings: DataFrame, path: str) -> None:
     """Every session's findings as JSON, a folder for each."""
     findings.write.partitionBy("session_id").json(path)

@@ -325,3 +325,54 @@ def test_taint_never_falls(spark):
     rows = [("s", k, dt.datetime(2024, 1, 1, 0, 0, k), "Read", p, None) for k, p in enumerate(reads)]
     got = W.taint(spark.createDataFrame(rows, "session_id string, id long, ts timestamp, tool_name string, file_path string, command string")).orderBy("id").collect()
     assert [r.taint_level for r in got] == [0, 1, 3, 3] and [r.taint_source for r in got] == [None, "/security/x", "/.ssh/id", "/.ssh/id"]
+
+
+# --- the session report -------------------------------------------------------------------------------------
+def report_log(spark, *rows):
+    """Rows of (session, log, severity, changed columns)."""
+    base = {"policy_matched": "none", "detected": False, "classification": "STANDARD", "decision": "ALLOW", "n_findings": 0, "reverted": False, "input_chars": 5}
+    made = [{"id": k, "ts": dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), "session_id": s, "log": log, "severity": sev, **base, **more} for k, (s, log, sev, more) in enumerate(rows)]
+    return spark.createDataFrame(made, "id long, ts timestamp, session_id string, log string, severity string, policy_matched string, detected boolean, classification string, decision string, n_findings int, reverted boolean, input_chars long")
+
+
+def test_report_categories_and_caps(spark):
+    shots = [("a", "injection", "LOW", {"detected": True})] * 40 + [("a", "injection", "CRITICAL", {"detected": True})]
+    writes = [("a", "secureCode", "LOW", {"classification": "SECURITY_SENSITIVE"})] * 40 + [("a", "secureCode", "CRITICAL", {"classification": "SECURITY_SENSITIVE"})]
+    radar = [("a", "securityRadar", "HIGH", {})] * 60
+    none = [("a", "injection", "HIGH", {}), ("a", "leash", "HIGH", {}), ("a", "governor", "HIGH", {}), ("a", "memory", "HIGH", {}), ("a", "imageSafety", "HIGH", {})]
+    rows = report_log(spark, *shots, *writes, *radar, *none)
+    every, shown = ({r["severity"]: r for r in A.severity_matrix(rows, d).collect()} for d in (False, True))
+    assert every["LOW"]["injection"] == 40 and every["CRITICAL"]["secureCode"] == 1 and every["HIGH"]["total"] == every["HIGH"]["securityRadar"] == 60
+    # the severest injections are shown, but of writes the first ones
+    assert shown["CRITICAL"]["injection"] == 1 and shown["LOW"]["injection"] == 29 and shown["LOW"]["secureCode"] == 30 and shown["CRITICAL"]["secureCode"] == 0 and shown["HIGH"]["securityRadar"] == 50
+    got = A.report_summary(rows).first()
+    assert (got.injection_detections, got.sensitive_writes, got.radar_findings, got.leash_blocks, got.policy_violations, got.tokens) == (41, 41, 60, 0, 0, 2 * 147)
+    assert A.severity_matrix(rows.limit(0)).count() == 0 and A.report_summary(rows.limit(0)).count() == 0
+
+
+def test_report_status_and_grounds(spark):
+    policy = {"policy_matched": "p"}
+    rows = report_log(
+        spark, ("clean", "governor", "HIGH", {}), ("clean", "imageSafety", "LOW", {}), ("two", "governor", "MEDIUM", policy), ("two", "governor", "LOW", policy), ("two", "governor", "MEDIUM", policy),
+        *[("three", "governor", "MEDIUM", policy)] * 3, ("high", "governor", "HIGH", policy), ("revert", "linter", "LOW", {"reverted": True}), ("lint", "linter", "LOW", {}), ("deny", "leash", "LOW", {"decision": "DENY"}), ("radar", "securityRadar", "LOW", {}), ("error", "error", "LOW", {}),
+    )
+    status = {r.session_id: r.status for r in A.overall_status(rows).collect()}
+    assert status == {"clean": "CLEAN", "two": "CLEAN", "three": "WARNINGS", "high": "WARNINGS", "revert": "DETECTED", "lint": "CLEAN", "deny": "DETECTED", "radar": "DETECTED", "error": "CLEAN"}
+    assert {r.session_id for r in A.reportable(rows).collect()} == {"two", "three", "high", "revert", "lint", "deny", "error"}
+
+
+def test_report_maps(spark):
+    """Values of the session report's own map, written out."""
+    rows = {r.layer: r for r in logs.report_map(spark).collect()}
+    assert len(rows) == 20 and rows["L0"].atlas == ["AML.T0057"] and rows["L9"].agentic == [] and len(rows["L4"].atlas) == 6
+    assert rows["L1"].agentic == ["ASI02", "ASI03", "ASI07", "ASI08", "ASI10"] and rows["L4"].agentic == ["ASI01"] and rows["L16"].agentic == ["ASI09"]
+    status = spark.createDataFrame([("p", f"L{k}", "active") for k in range(20)] + [("q", "L18", "active"), ("q", "L3", "not_installed")], "project string, layer string, status string")
+    got = {(r.project, r.risk): r.coverage for r in A.agentic_coverage(status, logs.report_map(spark)).collect()}
+    assert got["p", "ASI06"] == "partial" and got["p", "ASI04"] == "partial" and got["p", "ASI01"] == "covered" and got["q", "ASI06"] == "partial" and got["q", "ASI01"] == "gap"
+    totals = {r.project: r for r in A.framework_totals(status, logs.report_map(spark)).collect()}
+    assert totals["p"].active_layers == 20 and totals["p"].owasp == 9 and totals["p"].owasp_percent == 100 and totals["q"].atlas == 2
+
+
+def test_malicious_packages_have_reasons(spark):
+    rows = spark.createDataFrame([("npm", "RC"), ("pypi", "rc"), ("npm", None), ("pypi", "colourama")], "ecosystem string, package string")
+    assert {(r.package, r.reason) for r in R.malicious(rows, spark).collect()} == {("rc", "Credential stealer"), ("colourama", "Typosquat of colorama")}
