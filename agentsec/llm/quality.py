@@ -56,7 +56,7 @@ def _covered(windows: Column, words: Column) -> Column:
         same = lambda other: F.when(other["h"] == one["h"], content(other["p"]) == content(one["p"])).otherwise(F.lit(False))
         return same(F.get(windows, k - 1)) | same(F.get(windows, k + 1))
 
-    places = F.array_sort(F.transform(F.filter(windows, twin), lambda one: one["p"]))
+    places = F.sort_array(F.transform(F.filter(windows, twin), lambda one: one["p"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     step = lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).alias("n"), (p + WINDOW).alias("end"))
     return F.aggregate(places, start, step, lambda acc: acc["n"])
@@ -79,7 +79,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = rows.withColumn("_hashes", F.zip_with("_hashes", F.slice("_hashes", step + 1, F.size("_hashes")), lambda a, b: F.xxhash64(a, b)))
     rows = rows.withColumn("_hashes", F.slice("_hashes", 1, F.greatest(n - WINDOW + 1, F.lit(0))))
     windows = F.transform("_hashes", lambda h, k: F.struct(h.alias("h"), k.cast("long").alias("p")))
-    rows = rows.select("*", F.when(F.size("_hashes") > F.size(F.array_distinct("_hashes")), F.array_sort(windows)).alias("_sorted"))
+    rows = rows.select("*", F.when(F.size("_hashes") > F.size(F.array_distinct("_hashes")), F.sort_array(windows)).alias("_sorted"))
     return rows.select(
         F.col("_id").alias(id_col),
         n.cast("long").alias("n_words"),
