@@ -93,6 +93,27 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str,
     return big.join(F.broadcast(small) if small_rows <= BROADCAST_ROWS else small, on, how)
 
 
+def row_keys(docs: DataFrame, out: str = "_key", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(`docs` with the long `out`, if ids repeat with other texts): rows get one key if they agree in id and text, else different ones.
+
+    A key is the id, but where an id has several texts only one of them keeps it and the others get hashes that no row has. A null id has a null
+    key. Texts of one id are told apart by 64-bit hashes.
+    """
+    rows = docs.withColumns({out: F.col(id_col).cast("long"), "_th": F.xxhash64(F.col(text_col).cast("string"))})
+    twice = rows.filter(F.col(out).isNotNull()).groupBy(out).agg(F.min("_th").alias("_lo"), F.max("_th").alias("_hi")).filter("_lo < _hi")
+    twice = materialize(twice.select(out, "_lo"), "repeated")
+    n = twice.count()
+    if not n:
+        return rows.drop("_th"), False
+    for salt in range(64):
+        other = F.xxhash64(out, F.col("_th"), F.lit(salt))
+        keyed = join_small(rows, twice, out, "left", n).withColumn("_id", F.col(out)).withColumn(out, F.when(F.col("_lo") != F.col("_th"), other).otherwise(F.col(out)))
+        clash = keyed.filter(F.col(out).isNotNull()).groupBy(out).agg(F.min(F.xxhash64("_id", "_th")).alias("a"), F.max(F.xxhash64("_id", "_th")).alias("b"))
+        if not clash.filter("a < b").limit(1).count():
+            break
+    return keyed.drop("_th", "_lo", "_id"), True
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_block: int = 4096, rows: int | None = None, spread: str | None = None) -> DataFrame:
     """`out`: 0, 1, 2, ... within `group`, without bringing a group into one task.
 

@@ -23,7 +23,8 @@ sketches, and all its block pairs are compared, those inside one component maske
 of near copies whose token one outsider holds too costs rows and comparisons that grow with the square of the group.
 
 Nulls: a null or empty text, or one without words, has an empty set and is alone; a null doc_id has no links and a null
-component. Rows that repeat a doc_id are expected to repeat the text. Shingles are compared by 64-bit hashes.
+component. Rows are judged by their own text: rows that repeat a doc_id with another text link, or don't, each for itself, and a component's
+id is the smallest doc_id of its rows. Repeated rows have equal results. Other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, map_arrow, materialize, released_group, table
+from .common import join_small, map_arrow, materialize, released_group, row_keys, table
 from .components import connected_components
 from .substring_dedup import _table, pack, split_by, squeeze, top_bits, unpack, unsqueeze
 from .words import mix, row_shingles
@@ -336,6 +337,19 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`."""
+    keyed, repeated = row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = link_texts(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    if not repeated:
+        return found
+    found = materialize(found.withColumnRenamed("doc_id", "_key"), "keyed")
+    ids = materialize(keyed.filter("_key IS NOT NULL").select("_key", "doc_id").distinct(), "ids")
+    rows = found.join(ids, "_key", "left")
+    least = rows.filter("component_id IS NOT NULL").groupBy("component_id").agg(F.min("doc_id").alias("_least"))
+    return rows.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("_least").alias("component_id"))
+
+
+def link_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, where rows of one doc_id have one text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(profile(docs), "profiles")
     levels = frequency_levels(profiles)

@@ -474,3 +474,11 @@ def test_toxicity_keeps_columns_named_like_its_results(spark):
     docs = spark.createDataFrame([(1, "a b", "keep", 9)], "doc_id long, text string, score string, predicted int")
     out = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).first()
     assert (out.score_in, out.predicted_in, out.score, out.predicted) == ("keep", 9, 0.5, 0)
+
+
+def test_links_of_rows_that_repeat_an_id(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 60, 4000) for _ in range(3))
+    rows = [(1, a), (3, c), (3, a + " more"), (3, c), (5, b), (2, c + " x"), (None, a), (4, None), (4, b + " y")]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in collected(jaccard_join.link_documents(frame(spark, rows))))
+    assert got == sorted([(1, 56, 1), (3, 56, 2), (3, 57, 1), (3, 56, 2), (5, 56, 4), (2, 57, 2), (-1, 56, -1), (4, 0, 4), (4, 57, 4)])
