@@ -14,13 +14,23 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..rules import packs
-from ..rules.compile import LINTER, MENTION, PARAMETER_SECRET, SKILL, Rule, findings, first_match, gate, pack
+from ..rules.compile import LINTER, MENTION, PARAMETER_SECRET, SKILL, Rule, findings, first_match, gate, matches_any, pack, pinned, with_gate, without_gate
 
 
 def scan(df: DataFrame, text: str, rules: Sequence[Rule], cut: int = 100, normalise: bool = False, gated: bool = True) -> DataFrame:
     """`df` with `findings`, `severity` (the highest) and `categories` (distinct, in order)."""
-    content = S.normalise_unicode(F.col(text)) if normalise else F.col(text)
-    return df.withColumn("findings", findings(content, rules, cut, gated)).withColumns({"severity": max_severity(F.col("findings")), "categories": F.array_distinct(F.col("findings.category"))})
+    rows, content = (df.withColumn("_gate_text", S.normalise_unicode(F.col(text))), F.col("_gate_text")) if normalise else (df, F.col(text))
+    passes = None
+    if gated:
+        rows, passes = with_gate(rows, content, rules)
+    rows = without_gate(rows.withColumn("findings", pinned(findings(content, rules, cut, gated, passes))))
+    return rows.withColumns({"severity": max_severity(F.col("findings")), "categories": F.array_distinct(F.col("findings.category"))})
+
+
+def quick_scan(df: DataFrame, text: str, rules: Sequence[Rule], name: str = "hit") -> DataFrame:
+    """`df` with whether any rule matches."""
+    rows, passes = with_gate(df, F.col(text), rules)
+    return without_gate(rows.withColumn(name, pinned(matches_any(F.col(text), rules, passes))))
 
 
 def max_severity(found: Column) -> Column:
@@ -32,8 +42,11 @@ def exploded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def context_scan(df: DataFrame, text: str, rules: Sequence[Rule], limit: int = 10) -> DataFrame:
-    """Findings in rule order, none inside code syntax; inside documentation HIGH and above become LOW and the rest go."""
-    raw, norm = F.col(text), S.normalise_unicode(F.col(text))
+    """Findings in rule order, none inside code syntax; inside documentation HIGH and above become LOW and the rest go.
+
+    Texts are normalised once, in a column of their own; markers are looked for around hits only.
+    """
+    raw, norm = F.col(text), F.col("_gate_norm")
 
     def near(f: Column, back: int, markers: Sequence[str]) -> Column:
         # the place is that in the normalised text, the window is cut from the raw one
@@ -44,25 +57,27 @@ def context_scan(df: DataFrame, text: str, rules: Sequence[Rule], limit: int = 1
             out = out | window.rlike(m)
         return out
 
-    found = F.filter(findings(norm, rules, 100_000), lambda f: ~near(f, 400, packs.CODE_MARKERS))
-
     def lowered(f: Column) -> Column:
         doc = near(f, 150, packs.DOCUMENTATION_MARKERS)
         severity = F.when(~doc, f["severity"]).when(f["severity"].isin("CRITICAL", "HIGH"), F.lit("LOW"))
         return F.struct(f["rule_id"].alias("rule_id"), f["category"].alias("category"), severity.alias("severity"), F.substring(f["match"], 1, 100).alias("match"), f["pos"].alias("pos"))
 
-    return df.withColumn("findings", F.slice(F.filter(F.transform(found, lowered), lambda f: f["severity"].isNotNull()), 1, limit))
+    rows, passes = with_gate(df.withColumn("_gate_norm", pinned(S.normalise_unicode(raw))), norm, rules)
+    rows = rows.withColumn("_gate_found", pinned(findings(norm, rules, 100_000, passes=passes)))
+    rows = rows.withColumn("_gate_kept", F.filter("_gate_found", lambda f: ~near(f, 400, packs.CODE_MARKERS)))
+    rows = rows.withColumn("_gate_low", F.transform("_gate_kept", lowered))
+    return without_gate(rows.withColumn("findings", F.slice(F.filter("_gate_low", lambda f: f["severity"].isNotNull()), 1, limit)))
 
 
-def heuristic_score(text: Column) -> Column:
-    """(score, indicators, suspicious): weights of the phrases that the lower-cased text contains."""
-    lower = F.lower(text)
+def heuristic_score(df: DataFrame, text: str, name: str = "heuristic") -> DataFrame:
+    """`df` with (score, indicators, suspicious): weights of the phrases that the lower-cased text contains."""
     score, names = F.lit(0), []
     for group, phrase, weight in packs.HEURISTIC_PHRASES:
-        has = F.contains(lower, F.lit(phrase))
+        has = F.contains(F.col("_gate_low"), F.lit(phrase))
         score = score + F.when(has, weight).otherwise(0)
         names.append(F.when(has, F.lit(f'{group}: "{phrase}"')))
-    return F.struct(score.alias("score"), F.array_compact(F.array(*names)).alias("indicators"), (score >= 5).alias("suspicious"))
+    value = F.struct(score.alias("score"), F.array_compact(F.array(*names)).alias("indicators"), (score >= 5).alias("suspicious"))
+    return without_gate(df.withColumn("_gate_low", pinned(F.lower(F.col(text)))).withColumn(name, pinned(value)))
 
 
 def alert_action(severity: Column, found: Column, suspicious: Column) -> Column:
@@ -88,11 +103,12 @@ def blocked_destination(url: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*tests)
 
 
-def dlp_counts(text: Column, rules: Sequence[Rule]) -> Column:
-    """array<struct<category, severity, count, preview>>: all matches of each rule, the first one masked."""
-    lower = F.lower(text)
-    one = [F.when(gate(r, lower) & text.rlike(r.regex), F.struct(F.lit(r.id).alias("category"), F.lit(r.severity).alias("severity"), F.regexp_count(text, F.lit(r.regex)).alias("count"), S.mask_middle(F.regexp_extract(text, r.regex, 0)).alias("preview"))) for r in rules]
-    return F.array_compact(F.array(*one))
+def dlp_scan(df: DataFrame, text: str, rules: Sequence[Rule], name: str = "findings") -> DataFrame:
+    """`df` with array<struct<category, severity, count, preview>>: all matches of each rule, the first one masked."""
+    rows, passes = with_gate(df, F.col(text), rules)
+    content = F.col(text)
+    one = [F.when(passes(r) & content.rlike(r.regex), F.struct(F.lit(r.id).alias("category"), F.lit(r.severity).alias("severity"), F.regexp_count(content, F.lit(r.regex)).alias("count"), S.mask_middle(F.regexp_extract(content, r.regex, 0)).alias("preview"))) for r in rules]
+    return without_gate(rows.withColumn(name, pinned(F.array_compact(F.array(*one)))))
 
 
 #: Parameters that are never scanned for secrets. Fixed values.
@@ -181,11 +197,10 @@ def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], r
     return df.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")
 
 
-def skill_verdict(text: Column) -> Column:
-    """(findings, verdict): BLOCK with a CRITICAL finding, WARN with any, else PASS."""
-    found = findings(text, SKILL)
-    top = max_severity(found)
-    return F.struct(found.alias("findings"), F.when(top == "CRITICAL", "BLOCK").when(F.size(found) > 0, "WARN").otherwise("PASS").alias("verdict"))
+def skill_verdict(df: DataFrame, text: str) -> DataFrame:
+    """`df` with `findings` and `verdict`: BLOCK with a CRITICAL finding, WARN with any, else PASS."""
+    rows = scan(df, text, SKILL)
+    return rows.withColumn("verdict", F.when(F.col("severity") == "CRITICAL", "BLOCK").when(F.size("findings") > 0, "WARN").otherwise("PASS")).drop("severity", "categories")
 
 
 #: Fixed values.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ..operators import scan as P
 from ..operators import sessions as W
 from ..rules import compile as R
 from ..rules import packs
+from ..rules.examples import examples
 from ..sources import logs
 from ..sources.views import CALLS_SQL, EVENTS_SQL, REPORT_SQL, layer_status, planted, planted_sql, report_events, security_events, table, tool_calls
 from ..streaming import events as X
@@ -132,9 +134,13 @@ def _(spark, d):
     return tool_calls(spark, d).filter("file_path IS NOT NULL").groupBy(S.language(F.col("file_path")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f14_unicode_obfuscation", "SELECT doc_id, regexp_matches(text, '[\\x{0400}-\\x{04FF}\\x{0370}-\\x{03FF}\\x{FF00}-\\x{FFEF}\\x{200B}-\\x{200F}\\x{2028}-\\x{202F}\\x{2060}-\\x{206F}\\x{FEFF}\\x{00AD}]') AS obfuscated FROM documents")
+#: A letter of each class that hides text, and some that don't.
+DISGUISED = [(f"a{c}b", False) for c in "\u0456\u03bf\uff41\u200b\u2028\u2060\ufeff\u00ad\u00e9\u4e2d"]
+
+
+@query("f14_unicode_obfuscation", "SELECT doc_id, regexp_matches(text, '[\\x{0400}-\\x{04FF}\\x{0370}-\\x{03FF}\\x{FF00}-\\x{FFEF}\\x{200B}-\\x{200F}\\x{2028}-\\x{202F}\\x{2060}-\\x{206F}\\x{FEFF}\\x{00AD}]') AS obfuscated FROM " + planted_sql("documents", "doc_id", "text", DISGUISED))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.unicode_obfuscation(F.col("text")).alias("obfuscated"))
+    return planted(table(spark, d, "documents"), "doc_id", "text", DISGUISED).select("doc_id", S.unicode_obfuscation(F.col("text")).alias("obfuscated"))
 
 
 @query("f1_normalise_entries", se("""SELECT id, CASE WHEN k % 3 = 0 THEN severity ELSE 'LOW' END AS severity,
@@ -207,38 +213,66 @@ def _(spark, d):
 
 
 # --- pattern scans ------------------------------------------------------------------------------------------
-@query("p1_injection_scan", scan_sql(planted_sql("documents", "doc_id", "text"), "doc_id", "text", R.INJECTION))
+#: Texts that each rule of a pack finds, planted into every second row: each rule has hits, beside rows without any.
+INJECTED, LIBRARY, SECRETS, UNSAFE = examples(R.INJECTION), examples(R.INJECTION_LIBRARY), examples(R.EGRESS_SECRET), examples(R.OUTPUT)
+SKILLS, LINTED, REMEMBERED = examples(R.SKILL), examples(R.LINTER), examples(R.memory_rules())
+MENTIONED = [("see @/home/u/" + t, False) for t, _ in examples(R.MENTION)]
+#: One to five phrases of the heuristics at once, so that scores differ and both verdicts occur.
+PHRASES = [(" ".join(p for _, p, _ in packs.HEURISTIC_PHRASES[k : k + 1 + k % 5]), False) for k in range(len(packs.HEURISTIC_PHRASES))]
+
+
+@query("p1_injection_scan", scan_sql(planted_sql("documents", "doc_id", "text", INJECTED), "doc_id", "text", R.INJECTION))
 def _(spark, d):
-    return found(planted(table(spark, d, "documents"), "doc_id", "text"), "text", R.INJECTION, ["doc_id"])
+    return found(planted(table(spark, d, "documents"), "doc_id", "text", INJECTED), "text", R.INJECTION, ["doc_id"])
 
 
-@query("p2_context_scan")
+def _context_sql(source: str, rules: list[R.Rule], limit: int = 10) -> str:
+    """The windows around the first match of each rule: the text before it is what a shortest prefix leaves."""
+    parts = []
+    for k, r in enumerate(rules):
+        head = f"(?{r.flags})" if r.flags else ""
+        pattern = re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", r.pattern)  # as the other engine writes code points
+        whole, before = quoted(head + pattern), quoted(f"{head}\\A((?s:.)*?)(?:{pattern})")
+        parts.append(f"SELECT doc_id, raw, {k} AS k, {quoted(r.id)} AS rule_id, {quoted(r.category)} AS category, {quoted(r.severity)} AS severity, regexp_extract(text, {whole}) AS match, length(regexp_extract(text, {before}, 1)) + 1 AS pos FROM p WHERE regexp_matches(text, {whole})")
+    window = lambda back: f"substr(raw, greatest(pos - 1 - {back}, 0) + 1, pos - 1 + length(match) + 100 - greatest(pos - 1 - {back}, 0))"
+    any_of = lambda back, markers: "(" + " OR ".join(f"regexp_matches({window(back)}, {quoted(m)})" for m in markers) + ")"
+    union = " UNION ALL ".join(parts)
+    hidden = re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", S.INVISIBLE.encode("ascii", "backslashreplace").decode())
+    return f"""WITH p AS (SELECT doc_id, text AS raw, regexp_replace(text, {quoted(hidden.replace("\\xad", "\\x{00AD}"))}, '', 'g') AS text FROM {source}), m AS ({union}), o AS (SELECT *, {any_of(150, packs.DOCUMENTATION_MARKERS)} AS doc FROM m WHERE NOT {any_of(400, packs.CODE_MARKERS)}),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM o WHERE NOT doc OR severity IN ('CRITICAL', 'HIGH'))
+SELECT doc_id, rule_id, category, CASE WHEN doc THEN 'LOW' ELSE severity END AS severity, substr(match, 1, 100) AS match, CAST(pos AS INTEGER) AS pos FROM l WHERE n <= {limit}"""
+
+
+@query("p2_context_scan", _context_sql(planted_sql("documents", "doc_id", "text", LIBRARY), R.INJECTION_LIBRARY))
 def _(spark, d):
-    return P.exploded(P.context_scan(planted(table(spark, d, "documents"), "doc_id", "text"), "text", R.INJECTION_LIBRARY), ["doc_id"])
+    return P.exploded(P.context_scan(planted(table(spark, d, "documents"), "doc_id", "text", LIBRARY), "text", R.INJECTION_LIBRARY), ["doc_id"])
 
 
-@query("p3_any_injection", "SELECT doc_id, (" + " OR ".join(f"regexp_matches(text, {quoted(r.regex)})" for r in R.INJECTION) + ") AS hit FROM documents")
+@query("p3_any_injection", "SELECT doc_id, (" + " OR ".join(f"regexp_matches(text, {quoted(r.regex)})" for r in R.INJECTION) + ") AS hit FROM " + planted_sql("documents", "doc_id", "text", INJECTED))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", R.matches_any(F.col("text"), R.INJECTION).alias("hit"))
+    return P.quick_scan(planted(table(spark, d, "documents"), "doc_id", "text", INJECTED), "text", R.INJECTION).select("doc_id", "hit")
 
 
 SCORE_SQL = " + ".join(f"CASE WHEN contains(lower(text), {quoted(p)}) THEN {w} ELSE 0 END" for _, p, w in packs.HEURISTIC_PHRASES)
 
 
-@query("p4_heuristic_score", f"SELECT doc_id, {SCORE_SQL} AS score, ({SCORE_SQL}) >= 5 AS suspicious FROM documents")
+@query("p4_heuristic_score", f"SELECT doc_id, {SCORE_SQL} AS score, ({SCORE_SQL}) >= 5 AS suspicious FROM {planted_sql('documents', 'doc_id', 'text', PHRASES)}")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.heuristic_score(F.col("text")).alias("h")).select("doc_id", "h.score", "h.suspicious")
+    return P.heuristic_score(planted(table(spark, d, "documents"), "doc_id", "text", PHRASES), "text", "h").select("doc_id", "h.score", "h.suspicious")
+
 
+ALARMS = [*INJECTED, *PHRASES]
 
-@query("p5_alert_action", f"WITH f AS (SELECT doc_id, max({RANK}) AS r FROM ({scan_sql('documents', 'doc_id', 'text', R.INJECTION)}) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN r >= 3 THEN 'ALERT' WHEN r IS NOT NULL OR ({SCORE_SQL}) >= 5 THEN 'WARN' ELSE 'LOG' END AS verdict FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id")
+
+@query("p5_alert_action", f"WITH planted_docs AS (SELECT * FROM {planted_sql('documents', 'doc_id', 'text', ALARMS)}), f AS (SELECT doc_id, max({RANK}) AS r FROM ({scan_sql('planted_docs', 'doc_id', 'text', R.INJECTION)}) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN r >= 3 THEN 'ALERT' WHEN r IS NOT NULL OR ({SCORE_SQL}) >= 5 THEN 'WARN' ELSE 'LOG' END AS verdict FROM planted_docs d LEFT JOIN f ON d.doc_id = f.doc_id")
 def _(spark, d):
-    rows = P.scan(table(spark, d, "documents"), "text", R.INJECTION)
-    return rows.select("doc_id", P.alert_action(F.coalesce("severity", F.lit("")), F.size("findings") > 0, P.heuristic_score(F.col("text"))["suspicious"]).alias("verdict"))
+    rows = P.heuristic_score(P.scan(planted(table(spark, d, "documents"), "doc_id", "text", ALARMS), "text", R.INJECTION), "text", "h")
+    return rows.select("doc_id", P.alert_action(F.coalesce("severity", F.lit("")), F.size("findings") > 0, F.col("h.suspicious")).alias("verdict"))
 
 
-@query("p6_egress_secrets", scan_sql(planted_sql("documents", "doc_id", "text"), "doc_id", "text", R.EGRESS_SECRET, 20))
+@query("p6_egress_secrets", scan_sql(planted_sql("documents", "doc_id", "text", SECRETS), "doc_id", "text", R.EGRESS_SECRET, 20))
 def _(spark, d):
-    return found(planted(table(spark, d, "documents"), "doc_id", "text"), "text", R.EGRESS_SECRET, ["doc_id"], 20)
+    return found(planted(table(spark, d, "documents"), "doc_id", "text", SECRETS), "text", R.EGRESS_SECRET, ["doc_id"], 20)
 
 
 @query("p7_personal_data", "SELECT doc_id, rule_id, severity, '[REDACTED]' AS match FROM (" + scan_sql("documents", "doc_id", "text", R.EGRESS_PII) + ")")
@@ -252,9 +286,13 @@ def _(spark, d):
     return rows.filter("b IS NOT NULL").select("id", "b.name", F.col("b.by").alias("found_by"))
 
 
-@query("p9_base64_blob", "SELECT conv_id, turn, length(regexp_extract(text, '[A-Za-z0-9+/]{100,}={0,2}', 0)) > 10240 AS blob FROM conversations")
+#: Runs of base64 characters: too short, at the limit, above it, and a short one before a long one.
+BLOBS = [("A" * n + "=", False) for n in (99, 10239, 10240, 20000)] + [("B" * 100 + " " + "C" * 10300, False)]
+
+
+@query("p9_base64_blob", "SELECT conv_id, turn, length(regexp_extract(text, '[A-Za-z0-9+/]{100,}={0,2}', 0)) > 10240 AS blob FROM " + planted_sql("conversations", "conv_id", "text", BLOBS))
 def _(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", P.base64_blob(F.col("text")).alias("blob"))
+    return planted(table(spark, d, "conversations"), "conv_id", "text", BLOBS).select("conv_id", "turn", P.base64_blob(F.col("text")).alias("blob"))
 
 
 @query("p10_bulk_transfer", tc("SELECT id, CASE WHEN bytes > 512000 OR total > 20971520 THEN 'CRITICAL' WHEN bytes > 51200 THEN 'MEDIUM' END AS bulk FROM (SELECT *, sum(bytes) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS total FROM tc)"))
@@ -267,13 +305,13 @@ DLP_SQL = "\nUNION ALL\n".join(f"SELECT doc_id, {quoted(r.id)} AS category, {quo
 
 @query("p11_dlp_counts", DLP_SQL)
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(P.dlp_counts(F.col("text"), R.SUBAGENT_DLP)).alias("f")).select("doc_id", "f.category", "f.severity", F.col("f.count").alias("n"))
+    return P.dlp_scan(table(spark, d, "documents"), "text", R.SUBAGENT_DLP).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.category", "f.severity", F.col("f.count").alias("n"))
 
 
 @query("dlp_findings", f"SELECT d.source, f.category, count(*) AS documents, CAST(sum(f.n) AS BIGINT) AS matches, max({RANK.replace('severity', 'f.severity')}) AS top FROM ({DLP_SQL}) f JOIN documents d ON d.doc_id = f.doc_id GROUP BY 1, 2")
 def dlp_findings(spark, d):
     docs = table(spark, d, "documents")
-    rows = docs.select("source", F.explode(P.dlp_counts(F.col("text"), R.SUBAGENT_DLP)).alias("f"))
+    rows = P.dlp_scan(docs, "text", R.SUBAGENT_DLP).select("source", F.explode("findings").alias("f"))
     return rows.groupBy("source", F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("documents"), F.sum("f.count").cast("long").alias("matches"), F.max(S.severity_rank(F.col("f.severity"))).alias("top"))
 
 
@@ -296,9 +334,13 @@ def _classes_sql(source: str, key: str, text: str) -> str:
     return f"SELECT {key}, array_to_string(t, ',') AS triggers, CASE r WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN r = 4 OR len(t) >= 3 THEN 'HIGH' WHEN len(t) <> 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, r = 4 AND len(t) > 0 AS blocked FROM (SELECT {key}, {found_} AS t, {rank} AS r FROM {source})"
 
 
-@query("p14_code_classes", _classes_sql("pages", "page_id", "html"))
+CODED = examples(R.Rule(name, "", "", "", pattern) for name, patterns in packs.CODE_FAMILIES.items() if name != "ci_injection" for pattern in patterns) + [("SELECT exec prompt", False)]
+
+
+@query("p14_code_classes", _classes_sql(planted_sql("pages", "page_id", "html", CODED), "page_id", "html"))
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", P.classify_code(F.col("html"), F.lit("javascript")).alias("c")).select("page_id", F.array_join("c.triggers", ",").alias("triggers"), "c.risk", "c.confidence", "c.blocked")
+    pages = planted(table(spark, d, "pages"), "page_id", "html", CODED)
+    return pages.select("page_id", P.classify_code(F.col("html"), F.lit("javascript")).alias("c")).select("page_id", F.array_join("c.triggers", ",").alias("triggers"), "c.risk", "c.confidence", "c.blocked")
 
 
 @query("p16_lint")
@@ -306,14 +348,14 @@ def _(spark, d):
     return P.lint_lines(planted(table(spark, d, "pages"), "page_id", "html"), "html", F.lit("javascript"), ["page_id"])
 
 
-@query("p17_unsafe_output", scan_sql(planted_sql("pages", "page_id", "html"), "page_id", "html", R.OUTPUT, 30))
+@query("p17_unsafe_output", scan_sql(planted_sql("pages", "page_id", "html", UNSAFE), "page_id", "html", R.OUTPUT, 30))
 def _(spark, d):
-    return found(planted(table(spark, d, "pages"), "page_id", "html"), "html", R.OUTPUT, ["page_id"], 30)
+    return found(planted(table(spark, d, "pages"), "page_id", "html", UNSAFE), "html", R.OUTPUT, ["page_id"], 30)
 
 
-@query("p19_skill_verdict", f"WITH f AS (SELECT doc_id, max({RANK}) AS r FROM ({scan_sql('documents', 'doc_id', 'text', R.SKILL)}) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN r = 4 THEN 'BLOCK' WHEN r IS NOT NULL THEN 'WARN' ELSE 'PASS' END AS verdict FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id")
+@query("p19_skill_verdict", f"WITH planted_docs AS (SELECT * FROM {planted_sql('documents', 'doc_id', 'text', SKILLS)}), f AS (SELECT doc_id, max({RANK}) AS r FROM ({scan_sql('planted_docs', 'doc_id', 'text', R.SKILL)}) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN r = 4 THEN 'BLOCK' WHEN r IS NOT NULL THEN 'WARN' ELSE 'PASS' END AS verdict FROM planted_docs d LEFT JOIN f ON d.doc_id = f.doc_id")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.skill_verdict(F.col("text"))["verdict"].alias("verdict"))
+    return P.skill_verdict(planted(table(spark, d, "documents"), "doc_id", "text", SKILLS), "text").select("doc_id", "verdict")
 
 
 @query("p22_memory_issues")
@@ -326,9 +368,9 @@ def _(spark, d):
     return P.memory_document_scan(table(spark, d, "documents"), R.memory_rules(), ["doc_id"])
 
 
-@query("p26_mentions", "SELECT conv_id, turn, m AS mention FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '@([^\\s,;]+)', 1)) AS m FROM " + planted_sql("conversations", "conv_id", "text") + ") WHERE regexp_matches(m, '\\.netrc|\\.npmrc|\\.kube/config|\\.cargo/credentials|\\.docker/config\\.json|\\.aws/credentials|\\.pgpass|\\.ssh/(?:id_|authorized_keys)|\\.pem$|\\.key$')")
+@query("p26_mentions", "SELECT conv_id, turn, m AS mention FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '@([^\\s,;]+)', 1)) AS m FROM " + planted_sql("conversations", "conv_id", "text", MENTIONED) + ") WHERE regexp_matches(m, '\\.netrc|\\.npmrc|\\.kube/config|\\.cargo/credentials|\\.docker/config\\.json|\\.aws/credentials|\\.pgpass|\\.ssh/(?:id_|authorized_keys)|\\.pem$|\\.key$')")
 def _(spark, d):
-    return P.mentions(planted(table(spark, d, "conversations"), "conv_id", "text"), "text", ["conv_id", "turn"]).select("conv_id", "turn", "mention")
+    return P.mentions(planted(table(spark, d, "conversations"), "conv_id", "text", MENTIONED), "text", ["conv_id", "turn"]).select("conv_id", "turn", "mention")
 
 
 @query("p30_max_severity", f"SELECT doc_id, max({RANK}) AS top FROM ({scan_sql('documents', 'doc_id', 'text', R.EGRESS_PII + R.EGRESS_SECRET)}) GROUP BY doc_id")
@@ -388,10 +430,16 @@ def _(spark, d):
 LAYERS_SQL = "(VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b, *_ in packs.LAYERS) + ") AS l(layer, name)"
 
 
-@query("j1_rule_join", "SELECT rule_id, count(*) AS n FROM (" + scan_sql("documents", "doc_id", "text", R.EGRESS_PII) + ") GROUP BY rule_id")
+#: A rule table of several packs at once; a rule's id is its pack and its name.
+TABLED = [r._replace(id=f"{name}:{r.id}") for name, rules in (("egress", R.EGRESS_SECRET), ("personal", R.EGRESS_PII), ("output", R.OUTPUT), ("skill", R.SKILL), ("library", R.INJECTION_LIBRARY), ("injection", R.INJECTION)) for r in rules]
+TABLED_TEXTS = [*SECRETS, *UNSAFE, *SKILLS, *INJECTED]
+_PLAIN_UNICODE = [r._replace(pattern=re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", r.pattern)) for r in TABLED]
+
+
+@query("j1_rule_join", f"WITH p AS (SELECT * FROM {planted_sql('documents', 'doc_id', 'text', TABLED_TEXTS)}) SELECT doc_id, rule_id, severity, match FROM (" + scan_sql("p", "doc_id", "text", _PLAIN_UNICODE) + ")")
 def _(spark, d):
-    rules = R.rule_table(spark, [r._replace(pattern=r.regex) for r in R.EGRESS_PII]).select(F.col("id").alias("rule_id"), "pattern")  # three rows
-    return table(spark, d, "documents").join(F.broadcast(rules), F.expr("text rlike pattern")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = planted(table(spark, d, "documents"), "doc_id", "text", TABLED_TEXTS)
+    return R.scan_table(docs, "text", R.rule_table(spark, TABLED), ["doc_id"]).select("doc_id", "rule_id", "severity", "match")
 
 
 @query("j2_layer_names", se(f"SELECT id, coalesce(l.name, 'Unknown') AS name FROM se LEFT JOIN {LAYERS_SQL} ON se.layer = l.layer"))

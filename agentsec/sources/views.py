@@ -89,17 +89,28 @@ PLANTED = [
 ]
 
 
-def planted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`df` with a planted text at the end of every second one: rows that a rule finds, where the table itself has none."""
-    out = F.lit("")
-    for n, t in enumerate(PLANTED):
-        out = F.when(F.col(key) % (2 * len(PLANTED)) == n, t).otherwise(out)
-    return df.withColumn(text, F.concat(F.coalesce(F.col(text), F.lit("")), out))
+Texts = list[tuple[str, bool]]
 
 
-def planted_sql(table_: str, key: str, text: str) -> str:
-    whens = " ".join("WHEN {} THEN '{}'".format(n, t.replace("'", "''")) for n, t in enumerate(PLANTED))
-    return f"(SELECT * EXCLUDE ({text}), concat(coalesce({text}, ''), CASE {key} % {2 * len(PLANTED)} {whens} ELSE '' END) AS {text} FROM {table_}) AS planted"
+def planted(df: DataFrame, key: str, text: str, examples: Texts | None = None) -> DataFrame:
+    """`df` with a planted text in every second one: rows that a rule finds, where the table itself has none.
+
+    examples: (text, whether it stands before the row's own text); by default PLANTED, behind it.
+    """
+    given = examples or [(t, False) for t in PLANTED]
+    front = back = F.lit("")
+    for n, (t, first) in enumerate(given):
+        here = F.pmod(F.col(key), F.lit(2 * len(given))) == n
+        front, back = (F.when(here, t + "\n").otherwise(front), back) if first else (front, F.when(here, "\n" * bool(examples) + t).otherwise(back))
+    return df.withColumn(text, F.concat(front, F.coalesce(F.col(text), F.lit("")), back))
+
+
+def planted_sql(table_: str, key: str, text: str, examples: Texts | None = None) -> str:
+    given = examples or [(t, False) for t in PLANTED]
+    case = lambda front: " ".join("WHEN {} THEN '{}'".format(n, (t + "\n" if front else "\n" * bool(examples) + t).replace("'", "''")) for n, (t, first) in enumerate(given) if first == front)
+    at = f"{key} % {2 * len(given)}"
+    side = lambda front: f"CASE {at} {case(front)} ELSE '' END" if case(front) else "''"
+    return f"(SELECT * EXCLUDE ({text}), concat({side(True)}, coalesce({text}, ''), {side(False)}) AS {text} FROM {table_}) AS planted"
 
 
 #: The same views in SQL.

@@ -13,6 +13,7 @@ from agentsec.operators import scan as P
 from agentsec.operators import sessions as W
 from agentsec.rules import compile as R
 from agentsec.rules import packs
+from agentsec.rules.examples import example, examples
 from agentsec.sources import logs
 from agentsec.sources.views import security_events
 
@@ -376,3 +377,67 @@ def test_report_maps(spark):
 def test_malicious_packages_have_reasons(spark):
     rows = spark.createDataFrame([("npm", "RC"), ("pypi", "rc"), ("npm", None), ("pypi", "colourama")], "ecosystem string, package string")
     assert {(r.package, r.reason) for r in R.malicious(rows, spark).collect()} == {("rc", "Credential stealer"), ("colourama", "Typosquat of colorama")}
+
+
+# --- shared gate, examples, literal index -----------------------------------------------------------------------
+ALL_PACKS = [R.INJECTION, R.INJECTION_LIBRARY, R.EGRESS_SECRET, R.EGRESS_PII, R.SUBAGENT_DLP, R.OUTPUT, R.LINTER, R.SKILL, R.MENTION, R.PARAMETER_SECRET]
+
+
+def test_required_literals_are_in_every_example():
+    for rules in ALL_PACKS:
+        for r in rules:
+            words, made = R.required_literals(r.pattern), example(r)
+            if words and made:
+                assert any(w in made[0].lower() for w in words), r
+    assert R.required_literals("(?:password|passwd|pwd)=") == ["password", "passwd", "pwd"]
+    assert R.required_literals("[a-z]{4}(?=.*aws)") == ["aws"]
+    assert R.required_literals(r"x@y\.z|plain") == ["x@y.z", "plain"]
+    assert R.required_literals("a?b?c?") is None and R.required_literals("(abc)?d*") is None and R.required_literals("(?!abc)[xy]") is None
+
+
+def texts_of(rules):
+    texts = [None, "", "nothing here", *(t for t, _ in examples(rules)), *(t.upper() for t, _ in examples(rules))]
+    texts += [a + " and " + b for (a, _), (b, _) in zip(examples(rules), examples(rules)[1:])]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("rules", ALL_PACKS[:6], ids=["injection", "library", "secret", "pii", "dlp", "output"])
+def test_shared_gate_changes_nothing(spark, rules):
+    docs = spark.createDataFrame(texts_of(rules), "doc_id long, text string")
+    plain = P.scan(docs, "text", rules, gated=False)
+    assert sorted(map(str, P.scan(docs, "text", rules).collect())) == sorted(map(str, plain.collect()))
+    assert {r.doc_id for r in P.quick_scan(docs, "text", rules).filter("hit").collect()} == {r.doc_id for r in plain.filter("size(findings) > 0").collect()}
+    found = {f.rule_id for r in plain.collect() for f in r.findings or []}
+    assert found == {r.id for r in rules}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_scan_folds_once_and_tries_each_pattern_once(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = plan_of(P.exploded(P.scan(docs, "text", R.INJECTION), ["doc_id"]))
+    assert plan.count("lower(") == 1 and plan.count("RLIKE") == len(R.INJECTION)
+    plan = plan_of(P.scan(docs, "text", R.EGRESS_SECRET).filter("severity = 'CRITICAL'"))
+    assert plan.count("lower(") == 1 and plan.count("RLIKE") == len(R.EGRESS_SECRET)
+    plan = plan_of(P.context_scan(docs, "text", R.INJECTION_LIBRARY))
+    assert plan.count("lower(") == 1
+
+
+def test_rule_table_of_a_thousand_rules_equals_the_unrolled_scan(spark):
+    base = [r for rules in (R.EGRESS_SECRET, R.OUTPUT, R.SKILL, R.INJECTION, R.EGRESS_PII) for r in rules]
+    rules = [r._replace(id=f"{k}:{n}", pattern=r.pattern if k == 0 else f"(?:{r.pattern})[^q]{{0,9}}q{k}z") for k in range(16) for n, r in enumerate(base)][:1000]
+    texts = [(k, t + (f" then q{k % 17}z" if k % 3 else "")) for k, t in texts_of(base) if t is not None] + [(-1, None), (-2, "ab"), (-3, "KELVIN K SYSTEM: you are")]
+    docs = spark.createDataFrame(texts + texts[:2], "doc_id long, text string").withColumn("match", F.lit("clash"))
+    got = R.scan_table(docs, "text", R.rule_table(spark, rules), ["doc_id"])
+    explained = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in explained and "CartesianProduct" not in explained
+    got = sorted({tuple(r) for r in got.collect()})
+    want = set()
+    for at in range(0, len(rules), 60):  # a plan of a thousand unrolled rules would be too large
+        one = P.exploded(P.scan(docs, "text", rules[at : at + 60], gated=False), ["doc_id"])
+        want |= {(r.doc_id, r.rule_id, r.category, r.severity, r.match) for r in one.collect()}
+    assert got == sorted(want) and len(want) > 200
+    assert R.scan_table(docs, "text", R.rule_table(spark, []), ["doc_id"]).count() == 0
+    assert R.scan_table(docs.limit(0), "text", R.rule_table(spark, rules), ["doc_id"]).count() == 0
