@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
-import sqlite3
 from collections.abc import Iterator
-from contextlib import closing
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,26 +11,73 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scalar as S
+from ..operators import analytics as A
 from ..operators import sessions as W
 from ..sources import logs
+from ..sources.tail import AppendedLines
 
 
 def tail_audit_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """New *.jsonl files of a folder as they come. Lines appended to a file already read are not read again."""
-    raw = spark.readStream.schema(logs.AUDIT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.jsonl").json(folder)
-    named = raw.withColumn("file", F.col("_metadata.file_name")).withColumn("log", logs.plain_log_name(F.col("file")))
+    """Lines of the *.jsonl files of a folder as they are appended, each once (`sources.tail`), bad ones in `_bad`."""
+    spark.dataSource.register(AppendedLines)
+    raw = spark.readStream.format("appended_lines").option("path", folder).load()
+    entry = F.from_json("line", logs.AUDIT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")
+    named = raw.select(F.element_at(F.split("file", "/"), -1).alias("file"), "at", entry).select("file", "at", "e.*").withColumn("log", logs.plain_log_name(F.col("file")))
     return logs.with_layer(named, logs.layer_map(spark))
 
 
-def event_sink(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append each micro-batch to Parquet under its batch id, so a batch written twice replaces itself."""
+def partial_statistics(events: DataFrame) -> dict[str, DataFrame]:
+    """What `sink_metrics`, `sink_patterns` and `sink_layers` need to know of some events (id, ts, layer, action, severity, pattern_id): mergeable, so of each batch alone."""
+    counts = [F.count(F.lit(1)).alias("events"), F.count_if(A.blocks()).alias("blocks"), F.count_if(A.warns()).alias("warnings")]
+    return {
+        "metrics": events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "layer").agg(*counts),
+        "patterns": events.filter("pattern_id IS NOT NULL").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("matches"), F.max(F.struct("ts", "id", "severity", "layer")).alias("last")),
+        "layers": events.groupBy("layer").agg(*counts, F.max("ts").alias("last_invoked")),
+    }
+
+
+def event_sink(events: DataFrame, path: str, checkpoint: str, statistics: bool = False, **trigger) -> StreamingQuery:
+    """Append each micro-batch to Parquet under its batch id, so a batch written twice replaces itself.
+
+    statistics: the batch's partial aggregates go beside it under the same id, so a repeated batch counts once, and reading them
+    (`sink_metrics`, `sink_patterns`, `sink_layers`) folds a few rows a batch and never the events.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if not statistics:
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            return
+        batch = batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+            for name, part in partial_statistics(batch).items():
+                part.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def sink_metrics(spark: SparkSession, path: str, unit: str = "day") -> DataFrame:
+    """`analytics.metrics` of all events of a sink with statistics; units from an hour up."""
+    hours = spark.read.parquet(f"{path}/metrics").select(F.date_trunc(unit, "hour").alias("bucket"), "layer", "events", "blocks", "warnings")
+    total = lambda c: F.sum(c).cast("double").alias(c)
+    wide = hours.groupingSets([["bucket", "layer"], ["bucket"]], "bucket", "layer").agg(total("events"), total("blocks"), total("warnings"))
+    return wide.unpivot(["bucket", "layer"], ["events", "blocks", "warnings"], "metric", "value")
+
+
+def sink_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """`analytics.pattern_statistics` of all events of a sink with statistics."""
+    folded = spark.read.parquet(f"{path}/patterns").groupBy("pattern_id").agg(F.sum("matches").alias("matches"), F.max("last").alias("last"))
+    return folded.select("pattern_id", "matches", F.col("last.ts").alias("last_matched"), F.col("last.severity").alias("severity"), F.col("last.layer").alias("layer"))
+
+
+def sink_layers(spark: SparkSession, path: str, layers: DataFrame) -> DataFrame:
+    """`analytics.layer_statistics` of all events of a sink with statistics."""
+    folded = spark.read.parquet(f"{path}/layers").groupBy("layer").agg(F.sum("events").alias("invocations"), F.sum("blocks").alias("blocks"), F.sum("warnings").alias("warnings"), F.max("last_invoked").alias("last_invoked"))
+    return layers.select("layer", "name").join(folded, "layer", "left").fillna(0, ["invocations", "blocks", "warnings"])
+
+
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "n")
 
@@ -89,42 +132,58 @@ def row_of(session_id: str, call: dict, state: dict) -> tuple:
 
 
 def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    """Rows of all batches by (ts, id), nulls last; more than one batch is sorted in a temporary table that spills to disk."""
-    first = next(batches, None)
-    if first is None:
-        return
-    second = next(batches, None)
-    if second is None:
-        yield from first.sort_values(["ts", "id"]).to_dict("records")
-        return
-    with closing(sqlite3.connect("")) as db:
-        db.execute("CREATE TABLE calls (ts INTEGER, id INTEGER, call BLOB)")
-        for batch in chain([first, second], batches):
-            times = [None if pd.isna(t) else pd.Timestamp(t).value for t in batch["ts"]]
-            ids = [None if pd.isna(i) else int(i) for i in batch["id"]]
-            db.executemany("INSERT INTO calls VALUES (?, ?, ?)", zip(times, ids, map(pickle.dumps, batch.to_dict("records"))))
-        for (call,) in db.execute("SELECT call FROM calls ORDER BY ts IS NULL, ts, id IS NULL, id, rowid"):
-            yield pickle.loads(call)
+    """Rows of all batches by (ts, id), nulls last. They are a session's share of one micro-batch, so the trigger bounds them."""
+    frames = [b for b in batches if len(b)]
+    if frames:
+        rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        rows = rows.sort_values(["ts", "id"], kind="stable")
+        for low in range(0, len(rows), OUT_ROWS):
+            yield from rows.iloc[low : low + OUT_ROWS].to_dict("records")
+
+
+def millis(ts) -> int | None:
+    return None if pd.isna(ts) else int(pd.Timestamp(ts).value // 1_000_000)
 
 
 class SessionState(StatefulProcessor):
-    """Keyed state of a session; rows of a micro-batch are put in order first, batches count as they arrive."""
+    """Keyed state of a session; rows of a micro-batch are put in order first, batches count as they arrive.
+
+    idle_ms: a session without a call for so long, in event time, is evicted: its state goes and a row with its last state
+    says so. If it comes back it starts anew.
+    """
+
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", STATE_FIELDS)
+        self.handle = handle
+        self.state = handle.getValueState("session", STATE_FIELDS + ", seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = list(START)
-        state = dict(zip(names, self.state.get())) if self.state.exists() else dict(START)
-        out = []
+        names = [*START, "seen"]
+        state = dict(zip(names, self.state.get())) if self.state.exists() else START | {"seen": 0}
+        out, columns = [], COLUMNS + ["evicted"] * bool(self.idle_ms)
         for call in in_order(iter(rows)):
             state = step(state, call)
-            out.append(row_of(key[0], call, state))
+            state["seen"] = max(state["seen"], millis(call["ts"]) or 0)
+            out.append(row_of(key[0], call, state) + (False,) * bool(self.idle_ms))
             if len(out) == OUT_ROWS:
-                yield pd.DataFrame(out, columns=COLUMNS)
+                yield pd.DataFrame(out, columns=columns)
                 out = []
         self.state.update(tuple(state[n] for n in names))
-        yield pd.DataFrame(out, columns=COLUMNS)
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(state["seen"] + self.idle_ms)
+        yield pd.DataFrame(out, columns=columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        state = dict(zip([*START, "seen"], self.state.get()))
+        self.state.clear()
+        last = row_of(key[0], {"id": None}, state) + (True,)
+        yield pd.DataFrame([last], columns=[*COLUMNS, "evicted"]).astype({"id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -137,9 +196,17 @@ def prepared_calls(calls: DataFrame) -> DataFrame:
     return calls.select("session_id", "id", "ts", "tool_name", level.cast("int").alias("call_level"), F.coalesce("bytes", F.lit(0)).alias("bytes"), S.call_cost(tokens, tokens).alias("cost"), F.col("severity").isin("CRITICAL").alias("detected"), F.col("severity").isin("HIGH").alias("near_miss"))
 
 
-def session_states(calls: DataFrame) -> DataFrame:
-    """Streaming taint, counters, egress, spend and escalation of each call. Needs the RocksDB state store; state has no time limit and is never evicted."""
-    return prepared_calls(calls).groupBy("session_id").transformWithStateInPandas(SessionState(), OUTPUT, "Append", "None")
+def session_states(calls: DataFrame, idle: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Streaming taint, counters, egress, spend and escalation of each call. Needs the RocksDB state store.
+
+    idle: an interval such as `12 hours`. Sessions idle for longer, by event time and the watermark (`late`), are evicted, which a row with
+    `evicted` and no id says; calls later than the watermark are dropped. Without it state has no limit and nothing is dropped.
+    """
+    if idle is None:
+        return prepared_calls(calls).groupBy("session_id").transformWithStateInPandas(SessionState(), OUTPUT, "Append", "None")
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = prepared_calls(calls.withWatermark("ts", late))
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionState(idle_ms), OUTPUT + ", evicted boolean", "Append", "EventTime")
 
 
 def session_fold(calls: DataFrame) -> DataFrame:
