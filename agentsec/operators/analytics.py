@@ -175,8 +175,16 @@ def layer_inventory(status: DataFrame) -> DataFrame:
 
 
 def egress_totals(calls: DataFrame, limit: int = 100) -> DataFrame:
-    sent = calls.filter("url IS NOT NULL")
-    return sent.groupBy("session_id").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("requests"), F.array_join(F.slice(F.array_sort(F.collect_set("url")), 1, limit), " ").alias("destinations"))
+    """(session_id, bytes, requests, destinations): totals and the first `limit` distinct urls in order.
+
+    Urls are counted by session before anything else, and of a session's distinct ones each task sends its first `limit` only.
+    """
+    urls = calls.filter("url IS NOT NULL").groupBy(F.coalesce("session_id", F.lit("")).alias("_k"), "session_id", "url").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("requests"))
+    totals = urls.groupBy("_k").agg(F.first("session_id").alias("session_id"), F.sum("bytes").alias("bytes"), F.sum("requests").alias("requests"))
+    place = F.row_number().over(Window.partitionBy("_k").orderBy("url"))
+    first = urls.select("_k", "url", place.alias("n")).filter(F.col("n") <= limit)
+    names = first.groupBy("_k").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("destinations"))
+    return totals.join(names, "_k").drop("_k")
 
 
 def scan_summary(events: DataFrame) -> DataFrame:
@@ -245,17 +253,70 @@ def reportable(rows: DataFrame) -> DataFrame:
     return rows.join(rows.filter(grounds).select("session_id").distinct(), "session_id", "left_semi")
 
 
-def in_session_window(rows: DataFrame, sessions: DataFrame, slack: str = "60 SECONDS") -> DataFrame:
+#: Levels of dyadic blocks: 2^31 units of a second are 68 years.
+LEVELS = 31
+#: Parts that the events of one block are dealt to, so that a block which all sessions span isn't one task's.
+SALTS = 16
+
+
+def _unit(ts: Column, unit_seconds: int) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (unit_seconds * 1_000_000)).cast("long")
+
+
+def span_pieces(sessions: DataFrame, slack: str, unit_seconds: int) -> DataFrame:
+    """(session_id, started_at, until, level, block, edge): each span cut into at most two blocks of 2^level units a level, and its two edge units.
+
+    The blocks lie inside the span as a whole; only rows of an edge unit must be compared with the bounds.
+    """
+    until = F.col("ended_at") + F.expr(f"INTERVAL {slack}")
+    spans = sessions.select("session_id", "started_at", until.alias("until")).filter("started_at <= until")
+    spans = spans.select("*", _unit(F.col("started_at"), unit_seconds).alias("_a"), _unit(F.col("until"), unit_seconds).alias("_b"))
+    low = lambda k: F.call_function("shiftright", F.col("_a") + 1 + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+    high = lambda k: F.call_function("shiftright", F.col("_b"), k)
+    piece = lambda k, block, edge: F.struct(k.cast("int").alias("level"), block.alias("block"), F.lit(edge).alias("edge"))
+    inside = lambda k: F.array(F.when((low(k) < high(k)) & (low(k) % 2 != 0), piece(k, low(k), False)), F.when((low(k) < high(k)) & (high(k) % 2 != 0), piece(k, high(k) - 1, False)))
+    edges = F.array_distinct(F.array(piece(F.lit(0), F.col("_a"), True), piece(F.lit(0), F.col("_b"), True)))
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), inside))
+    return spans.select("session_id", "started_at", "until", F.explode(F.concat(edges, F.array_compact(blocks))).alias("p")).select("session_id", "started_at", "until", "p.*")
+
+
+def _levels(pieces: DataFrame) -> list[int]:
+    """The levels in use, at most LEVELS numbers."""
+    return sorted(r["level"] for r in pieces.select("level").distinct().collect())
+
+
+def _on_levels(rows: DataFrame, levels: list[int], unit_seconds: int) -> DataFrame:
+    """`rows` (ts, ...) once for each level, with its block there."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("_u", k).alias("block")) for k in levels])).alias("_p")
+    return rows.withColumn("_u", _unit(F.col("ts"), unit_seconds)).select("*", each).select("*", "_p.level", "_p.block").drop("_u", "_p")
+
+
+def in_session_window(rows: DataFrame, sessions: DataFrame, slack: str = "60 SECONDS", unit_seconds: int = 60, salts: int = SALTS) -> DataFrame:
     """(session_id, id, ts): rows without a session matched to the sessions whose span, and some slack, holds their time.
 
-    The spans are bucketed by hour, so the join is an equality join with a range condition and not a nested loop. Sessions
-    without bounds match nothing here; for them see `in_window_or_last`.
+    Spans are cut into dyadic blocks of time, some tens for any length, so the join is an equality join that makes a row for each pair
+    and hardly any other. A block's rows are dealt to `salts` parts. Sessions without bounds match nothing here; for them see
+    `in_window_or_last`. Where only the number of rows is wanted, `window_counts` lists no pairs.
     """
-    hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
-    end = F.col("ended_at") + F.expr(f"INTERVAL {slack}")
-    spans = sessions.select("session_id", "started_at", end.alias("until"), F.explode(F.sequence(hour(F.col("started_at")), hour(end))).alias("_h"))
-    loose = rows.select("id", "ts", hour(F.col("ts")).alias("_h"))
-    return loose.join(spans, "_h").filter(F.col("ts").between(F.col("started_at"), F.col("until"))).select("session_id", "id", "ts")
+    pieces = span_pieces(sessions, slack, unit_seconds)
+    levels = _levels(pieces) or [0]
+    loose = _on_levels(rows.select("id", "ts"), levels, unit_seconds).withColumn("_s", F.pmod(F.xxhash64("id", "ts"), F.lit(salts)))
+    dealt = pieces.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return loose.join(dealt, ["level", "block", "_s"]).filter(~F.col("edge") | F.col("ts").between(F.col("started_at"), F.col("until"))).select("session_id", "id", "ts")
+
+
+def window_counts(rows: DataFrame, sessions: DataFrame, slack: str = "60 SECONDS", unit_seconds: int = 1) -> DataFrame:
+    """(session_id, n): how many rows `in_session_window` has for each bounded session, from counts of time blocks, without listing pairs."""
+    pieces = span_pieces(sessions, slack, unit_seconds)
+    levels = _levels(pieces) or [0]
+    by_time = rows.groupBy("ts").agg(F.count(F.lit(1)).alias("_c"))
+    blocks = _on_levels(by_time, levels, unit_seconds).groupBy("level", "block").agg(F.sum("_c").alias("_c"))
+    whole = pieces.filter("NOT edge").join(blocks, ["level", "block"]).select("session_id", "_c")
+    near = by_time.withColumn("block", _unit(F.col("ts"), unit_seconds))
+    edges = pieces.filter("edge").join(near, "block").filter(F.col("ts").between(F.col("started_at"), F.col("until"))).select("session_id", "_c")
+    counts = whole.union(edges).groupBy("session_id").agg(F.sum("_c").alias("n"))
+    bounded = sessions.filter("started_at IS NOT NULL AND ended_at IS NOT NULL").select("session_id")
+    return bounded.join(counts, "session_id", "left").select("session_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def in_window_or_last(rows: DataFrame, sessions: DataFrame, n: int = 10, slack: str = "60 SECONDS") -> DataFrame:
@@ -277,8 +338,26 @@ def cached_verdicts(items: DataFrame, cache: DataFrame, as_of: Column, hours: in
     return items.join(fresh, "hash"), items.join(fresh.select("hash"), "hash", "left_anti")
 
 
-def integrity(baseline: DataFrame, current: DataFrame, key: str = "file") -> DataFrame:
-    """(key, state) of two snapshots (key, sha256): NEW, UNCHANGED, TAMPERED, MISSING."""
+def _bucket_digests(snapshot: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """(_b, name, name_n): an order-free digest of the rows of each hash bucket: their count and sums of two 64-bit hashes."""
+    h = lambda seed: F.xxhash64(F.lit(seed), key, "sha256").cast("decimal(38,0)")
+    rows = snapshot.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"))
+    return rows.agg(F.struct(F.sum(h(1)).alias("a"), F.sum(h(2)).alias("b"), F.count(F.lit(1)).alias("n")).alias(name))
+
+
+def integrity(baseline: DataFrame, current: DataFrame, key: str = "file", buckets: int = 4096) -> DataFrame:
+    """(key, state) of two snapshots (key, sha256), a key once in each: NEW, UNCHANGED, TAMPERED, MISSING.
+
+    Each side is first summed up by hash buckets of the key, a row a bucket. Buckets with equal sums hold equal rows (but for a chance of 2^-128), so
+    their rows are UNCHANGED as they are read; only rows of other buckets are shuffled and joined.
+    """
+    if buckets:
+        old, new = _bucket_digests(baseline, key, buckets, "_x"), _bucket_digests(current, key, buckets, "_y")
+        same = old.join(new, "_b").filter("_x = _y").select("_b")  # at most `buckets` rows
+        placed = lambda rows: rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        kept = placed(current).join(F.broadcast(same), "_b", "left_semi").select(key, F.lit("UNCHANGED").alias("state"))
+        changed = lambda rows: placed(rows).join(F.broadcast(same), "_b", "left_anti").drop("_b")
+        return kept.union(integrity(changed(baseline), changed(current), key, 0))
     b, c = baseline.select(key, F.col("sha256").alias("_old")), current.select(key, F.col("sha256").alias("_now"))
     state = F.when(F.col("_old").isNull(), "NEW").when(F.col("_now").isNull(), "MISSING").when(F.col("_old") == F.col("_now"), "UNCHANGED").otherwise("TAMPERED")
     return b.join(c, key, "full_outer").select(key, state.alias("state"))

@@ -163,13 +163,23 @@ def _(spark, d):
     return A.in_session_window(loose, A.session_summary(e.filter("session_id IN ('s1','s2','s3')")))
 
 
-@query("f15_session_window_all")
+PAIRS_SQL = f"SELECT s.session_id, e.id, e.ts FROM se e JOIN ({SUMMARY_SQL}) s ON e.ts BETWEEN s.started_at AND s.ended_at + INTERVAL 60 SECOND"
+
+
+@query("f15_session_window_all", se(PAIRS_SQL))
 def _(spark, d):
-    """All events as loose ones against all sessions; no SQL, as the pairs are too many. `f15_session_window` is the part of it that SQL checks."""
+    """All events as loose ones against all sessions."""
     e = security_events(spark, d)
     return A.in_window_or_last(e.drop("session_id"), A.session_summary(e))
 
 
+@query("f15_window_counts", se(f"SELECT session_id, count(*) AS n FROM ({PAIRS_SQL}) GROUP BY session_id"))
+def _(spark, d):
+    """How many of all events each session's span holds, without listing them."""
+    e = security_events(spark, d)
+    return A.window_counts(e.drop("session_id"), A.session_summary(e))
+
+
 @query("f16_reportable", rp(f"{DAILY_SQL} SELECT {COLS} FROM daily WHERE session_id IN (SELECT session_id FROM daily WHERE log = 'error' OR log NOT IN ('imageSafety', 'securityRadar') AND {FOUND_SQL})"))
 def _(spark, d):
     return A.reportable(daily_sessions(report_events(spark, d))).select(*EVENT)

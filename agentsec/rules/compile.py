@@ -11,9 +11,11 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut_lineage
 from . import packs
 
 
@@ -173,12 +175,13 @@ def first_match(text: Column, rules: Sequence[Rule], value: str = "id") -> Colum
 
 # --- rule tables --------------------------------------------------------------------------------------------
 
-SCHEMA = "id string, category string, severity string, flags string, pattern string, description string, tier string"
+SCHEMA = "id string, category string, severity string, flags string, pattern string, description string, tier string, place int"
 CATEGORIES = ("instruction_override", "role_manipulation", "jailbreak", "context_manipulation")
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule], tier: str | None = None) -> DataFrame:
-    return spark.createDataFrame([(r.id, r.category, r.severity, r.flags, r.pattern, r.description, tier) for r in rules], SCHEMA)
+    """`rules` as a table; `place` is a rule's place in the pack."""
+    return spark.createDataFrame([(r.id, r.category, r.severity, r.flags, r.pattern, r.description, tier, k) for k, r in enumerate(rules)], SCHEMA)
 
 
 def valid_rules(rules: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
@@ -187,16 +190,22 @@ def valid_rules(rules: DataFrame, categories: Sequence[str] | None = None) -> Da
     if categories:
         ok = ok & F.col("category").isin(*categories)
     nested = F.col("pattern").rlike(r"\([^)]*[+*][^)]*\)[+*]")
+    rules = rules.filter(ok & ~nested)
+    # Control data: each pattern is tried once, on the driver, by the engine that will run it.
+    patterns = [r["pattern"] for r in rules.select("pattern").distinct().limit(MAX_RULES + 1).collect()]
+    if len(patterns) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    bad = [p for p in patterns if not compiles(rules.sparkSession, p)]
+    return rules.filter(~F.col("pattern").isin(bad)) if bad else rules
 
-    @F.udf("boolean")
-    def compiles(pattern: str) -> bool:  # control data, hundreds of rows
-        try:
-            re.compile(pattern)
-        except re.error:
-            return False
-        return True
 
-    return rules.filter(ok & ~nested).filter(compiles("pattern"))
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM's regular expressions, which scans use, accept a pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
 
 
 def in_tier(rules: DataFrame, active: str = "plugin") -> DataFrame:
@@ -205,19 +214,26 @@ def in_tier(rules: DataFrame, active: str = "plugin") -> DataFrame:
     return rules if active == "full" else rules.filter(tier != "full")
 
 
-def first_wins(*sources: DataFrame) -> DataFrame:
-    """Rules in order of source and place; one is skipped if its id or its pattern was accepted before it.
+def first_wins(*sources: DataFrame, place: str = "place") -> DataFrame:
+    """Rules in order of source and `place`; one is skipped if its id or its pattern was accepted before it, in that order.
 
-    A skipped rule registers nothing, so this is a fold over the ordered table (control data, one small group).
+    A skipped rule registers nothing. In rounds: of the undecided rules, those first of their id and first of their pattern are accepted, as
+    nothing that may still come can precede them; then the others of those ids and patterns are skipped. The first undecided rule is always accepted,
+    and rounds are as many as the longest chain of rules each of which hangs on the one before. Rules without an id or a pattern are left out.
     """
     table = None
     for k, s in enumerate(sources):
-        one = s.withColumns({"_prio": F.lit(k), "_pos": F.monotonically_increasing_id()})
+        one = s.withColumns({"_o": F.struct(F.lit(k).alias("source"), F.col(place).alias("place"), F.col("id").alias("id"), F.col("pattern").alias("pattern"))})
         table = one if table is None else table.unionByName(one, allowMissingColumns=True)
-    names = [c for c in table.columns if not c.startswith("_")]
-    rows = table.agg(F.array_sort(F.collect_list(F.struct("_prio", "_pos", *names))).alias("r"))
-    kept = F.aggregate("r", F.slice("r", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (y["id"] == x["id"]) | (y["pattern"] == x["pattern"])), acc).otherwise(F.array_append(acc, x)))
-    return rows.select(F.explode(kept).alias("x")).select(*[F.col(f"x.{n}").alias(n) for n in names])
+    names = [c for c in table.columns if c != "_o"]
+    undecided, accepted = cut_lineage(table.filter("id IS NOT NULL AND pattern IS NOT NULL")), []
+    while undecided.limit(1).count():
+        by_id, by_pattern = (F.min("_o").over(Window.partitionBy(c)) for c in ("id", "pattern"))
+        won = cut_lineage(undecided.withColumns({"_i": by_id, "_p": by_pattern}).filter("_o = _i AND _o = _p").drop("_i", "_p").dropDuplicates(["id"]))
+        accepted.append(won)
+        undecided = cut_lineage(undecided.join(won.select("id"), "id", "left_anti").join(won.select("pattern"), "pattern", "left_anti"))
+    out = reduce(DataFrame.unionByName, accepted) if accepted else table
+    return out.orderBy("_o").select(*names)
 
 
 def with_fallback(external: DataFrame, bundled: DataFrame) -> DataFrame:

@@ -441,3 +441,64 @@ def test_rule_table_of_a_thousand_rules_equals_the_unrolled_scan(spark):
     assert got == sorted(want) and len(want) > 200
     assert R.scan_table(docs, "text", R.rule_table(spark, []), ["doc_id"]).count() == 0
     assert R.scan_table(docs.limit(0), "text", R.rule_table(spark, rules), ["doc_id"]).count() == 0
+
+
+# --- interval join, snapshots, ordered merge ------------------------------------------------------------------------
+def test_dyadic_pieces_cover_each_span_once(spark):
+    rng = __import__("random").Random(3)
+    start = dt.datetime(2024, 1, 1)
+    spans = [(f"s{k}", start + dt.timedelta(seconds=rng.randrange(9000), microseconds=rng.choice([0, 0, 7])), rng.choice([0, 1, 59, 60, 61, 500, 7000])) for k in range(60)]
+    sessions = spark.createDataFrame([(s, a, a + dt.timedelta(seconds=n)) for s, a, n in spans] + [("none", None, None), ("back", start, start - dt.timedelta(days=1))], "session_id string, started_at timestamp, ended_at timestamp")
+    rows = [(k, start + dt.timedelta(seconds=rng.randrange(17000), microseconds=rng.choice([0, 7]))) for k in range(400)]
+    rows += [(400 + k, spans[0][1]) for k in range(50)] + [(500, spans[1][1] + dt.timedelta(seconds=spans[1][2] + 60)), (501, None)]  # a burst on one bound, a row on another, no time
+    loose = spark.createDataFrame(rows, "id long, ts timestamp")
+    want = sorted((s, i) for s, a, n in spans for i, t in rows if t and a <= t <= a + dt.timedelta(seconds=n + 60))
+    for unit in (1, 7, 60, 3600):
+        assert sorted((r.session_id, r.id) for r in A.in_session_window(loose, sessions, unit_seconds=unit, salts=3).collect()) == want
+        counts = {r.session_id: r.n for r in A.window_counts(loose, sessions, unit_seconds=unit).collect()}
+        assert counts == {s: sum(w == s for w, _ in want) for s in [s for s, _, _ in spans] + ["back"]}
+    most = A.span_pieces(sessions, "60 SECONDS", 1).groupBy("session_id").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 14 + 2  # 7,060 units are under 2^13
+    assert A.in_session_window(loose.limit(0), sessions).count() == 0 and A.in_session_window(loose, sessions.limit(0)).count() == 0
+    assert "NestedLoop" not in A.window_counts(loose, sessions)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_integrity_by_bucket_digests(spark):
+    old = [(f"f{k}", f"h{k}") for k in range(300)] + [("gone", "x"), ("void", None)]
+    new = [(f"f{k}", "other" if k == 7 else f"h{k}") for k in range(300)] + [("come", "y"), ("void", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "file string, sha256 string")
+    want = sorted(map(tuple, A.integrity(frame(old), frame(new), buckets=0).filter("file <> 'void'").collect()))
+    for buckets in (1, 16, 4096):
+        assert sorted(map(tuple, A.integrity(frame(old), frame(new), buckets=buckets).filter("file <> 'void'").collect())) == want
+    assert {tuple(r) for r in A.integrity(frame(old), frame(old)).select("state").distinct().collect()} == {("UNCHANGED",)}
+    assert [tuple(r) for r in A.integrity(frame([]), frame([("a", "b")])).collect()] == [("a", "NEW")]
+
+
+def test_first_wins_equals_a_fold_under_any_partitioning(spark):
+    rng = __import__("random").Random(6)
+    for n in (0, 1, 40, 120):
+        rules = [(f"i{rng.randrange(max(1, n // 3))}", f"p{rng.randrange(max(1, n // 3))}", k) for k in range(n)]
+        parts = rules[: n // 3], rules[n // 3 :]
+        want = []
+        for i, p, _ in rules:
+            if all(i != a and p != b for a, b in want):
+                want.append((i, p))
+        for partitions in (1, 5):
+            frames = [spark.createDataFrame(rng.sample(x, len(x)), "id string, pattern string, place int").repartition(partitions) for x in parts]
+            assert [(r.id, r.pattern) for r in R.first_wins(*frames).collect()] == want
+    chain = [(f"i{k // 2}", f"p{(k + 1) // 2}", k) for k in range(12)]  # each hangs on the one before
+    got = R.first_wins(spark.createDataFrame(chain, "id string, pattern string, place int"))
+    assert [r.place for r in got.collect()] == [0, 2, 4, 6, 8, 10]
+
+
+def test_egress_totals_keep_the_first_urls(spark):
+    rows = [("s", f"u{k % 37:02d}", 1) for k in range(300)] + [("t", None, 5), (None, "u", 2)]
+    got = {r.session_id: (r.bytes, r.requests, r.destinations) for r in A.egress_totals(spark.createDataFrame(rows, "session_id string, url string, bytes long"), 5).collect()}
+    assert got == {"s": (300, 300, "u00 u01 u02 u03 u04"), None: (2, 1, "u")}
+
+
+def test_rules_are_judged_by_the_engine_that_runs_them(spark):
+    java_only, python_only = "(?<q>a)x*+", "(?P<n>a)"  # each compiles in one of the two
+    rows = [("a", "jailbreak", "HIGH", java_only), ("b", "jailbreak", "HIGH", python_only), ("c", "jailbreak", "HIGH", "(")]
+    got = R.valid_rules(spark.createDataFrame(rows, "id string, category string, severity string, pattern string"))
+    assert [r.id for r in got.collect()] == ["a"]
