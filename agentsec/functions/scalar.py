@@ -168,10 +168,13 @@ def verdict_action(verdict: Column, confidence: Column) -> Column:
 # --- commands and packages ----------------------------------------------------------------------------------
 
 
+#: What stands before a comment: anything but `#`, which may stand in quotes.
+_CODE = r"""^((?:[^#'"]|'[^']*(?:'|$)|"[^"]*(?:"|$))*)"""
+
+
 def normalise_command(cmd: Column) -> Column:
     """Comments outside quotes and blank lines away; lines joined by ` ; `."""
-    code = r"""^((?:[^#'"]|'[^']*(?:'|$)|"[^"]*(?:"|$))*)"""
-    lines = F.transform(F.split(cmd, "\n"), lambda s: F.trim(F.regexp_extract(s, code, 1)))
+    lines = F.transform(F.split(cmd, "\n"), lambda s: F.trim(F.regexp_extract(s, _CODE, 1)))
     return F.array_join(F.filter(lines, lambda s: s != ""), " ; ")
 
 
@@ -188,11 +191,15 @@ def sanitise_params(params: Column) -> Column:
 _CD = r"^\s*cd\s+(?:\"[^\"]*\"|'[^']*'|[^\s&;|]+)\s*&&\s*"
 
 
+_ASSIGNMENTS = r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*=(?:\"[^\"]*\"|'[^']*'|\S*)\s+)*"
+_WRAPPER = r"^(?:sudo|time|nice|nohup)\s+(?:-\S+\s+)*"
+
+
 def leading_command(cmd: Column) -> Column:
     """The program that runs first: without a `cd ... &&`, assignments, one wrapper and its path."""
     bare = F.regexp_replace(cmd, _CD, "")
-    bare = F.regexp_replace(bare, r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*=(?:\"[^\"]*\"|'[^']*'|\S*)\s+)*", "")
-    bare = F.regexp_replace(bare, r"^(?:sudo|time|nice|nohup)\s+(?:-\S+\s+)*", "")
+    bare = F.regexp_replace(bare, _ASSIGNMENTS, "")
+    bare = F.regexp_replace(bare, _WRAPPER, "")
     return F.element_at(F.split(F.regexp_extract(bare, r"^\s*(\S+)", 1), "/"), -1)
 
 
