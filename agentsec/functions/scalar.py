@@ -328,6 +328,6 @@ def path_sensitivity(path: Column, labels: list[tuple[str, int]] = PATH_LABELS)
 
 def egress_payload(tool: Column, params: Column) -> Column:
     """(content, destination, bytes) that a tool call sends out."""
-    destination = F.when(tool == "Bash", F.nullif(F.regexp_extract(params["command"], r"(?:curl|wget)\s+(?:-\S+\s+)*[\"']?(https?://[^\s\"']+)", 1), F.lit(""))).otherwise(F.coalesce(params["url"], params["query"]))
-    content = F.coalesce(F.when(tool == "Bash", params["command"]).otherwise(F.to_json(params)), F.lit(""))
+    destination = F.when(tool == "Bash", F.nullif(F.regexp_extract(F.try_element_at(params, F.lit("command")), r"(?:curl|wget)\s+(?:-\S+\s+)*[\"']?(https?://[^\s\"']+)", 1), F.lit(""))).otherwise(F.coalesce(F.try_element_at(params, F.lit("url")), F.try_element_at(params, F.lit("query"))))
+    content = F.coalesce(F.when(tool == "Bash", F.try_element_at(params, F.lit("command"))).otherwise(F.to_json(params)), F.lit(""))
     return F.struct(content.alias("content"), destination.alias("destination"), F.octet_length(content).alias("bytes"))

@@ -92,14 +92,22 @@ def report_rows() -> Column:
     return out
 
 
+def report_severity() -> Column:
+    """The severity a finding counts with: an injection without one is MEDIUM."""
+    return F.when(F.col("log") == "injection", F.coalesce(F.nullif("severity", F.lit("")), F.lit("MEDIUM"))).otherwise(F.col("severity"))
+
+
 def report_shown(rows: DataFrame) -> DataFrame:
-    """The findings that a report shows: of each session and log the first ones, up to its cap."""
+    """The findings that a report shows, each with the severity it counts with: of each session and log the first ones, up to its cap.
+
+    Rows are ordered by the severity they have, so that those without any come last.
+    """
     first = F.when(F.col("log").isin(*SEVEREST_FIRST), -S.severity_rank(F.col("severity"))).otherwise(0)
     place = F.row_number().over(Window.partitionBy("session_id", "log").orderBy(first, "ts", "id"))
     cap = F.lit(0)
     for name, n in REPORT_CAPS.items():
         cap = F.when(F.col("log") == name, n).otherwise(cap)
-    return rows.filter(report_rows()).withColumn("_n", place).filter(F.col("_n") <= cap).drop("_n")
+    return rows.filter(report_rows()).withColumn("_n", place).filter(F.col("_n") <= cap).drop("_n").withColumn("severity", report_severity())
 
 
 def report_summary(rows: DataFrame) -> DataFrame:
@@ -123,7 +131,7 @@ def report_summary(rows: DataFrame) -> DataFrame:
 
 def severity_matrix(rows: DataFrame, display: bool = False) -> DataFrame:
     """(severity, a column for each of the eight logs, total) of the findings. display: of those that reports show."""
-    found, names = report_shown(rows) if display else rows.filter(report_rows()), sorted(REPORT_CAPS)
+    found, names = report_shown(rows) if display else rows.filter(report_rows()).withColumn("severity", report_severity()), sorted(REPORT_CAPS)
     wide = found.groupBy("severity").pivot("log", names).agg(F.count(F.lit(1))).fillna(0)
     return wide.withColumn("total", sum((F.col(c) for c in names), F.lit(0)).cast("long"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..rules import packs
-from ..rules.compile import LINTER, MENTION, PARAMETER_SECRET, SKILL, Rule, findings, first_match, gate, matches_any, pack, pinned, with_gate, without_gate
+from ..rules.compile import DESTINATIONS, EGRESS_PII, EGRESS_SECRET, LINTER, MENTION, PARAMETER_SECRET, SKILL, Rule, findings, first_match, gate, matches_any, pack, pinned, with_gate, without_gate
 
 
 def scan(df: DataFrame, text: str, rules: Sequence[Rule], cut: int = 100, normalise: bool = False, gated: bool = True) -> DataFrame:
@@ -94,6 +94,16 @@ def bulk_transfer(size: Column, total_after: Column) -> Column:
     return F.when((size > 500 * 1024) | (total_after > 20 * 1024 * 1024), "CRITICAL").when(size > 50 * 1024, "MEDIUM")
 
 
+def egress_findings(calls: DataFrame, text: str, url: str = "url", size: str = "bytes", total: str = "total_bytes") -> DataFrame:
+    """`calls` with the names of what is found in what they send, in order: secrets, personal data, `bulk`, `destination`, `base64`."""
+    rules = [*EGRESS_SECRET, *EGRESS_PII]
+    rows, passes = with_gate(calls, F.col(text), rules)
+    names = F.transform(findings(F.col(text), rules, passes=passes), lambda f: f["rule_id"])
+    others = {"bulk": bulk_transfer(F.col(size), F.col(total)).isNotNull(), "destination": blocked_destination(F.col(url), DESTINATIONS).isNotNull(), "base64": base64_blob(F.col(text))}
+    more = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in others.items()]))
+    return without_gate(rows.withColumn("findings", pinned(F.concat(names, more))))
+
+
 def blocked_destination(url: Column, rules: Sequence[Rule]) -> Column:
     """(name, severity, by): first blocked host; a rule anchored as a whole is tried on the URL's host too."""
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
@@ -184,6 +194,7 @@ def rule_language(lang: Column) -> Column:
 
 def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], rules: Sequence[Rule] = LINTER) -> DataFrame:
     """(keys, rule_id, severity, line): first line of each rule that applies to the language, given by name or extension; comment lines are skipped."""
+    rows, passes = with_gate(df, F.col(content), rules)
     lines, lang = F.split(F.col(content), "\n"), rule_language(lang)
     comment = lambda s: s.rlike(r"^[\s\p{Z}\x{FEFF}]*(?://|#|\*)")
     code = F.transform(lines, lambda s: F.when(~comment(s), s))
@@ -191,10 +202,11 @@ def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], r
     for r in rules:
         at = F.array_position(F.transform(code, _matches(r)), True)
         applies = F.lit(True) if "*" in r.languages or not r.languages else lang.isin(*r.languages)
-        # in the whole text a look-ahead may see the next line, so only what stands before it is the gate
-        gate = applies & F.col(content).rlike(r.regex.split("(?!")[0])
-        out.append(F.when(gate & (at > 0), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), at.cast("int").alias("line"))))
-    return df.select(*keys, F.explode(F.array_compact(F.array(*out))).alias("f")).select(*keys, "f.*")
+        # in the whole text a look-ahead may see the next line, so only what stands before it is tried there
+        may = applies & passes(r) & F.col(content).rlike(r.regex.split("(?!")[0])
+        out.append(F.when(may, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), at.cast("int").alias("line"))))
+    found = rows.withColumn("_gate_found", pinned(F.filter(F.array(*out), lambda f: f["line"] > 0)))
+    return found.select(*keys, F.explode("_gate_found").alias("f")).select(*keys, "f.*")
 
 
 def skill_verdict(df: DataFrame, text: str) -> DataFrame:
@@ -267,11 +279,23 @@ def memory_limits(write: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
 
 
-def memory_document_scan(docs: DataFrame, rules: Sequence[Rule], keys: Sequence[str], text: str = "text") -> DataFrame:
-    """(keys, rule_id, severity, kind, line): each rule once in a document, at its first line; LOW rules are ignored."""
+#: What an id's parts say of a rule of memory documents, in order; `detection` without any. Fixed values.
+MEMORY_KINDS = [("inj", "injection"), ("fake", "fake_fact"), ("enc", "encoding"), ("sens", "sensitive")]
+
+
+def memory_kind(rule_id: str) -> str:
+    return "persistence" if rule_id.startswith("persist") else next((kind for part, kind in MEMORY_KINDS if part in rule_id), "detection")
+
+
+def memory_document_scan(docs: DataFrame, rules: Sequence[Rule], keys: Sequence[str], text: str = "text", offset: Column | None = None) -> DataFrame:
+    """(keys, rule_id, severity, kind, line): each rule once in a document, at its first line; LOW rules are ignored.
+
+    offset: lines of the whole file before a section, so that `line` counts in the file.
+    """
     # the folded text is a column of its own, so no rule computes it again; lines are tried only where the whole text may match
-    folded = docs.select(*keys, S.normalise_unicode(F.col(text)).alias("_text"))
-    ready = folded.select(*keys, "_text", F.lower("_text").alias("_lower"), F.split("_text", "\n").alias("_lines"))
+    before = F.lit(0) if offset is None else F.coalesce(offset, F.lit(0))
+    folded = docs.select(*keys, pinned(S.normalise_unicode(F.col(text))).alias("_text"), before.cast("int").alias("_before"))
+    ready = folded.select(*keys, "_before", "_text", F.lower("_text").alias("_lower"), F.split("_text", "\n").alias("_lines"))
     out = []
     for r in rules:
         if r.severity != "LOW":
@@ -279,17 +303,19 @@ def memory_document_scan(docs: DataFrame, rules: Sequence[Rule], keys: Sequence[
             if not any(mark in r.regex for mark in ("^", "$", "\\z", "(?=", "(?!", "(?<")):
                 may = may & F.col("_text").rlike(r.regex)
             at = F.when(may, F.array_position(F.transform("_lines", _matches(r)), True))
-            kind = "persistence" if r.id.startswith("persist") else "injection" if "-inj-" in r.id else "fake_fact" if "-fake-" in r.id else "encoding" if "-enc-" in r.id else "sensitive"
-            line = F.when(at > 0, at.cast("int"))
+            kind = memory_kind(r.id)
+            line = F.when(at > 0, at.cast("int") + F.col("_before"))
             out.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(kind).alias("kind"), line.alias("line")))
-    return ready.select(*keys, F.explode(F.filter(F.array(*out), lambda f: f["line"].isNotNull())).alias("f")).select(*keys, "f.*")
+    found = ready.withColumn("_found", pinned(F.filter(F.array(*out), lambda f: f["line"].isNotNull())))
+    return found.select(*keys, F.explode("_found").alias("f")).select(*keys, "f.*")
 
 
 def split_quarantine(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(clean, quarantined) sections (key, no, title, body, start_line): a section with a CRITICAL finding is quarantined."""
     each = docs.select(key, F.explode(S.sections(F.col(text))).alias("s")).select(key, "s.*")
-    found = findings(S.normalise_unicode(F.col("body")), [r for r in rules if r.severity == "CRITICAL"])
-    marked = each.withColumn("bad", F.size(found) > 0)
+    critical = [r for r in rules if r.severity == "CRITICAL"]
+    rows, passes = with_gate(each.withColumn("_gate_body", pinned(S.normalise_unicode(F.col("body")))), F.col("_gate_body"), critical)
+    marked = without_gate(rows.withColumn("bad", pinned(matches_any(F.col("_gate_body"), critical, passes))))
     return marked.filter("NOT bad").drop("bad"), marked.filter("bad").drop("bad")
 
 

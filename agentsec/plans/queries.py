@@ -353,9 +353,29 @@ def _(spark, d):
     return pages.select("page_id", P.classify_code(F.col("html"), F.lit("javascript")).alias("c")).select("page_id", F.array_join("c.triggers", ",").alias("triggers"), "c.risk", "c.confidence", "c.blocked")
 
 
-@query("p16_lint")
+#: In SQL, without look-ahead and back-reference: (must match, must not match) for a line; the plain pattern where there is none.
+_QUOTED_KEY = R.LINTER[0].pattern
+LINT_SQL = {
+    "hardcoded-api-key": ["|".join(_QUOTED_KEY.replace("(['\"`])", q).replace("\\1", q) for q in ("'", '"', "`")), None],
+    "xss-innerhtml": [r"\.innerHTML\s*=", r"\.innerHTML\s*=\s*['\"`]\s*['\"`]"],
+    "no-input-validation": [r"(?:req\.body|req\.query|req\.params)\.[a-zA-Z]+", r"(?:req\.body|req\.query|req\.params)\.[a-zA-Z](?:\s*\?\?|\s*\|\||\.trim\(\)|\.validate)"],
+}
+
+
+def _lint_sql(source: str, key: str, text: str) -> str:
+    parts = []
+    for r in R.LINTER:
+        if "*" in r.languages or "js" in r.languages:
+            must, bar = LINT_SQL.get(r.id, [r.pattern, None])
+            head = f"(?{r.flags})" if r.flags else ""
+            test = f"regexp_matches(line, {quoted(head + must)})" + (f" AND NOT regexp_matches(line, {quoted(head + bar)})" if bar else "")
+            parts.append(f"SELECT {key}, {quoted(r.id)} AS rule_id, {quoted(r.severity)} AS severity, CAST(min(n) AS INTEGER) AS line FROM l WHERE {test} GROUP BY {key}")
+    return f"WITH l AS (SELECT {key}, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS n FROM {source}), c AS (SELECT * FROM l WHERE NOT regexp_matches(line, '^[\\s\\p{{Z}}\\x{{FEFF}}]*(?://|#|\\*)')) " + " UNION ALL ".join(parts).replace(" FROM l ", " FROM c ")
+
+
+@query("p16_lint", _lint_sql(planted_sql("pages", "page_id", "html", LINTED), "page_id", "html"))
 def _(spark, d):
-    return P.lint_lines(planted(table(spark, d, "pages"), "page_id", "html"), "html", F.lit("javascript"), ["page_id"])
+    return P.lint_lines(planted(table(spark, d, "pages"), "page_id", "html", LINTED), "html", F.lit("javascript"), ["page_id"])
 
 
 @query("p17_unsafe_output", scan_sql(planted_sql("pages", "page_id", "html", UNSAFE), "page_id", "html", R.OUTPUT, 30))
@@ -368,14 +388,35 @@ def _(spark, d):
     return P.skill_verdict(planted(table(spark, d, "documents"), "doc_id", "text", SKILLS), "text").select("doc_id", "verdict")
 
 
-@query("p22_memory_issues")
+#: Words, false facts, encodings and sensitive data of memory writes, one or two kinds in a text.
+WRITTEN = [(w.upper(), False) for w in packs.MEMORY_INJECTION_WORDS] + [(f"and {w} {s_}", False) for w, s_ in zip(packs.MEMORY_FAKE_FACTS, ["me@x.org", "555-123-4567", "sk-" + "a" * 20, "\\u0041", "ghp_" + "b" * 36, "xoxb-1", "forget all"])]
+_FIRST_OF = lambda words: "CASE " + " ".join(f"WHEN contains(lower(text), {quoted(w)}) THEN {quoted(w)}" for w in words) + " END"
+_ANY_OF = lambda patterns: "(" + " OR ".join(f"regexp_matches(text, {quoted(p)})" for p in patterns) + ")"
+
+
+@query("p22_memory_issues", f"""WITH p AS (SELECT conv_id, turn, text, {_FIRST_OF(packs.MEMORY_INJECTION_WORDS)} AS word, {_FIRST_OF(packs.MEMORY_FAKE_FACTS)} AS fact FROM {planted_sql('conversations', 'conv_id', 'text', WRITTEN)})
+SELECT conv_id, turn, 'injection' AS kind, word AS detail FROM p WHERE word IS NOT NULL UNION ALL SELECT conv_id, turn, 'fake_fact', fact FROM p WHERE fact IS NOT NULL
+UNION ALL SELECT conv_id, turn, 'encoding', NULL FROM p WHERE {_ANY_OF(packs.MEMORY_ENCODINGS)} UNION ALL SELECT conv_id, turn, 'sensitive', NULL FROM p WHERE {_ANY_OF(packs.MEMORY_SENSITIVE)}""")
 def _(spark, d):
-    return planted(table(spark, d, "conversations"), "conv_id", "text").select("conv_id", "turn", F.explode(P.memory_issues(F.col("text"))).alias("i")).select("conv_id", "turn", "i.*")
+    return planted(table(spark, d, "conversations"), "conv_id", "text", WRITTEN).select("conv_id", "turn", F.explode(P.memory_issues(F.col("text"))).alias("i")).select("conv_id", "turn", "i.*")
+
 
+def _memory_sql(source: str) -> str:
+    test = lambda r: f"regexp_matches(line, {quoted((f'(?{r.flags})' if r.flags else '') + r.pattern)})"
+    parts = [f"SELECT doc_id, {quoted(r.id)} AS rule_id, {quoted(r.severity)} AS severity, {quoted(P.memory_kind(r.id))} AS kind, CAST(min(n) AS INTEGER) AS line FROM l WHERE {test(r)} GROUP BY doc_id" for r in R.memory_rules() if r.severity != "LOW"]
+    return f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {source}) " + " UNION ALL ".join(parts)
 
-@query("p24_memory_documents")
+
+@query("p24_memory_documents", _memory_sql(planted_sql("documents", "doc_id", "text", REMEMBERED)))
 def _(spark, d):
-    return P.memory_document_scan(table(spark, d, "documents"), R.memory_rules(), ["doc_id"])
+    return P.memory_document_scan(planted(table(spark, d, "documents"), "doc_id", "text", REMEMBERED), R.memory_rules(), ["doc_id"])
+
+
+#: Sections, one of them with what a memory rule finds; deeper headings and marks inside a line cut nothing.
+SECTIONED = [(f"## Notes {k}\nfine ## no cut\n### deeper\n##  Plan \n{t}\n## Tail", False) for k, (t, _) in enumerate(REMEMBERED)] + [("## First", True)]
+SECTIONS_SQL = f"""s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^## ', chr(1) || '## ', 'g'), chr(1)), lambda p: p <> '') AS parts FROM {planted_sql('documents', 'doc_id', 'text', SECTIONED)}),
+e AS (SELECT doc_id, parts, unnest(parts) AS body, CAST(generate_subscripts(parts, 1) AS INTEGER) - 1 AS no FROM s),
+sections AS (SELECT doc_id, no, CASE WHEN starts_with(body, '## ') THEN trim(regexp_extract(body, '\\A## ([^\\n]*)', 1)) END AS title, body, CAST(1 + length(regexp_replace(array_to_string(parts[1:no], ''), '[^\\n]', '', 'g')) AS INTEGER) AS start_line FROM e)"""
 
 
 @query("p26_mentions", "SELECT conv_id, turn, m AS mention FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '@([^\\s,;]+)', 1)) AS m FROM " + planted_sql("conversations", "conv_id", "text", MENTIONED) + ") WHERE regexp_matches(m, '\\.netrc|\\.npmrc|\\.kube/config|\\.cargo/credentials|\\.docker/config\\.json|\\.aws/credentials|\\.pgpass|\\.ssh/(?:id_|authorized_keys)|\\.pem$|\\.key$')")
@@ -394,9 +435,13 @@ def _(spark, d):
     return R.back_test(table(spark, d, "documents"), table(spark, d, "labels"), R.EGRESS_PII + R.EGRESS_SECRET, F.col("toxic") == 1)
 
 
-@query("u6_quarantined_sections")
+CRITICAL_SQL = " OR ".join("regexp_matches(body, {})".format(quoted((f"(?{r.flags})" if r.flags else "") + r.pattern)) for r in R.memory_rules() if r.severity == "CRITICAL")
+
+
+@query("u6_quarantined_sections", f"WITH {SECTIONS_SQL} SELECT doc_id, no, title, start_line, CAST(length(body) AS INTEGER) AS chars FROM sections WHERE {CRITICAL_SQL}")
 def _(spark, d):
-    return P.split_quarantine(planted(table(spark, d, "documents"), "doc_id", "text"), R.memory_rules())[1].select("doc_id", "no", "title", "start_line", F.length("body").alias("chars"))
+    docs = planted(table(spark, d, "documents"), "doc_id", "text", SECTIONED)
+    return P.split_quarantine(docs, R.memory_rules())[1].select("doc_id", "no", "title", "start_line", F.length("body").alias("chars"))
 
 
 # --- policy -------------------------------------------------------------------------------------------------
@@ -406,9 +451,14 @@ def _(spark, d):
     return G.evaluate_policies(tool_calls(spark, d).withColumn("params_text", F.to_json(F.struct("file_path", "command", "url")))).select("id", "policy", "action")
 
 
-@query("g8_profiles", tc("SELECT id, CASE WHEN tool_name = 'Write' OR tool_name LIKE 'mcp%' THEN 'tool' WHEN tool_name = 'Bash' AND (command LIKE 'git push%' OR command LIKE 'curl%' OR command LIKE 'op %') THEN 'command' END AS violation FROM tc"))
+@query("g8_profiles", tc("""SELECT id, profile, CASE WHEN profile = 'audit' AND (tool_name = 'Write' OR tool_name LIKE 'mcp%') OR profile = 'client-work' AND tool_name = 'WebFetch' OR profile = 'research' AND tool_name NOT IN ('Read', 'WebFetch') THEN 'tool'
+  WHEN profile = 'client-work' AND tool_name = 'Read' AND contains(file_path, '/home/user/.ssh') THEN 'path'
+  WHEN tool_name = 'Bash' AND (profile = 'audit' AND (command LIKE 'git push%' OR command LIKE 'curl%' OR command LIKE 'op %') OR profile = 'client-work' AND (command LIKE 'git push%' OR command LIKE 'curl%')) THEN 'command' END AS violation
+FROM tc, (VALUES ('dev'), ('audit'), ('client-work'), ('research')) AS p(profile)"""))
 def _(spark, d):
-    return G.enforce_profile(tool_calls(spark, d).withColumn("profile", F.lit("audit"))).select("id", "violation")
+    """Every call under each of the four profiles."""
+    calls = tool_calls(spark, d).withColumn("profile", F.explode(F.array(*map(F.lit, G.PROFILES))))
+    return G.enforce_profile(calls).select("id", "profile", "violation")
 
 
 @query("g9_file_sensitivity", tc("SELECT id, CASE WHEN contains(file_path, '.env') OR contains(file_path, '.ssh') OR contains(file_path, 'credentials') THEN 3 ELSE 0 END AS level FROM tc WHERE file_path IS NOT NULL"))
@@ -711,9 +761,16 @@ def _(spark, d):
     return W.level_changes(_escalated(spark, d)).select("id", W.escalated_action(F.upper("action"), F.col("escalation")).alias("action"), "level_changed")
 
 
-@query("w9_uniform_intervals", se("SELECT session_id, count(*) AS n, count(*) >= 5 AND count(DISTINCT gap) = 1 AS uniform FROM (SELECT session_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, id)) / 10000.0) AS gap FROM se) GROUP BY session_id"))
+#: Every third session at even intervals of a minute, one of those with an interval a little off and one far off.
+EVEN_SQL = "(SELECT * REPLACE (CASE WHEN user_no % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * n + CASE WHEN n = 3 THEN CASE user_no % 9 WHEN 3 THEN INTERVAL 4 MILLISECOND WHEN 6 THEN INTERVAL 1 SECOND ELSE INTERVAL 0 SECOND END ELSE INTERVAL 0 SECOND END ELSE ts END AS ts) FROM (SELECT *, CAST(substr(session_id, 2) AS BIGINT) AS user_no, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS n FROM se))"
+
+
+@query("w9_uniform_intervals", se(f"SELECT session_id, count(*) AS n, count(*) >= 5 AND count(DISTINCT gap) = 1 AS uniform FROM (SELECT session_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, id)) / 10000.0) AS gap FROM {EVEN_SQL}) GROUP BY session_id"))
 def _(spark, d):
-    return W.uniform_intervals(security_events(spark, d))
+    e = security_events(spark, d).withColumns({"user_no": F.substring("session_id", 2, 20).cast("long"), "n": F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "id"))})
+    off = F.when(F.col("n") == 3, F.when(F.col("user_no") % 9 == 3, 4000).when(F.col("user_no") % 9 == 6, 1_000_000).otherwise(0)).otherwise(0)
+    even = F.timestamp_micros(F.lit(1704067200_000000) + F.col("n").cast("long") * 60_000_000 + off)
+    return W.uniform_intervals(e.withColumn("ts", F.when(F.col("user_no") % 3 == 0, even).otherwise(F.col("ts").cast("timestamp"))))
 
 
 @query("w10_sensitive_reads", tc(f"SELECT id, level, place FROM (SELECT id, level, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS INTEGER) AS place FROM (SELECT *, {PATH_SQL} AS level FROM tc WHERE tool_name = 'Read') WHERE level > 0) WHERE place <= 100"))
@@ -760,9 +817,23 @@ def _(spark, d):
     return G.evaluate_forbids(state).select("id", "decision", F.array_join("forbids", ",").alias("forbids"))
 
 
-@query("d3_session_fold")
+@query("d3_session_fold", f"""SELECT e.session_id, a.id, a.taint_level, t.calls, t.file_writes, t.shell_commands, t.web_fetches, t.mcp_calls, CAST(c.consecutive AS BIGINT) AS consecutive, b.total_bytes, s.total_cost, s.spend_level, x.escalation
+FROM ({ORACLES["w1_taint"]}) a JOIN ({ORACLES["w3_trajectory"]}) t ON t.id = a.id JOIN ({ORACLES["w4_consecutive"]}) c ON c.id = a.id JOIN ({ORACLES["w5_egress"]}) b ON b.id = a.id JOIN ({ORACLES["w6_spend"]}) s ON s.id = a.id
+JOIN ({ORACLES["w7_escalation"]}) x ON x.id = a.id JOIN ({se("SELECT id, session_id FROM se")}) e ON e.id = a.id""")
+def _(spark, d):
+    return X.session_fold(tool_calls(spark, d)).withColumn("total_cost", F.round("total_cost", 6))
+
+
+_BY_USER, _BY_THIRD = "concat('s', CAST(user_id AS VARCHAR)) AS session_id", "concat('s', CAST(user_id % 3 AS VARCHAR)) AS session_id"
+
+
+@query("w14_sessions_in_blocks", ORACLES["d3_session_fold"].replace(_BY_USER, _BY_THIRD))
 def _(spark, d):
-    return X.session_fold(tool_calls(spark, d))
+    """Three large sessions, cut into blocks."""
+    calls = tool_calls(spark, d).withColumn("session_id", F.concat(F.lit("s"), (F.substring("session_id", 2, 20).cast("long") % 3).cast("string")))
+    rows = W.all_in_blocks(calls, F.col("severity") == "CRITICAL", F.col("severity") == "HIGH", block_rows=500)
+    counters = ["taint_level", "calls", "file_writes", "shell_commands", "web_fetches", "mcp_calls"]
+    return rows.select("session_id", "id", *counters, F.col("consecutive").cast("long").alias("consecutive"), "total_bytes", F.round("total_cost", 6).alias("total_cost"), "spend_level", "escalation")
 
 
 # --- sets, scalars ------------------------------------------------------------------------------------------
@@ -792,12 +863,19 @@ def _(spark, d):
     return A.session_bounds(*[e.filter(F.col("layer") == x) for x in ("L0", "L1", "L4")])
 
 
-@query("u3_findings_union", "SELECT doc_id, rule_id FROM (" + scan_sql("documents", "doc_id", "text", R.EGRESS_SECRET + R.EGRESS_PII) + ") UNION ALL SELECT doc_id, 'base64' FROM documents WHERE length(regexp_extract(text, '[A-Za-z0-9+/]{100,}={0,2}', 0)) > 10240")
+#: What leaves by a call: secrets, personal data, runs of base64 and plain texts.
+SENT = [*SECRETS, *examples(R.EGRESS_PII), ("A" * 10300, False), ("nothing", False)]
+_SENT_SQL = f"sent AS (SELECT id, session_id, ts, bytes, url, ([{', '.join(quoted(t) for t, _ in SENT)}])[id % {len(SENT)} + 1] AS text FROM tc)"
+
+
+@query("u3_findings_union", tc(f"""SELECT id, rule_id FROM (WITH {_SENT_SQL} {scan_sql("sent", "id", "text", R.EGRESS_SECRET + R.EGRESS_PII)}
+UNION ALL SELECT id, 'bulk', CASE WHEN bytes > 512000 OR total > 20971520 THEN 'CRITICAL' ELSE 'MEDIUM' END, '' FROM (SELECT *, sum(bytes) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS total FROM sent) WHERE bytes > 51200 OR total > 20971520
+UNION ALL SELECT id, 'destination', '', '' FROM sent WHERE regexp_matches(url, '(?i)pastebin\\.com') OR regexp_matches(url, '^[a-z]+://[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}(/|$)')
+UNION ALL SELECT id, 'base64', '', '' FROM sent WHERE length(regexp_extract(text, '[A-Za-z0-9+/]{{100,}}={{0,2}}', 0)) > 10240)"""))
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    blob = F.when(P.base64_blob(F.col("text")), F.array(F.lit("base64"))).otherwise(F.array().cast("array<string>"))
-    ids = F.concat(F.transform(R.findings(F.col("text"), R.EGRESS_SECRET), lambda f: f["rule_id"]), F.transform(R.findings(F.col("text"), R.EGRESS_PII), lambda f: f["rule_id"]), blob)
-    return docs.select("doc_id", F.explode(ids).alias("rule_id"))
+    """All five kinds of egress findings of each call: secrets, personal data, bulk, destination, base64."""
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in SENT]), (F.col("id") % len(SENT) + 1).cast("int"))
+    return P.egress_findings(W.egress(tool_calls(spark, d).withColumn("text", text)), "text").select("id", F.explode("findings").alias("rule_id"))
 
 
 @query("u4_distinct_ids", se(f"SELECT DISTINCT technique FROM se JOIN {TECH_SQL} ON se.layer = t.layer"))
@@ -812,10 +890,12 @@ def _(spark, d):
     return A.typosquats(names, names)
 
 
-@query("c8_egress_bytes", tc("SELECT id, coalesce(url, CASE WHEN command LIKE 'curl%' THEN 'http://h/x' END) AS destination FROM tc WHERE tool_name IN ('Bash', 'WebFetch')"))
+@query("c8_egress_bytes", tc("""SELECT id, coalesce(url, CASE WHEN command LIKE 'curl%' THEN 'http://h/x' END) AS destination, CASE WHEN tool_name = 'Bash' THEN command ELSE '{"url":"' || url || '"}' END AS content,
+  CAST(strlen(CASE WHEN tool_name = 'Bash' THEN command ELSE '{"url":"' || url || '"}' END) AS INTEGER) AS bytes FROM tc WHERE tool_name IN ('Bash', 'WebFetch')"""))
 def _(spark, d):
-    params = F.create_map(F.lit("command"), F.col("command"), F.lit("url"), F.col("url"), F.lit("query"), F.lit(None).cast("string"))
-    return tool_calls(spark, d).filter("tool_name IN ('Bash', 'WebFetch')").select("id", S.egress_payload(F.col("tool_name"), params)["destination"].alias("destination"))
+    calls = tool_calls(spark, d).filter("tool_name IN ('Bash', 'WebFetch')")
+    params = F.map_filter(F.create_map(F.lit("command"), F.col("command"), F.lit("url"), F.col("url")), lambda _, v: v.isNotNull())
+    return calls.select("id", S.egress_payload(F.col("tool_name"), params).alias("p")).select("id", "p.destination", "p.content", "p.bytes")
 
 
 @query("c10_tokens", "SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM conversations")
@@ -838,9 +918,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", S.content_hash(F.col("text")).alias("sha256"))
 
 
-@query("c16_sections")
+@query("c16_sections", f"WITH {SECTIONS_SQL} SELECT doc_id, no, title, start_line, CAST(length(body) AS INTEGER) AS chars FROM sections")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(S.sections(F.col("text"))).alias("s")).select("doc_id", "s.no", "s.title", "s.start_line", F.length("s.body").alias("chars"))
+    docs = planted(table(spark, d, "documents"), "doc_id", "text", SECTIONED)
+    return docs.select("doc_id", F.explode(S.sections(F.col("text"))).alias("s")).select("doc_id", "s.no", "s.title", "s.start_line", F.length("s.body").alias("chars"))
 
 
 @query("c18_truncate", "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...[truncated]') ELSE text END AS cut FROM documents")

@@ -502,3 +502,40 @@ def test_rules_are_judged_by_the_engine_that_runs_them(spark):
     rows = [("a", "jailbreak", "HIGH", java_only), ("b", "jailbreak", "HIGH", python_only), ("c", "jailbreak", "HIGH", "(")]
     got = R.valid_rules(spark.createDataFrame(rows, "id string, category string, severity string, pattern string"))
     assert [r.id for r in got.collect()] == ["a"]
+
+
+# --- sessions of any size ---------------------------------------------------------------------------------------------
+def test_sessions_in_blocks_equal_the_windows(spark):
+    from agentsec.sources.views import tool_calls
+
+    calls = tool_calls(spark, SF).withColumns({"ts": F.col("ts").cast("timestamp"), "bytes": F.coalesce("bytes", F.lit(0))})
+    hot = calls.withColumn("session_id", F.when(F.col("id") % 10 != 0, "hot").when(F.col("id") % 30 == 0, None).otherwise(F.col("session_id")))
+    steady = hot.withColumn("tool_name", F.when((F.col("id") > 200) & (F.col("session_id") == "hot"), "Bash").otherwise(F.col("tool_name")))  # runs over whole blocks
+    detected, near = F.col("severity") == "CRITICAL", F.col("severity") == "HIGH"
+    for rows in (hot, steady.withColumn("ts", F.date_trunc("day", "ts"))):  # many equal times
+        plain = W.escalation(W.spend(W.egress(W.consecutive(W.trajectory(W.taint(rows))))), detected, near)
+        cols = [c for c in plain.columns if c not in ("total_cost", "cost")]
+        want = sorted((str(r) for r in plain.select(*cols).collect()))
+        for size in (40, 5000):
+            blocked = W.all_in_blocks(rows, detected, near, block_rows=size)
+            assert sorted(blocked.columns) == sorted(plain.columns)
+            assert sorted(str(r) for r in blocked.select(*cols).collect()) == want
+    cut = W.with_blocks(hot, 40).groupBy("session_id", "_block").count().filter("session_id = 'hot'")
+    assert cut.count() >= 15 and cut.agg(F.max("count")).first()[0] <= 120
+    assert W.all_in_blocks(hot.limit(0), detected, near).count() == 0
+
+
+def test_an_injection_without_severity_is_medium(spark):
+    base = spark.createDataFrame([(k, "s", dt.datetime(2024, 1, 1, 0, k), "injection", sev) for k, sev in enumerate(["HIGH", None, "", "LOW"])], "id long, session_id string, ts timestamp, log string, severity string")
+    rows = base.withColumns({"policy_matched": F.lit("none"), "detected": F.lit(True), "classification": F.lit("STANDARD"), "decision": F.lit("ALLOW"), "n_findings": F.lit(0), "reverted": F.lit(False)})
+    for display in (False, True):
+        got = {r.severity: r.injection for r in A.severity_matrix(rows, display).collect()}
+        assert got == {"HIGH": 1, "MEDIUM": 2, "LOW": 1}
+
+
+def test_memory_kinds_and_line_offset(spark):
+    assert [R and P.memory_kind(i) for i in ("persist-x", "my-injection", "fakery", "enc1", "sensor", "other")] == ["persistence", "injection", "fake_fact", "encoding", "sensitive", "detection"]
+    rule = R.Rule("other", "memory", "HIGH", "i", "needle")
+    docs = spark.createDataFrame([(1, "a\nb needle\nneedle", 10), (2, "needle", None), (3, None, 3)], "doc_id long, text string, start int")
+    got = {(r.doc_id, r.kind, r.line) for r in P.memory_document_scan(docs, [rule], ["doc_id"], offset=F.col("start")).collect()}
+    assert got == {(1, "detection", 12), (2, "detection", 1)}
