@@ -68,9 +68,12 @@ def map_arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all of Spark is one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="agentsec-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -11,8 +11,8 @@ A cluster of any size is split into blocks of about BLOCK rows by id hash, and a
 own group, so copies that fill a cluster don't fill a task. A task holds one block and streams the queries past
 it. A block returns at most k rows for each query.
 
-Nulls: a null id or vector, a null or non-finite component and the zero vector take no part; neither do
-vectors of another length than most. Rows that repeat an id count once, with their best score. Fewer
+Nulls: a null id or vector, a null or non-finite component and the zero vector take no part. Vectors of several lengths are searched
+each among those of its own length, MAX_LENGTHS lengths at most (more are an error). Rows that repeat an id count once, with their best score. Fewer
 candidates than k give fewer rows; empty tables none. Equal scores are ordered by the smaller id.
 """
 
@@ -30,7 +30,7 @@ from .common import table
 K, SAMPLE, ROUNDS, BLOCK = 5, 20_000, 12, 4096
 #: Rows a centroid, at most so many centroids, and the share of clusters that a query probes, PROBES at least.
 CLUSTER_ROWS, MAX_CENTROIDS, PROBES, PROBE_SHARE, EPSILON = 4000, 1024, 8, 0.8, 1.9
-QUERY_ROWS = 512
+QUERY_ROWS, MAX_LENGTHS = 512, 64
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -157,13 +157,18 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
     spark = vectors.sparkSession
     rows = clean(vectors, id_col, vec_col)
     asked = rows if queries is None else clean(queries, id_col, vec_col)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], empty)
-    dim, n = sizes["d"], sizes["count"]
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").limit(MAX_LENGTHS + 1).collect()
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in lengths:
+        same = F.size("v") == r["d"]
+        found = found.union(nearest_of_length(rows.filter(same), asked.filter(same), r["d"], r["count"], k, probe_share))
+    return found
+
+
+def nearest_of_length(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, probe_share: float) -> DataFrame:
+    """The same for n clean rows whose vectors all have `dim` components."""
     sample = unit(np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]))  # at most SAMPLE rows
     centroids = kmeans(sample, max(1, min(len(sample), n // CLUSTER_ROWS, MAX_CENTROIDS)))
     probes = min(len(centroids), max(PROBES, int(np.ceil(len(centroids) * probe_share))))

@@ -482,3 +482,23 @@ def test_links_of_rows_that_repeat_an_id(spark):
     rows = [(1, a), (3, c), (3, a + " more"), (3, c), (5, b), (2, c + " x"), (None, a), (4, None), (4, b + " y")]
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in collected(jaccard_join.link_documents(frame(spark, rows))))
     assert got == sorted([(1, 56, 1), (3, 56, 2), (3, 57, 1), (3, 56, 2), (5, 56, 4), (2, 57, 2), (-1, 56, -1), (4, 0, 4), (4, 57, 4)])
+
+
+def test_nearest_of_vectors_of_several_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    wide, flat = rng.standard_normal((60, 8)), rng.standard_normal((12, 2))
+    rows = [(k, v.tolist()) for k, v in enumerate(wide)] + [(200 + 10 * k, v.tolist()) for k, v in enumerate(flat)] + [(1000, [1.0, 2.0, 3.0]), (1050, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, df.filter("vec_id % 50 = 0")).toPandas()
+    for ids, v in ((list(range(60)), wide), ([200 + 10 * k for k in range(12)], flat)):
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        for at, q in enumerate(ids):
+            if q % 50 == 0:
+                s = u @ u[at]
+                s[at] = -9
+                one = got[got.query_id == q].sort_values("rank")
+                assert list(one.vec_id) == [ids[j] for j in np.argsort(-s, kind="stable")[:5]]
+    assert set(got.query_id) == {0, 50, 200, 250, 300}  # alone of its length: no row
+    monkeypatch.setattr(nearest, "MAX_LENGTHS", 2)
+    with pytest.raises(ValueError, match="lengths"):
+        nearest.nearest(df)
