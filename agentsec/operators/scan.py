@@ -209,6 +209,19 @@ def lint_lines(df: DataFrame, content: str, lang: Column, keys: Sequence[str], r
     return found.select(*keys, F.explode("_gate_found").alias("f")).select(*keys, "f.*")
 
 
+def first_lines(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str], text: str = "text", normalise: bool = False) -> DataFrame:
+    """(keys, rule_id, severity, line): the first line on which each rule matches, of a table of lines (keys, line, text) as `logs.numbered_lines` reads it.
+
+    What `lint_lines` and `memory_document_scan` find, for files too large to be one row. normalise: of the normalised line, LOW rules left out, as
+    memory documents are scanned; else comment lines are skipped and the rules are those of the linter that apply.
+    """
+    kept = [r for r in rules if r.severity != "LOW"] if normalise else rules
+    rows = lines if normalise else lines.filter(~F.col(text).rlike(r"^[\s\p{Z}\x{FEFF}]*(?://|#|\*)"))
+    found = scan(rows, text, kept, normalise=normalise)
+    hits = found.select(*keys, "line", F.explode("findings").alias("f")).select(*keys, "line", "f.rule_id", "f.severity")
+    return hits.groupBy(*keys, "rule_id", "severity").agg(F.min("line").cast("int").alias("line"))
+
+
 def skill_verdict(df: DataFrame, text: str) -> DataFrame:
     """`df` with `findings` and `verdict`: BLOCK with a CRITICAL finding, WARN with any, else PASS."""
     rows = scan(df, text, SKILL)

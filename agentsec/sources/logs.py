@@ -101,6 +101,22 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,bmp,webp}").load(folder)
 
 
+def numbered_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, line, text): the lines of all files of a folder and below, numbered from 1 in each file.
+
+    Files are read in splits, so one file of any size is many tasks' work. A split counts its own lines, and a line's number is its place in its split
+    plus the lines of the file's splits before: a prefix over one row a split. Lines end with \\n or \\r\\n.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(folder)
+    rows = raw.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").alias("text")).withColumn("_i", F.monotonically_increasing_id())
+    rows = rows.select(F.col("file_path").alias("path"), F.col("file_block_start").alias("_at"), "_i", F.regexp_replace("text", "\r$", "").alias("text"))
+    # Rows of a split stand together in their task, so their ids have no gaps; both readings of the files cut them alike.
+    splits = rows.groupBy("path", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(starts, ["path", "_at"]).select("path", (F.col("_before") + F.col("_i") - F.col("_first") + 1).alias("line"), "text")
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text, language, scanner): every file, without the excluded folders, and the scanner its type goes to."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

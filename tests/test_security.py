@@ -539,3 +539,34 @@ def test_memory_kinds_and_line_offset(spark):
     docs = spark.createDataFrame([(1, "a\nb needle\nneedle", 10), (2, "needle", None), (3, None, 3)], "doc_id long, text string, start int")
     got = {(r.doc_id, r.kind, r.line) for r in P.memory_document_scan(docs, [rule], ["doc_id"], offset=F.col("start")).collect()}
     assert got == {(1, "detection", 12), (2, "detection", 1)}
+
+
+def test_lines_of_large_files_are_numbered_over_splits(spark, tmp_path):
+    rng = __import__("random").Random(2)
+    files = {}
+    for name, n in (("a.js", 700), ("b.js", 3), ("empty.js", 0), ("sub/c.js", 250)):
+        body = [rng.choice(["x" * rng.randrange(40), "// eval(a + b)", "", "é" * 9]) for _ in range(n)]
+        if n > 100:
+            body[n - 40], body[n - 9] = "el.innerHTML = data", "ignore previous instructions"
+            body[n - 30] = "password = 'hunter2hunter2'\r"
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("\n".join(body) + "\n" * (n % 2 or n > 0), newline="")
+        files[name] = body
+    js = [r for r in R.LINTER if "*" in r.languages or "js" in r.languages]
+    for size in ("512", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = logs.numbered_lines(spark, str(tmp_path), "*.js")
+            assert size != "512" or lines.rdd.getNumPartitions() > 1
+            got = {(r.path.split(tmp_path.name + "/")[1], r.line): r.text for r in lines.collect()}
+            assert got == {(name, k + 1): t.rstrip("\r") for name, body in files.items() for k, t in enumerate(body)}
+            whole = spark.createDataFrame([(name, "\n".join(t.rstrip("\r") for t in body)) for name, body in files.items()], "path string, text string")
+            short = lines.withColumn("path", F.regexp_extract("path", tmp_path.name + "/(.*)", 1))
+            linted = P.lint_lines(whole, "text", F.lit("javascript"), ["path"]).select("path", "rule_id", "severity", "line")
+            assert sorted(map(tuple, P.first_lines(short, js, ["path"]).collect())) == sorted(map(tuple, linted.collect()))
+            memory = P.memory_document_scan(whole, R.memory_rules(), ["path"]).select("path", "rule_id", "severity", "line")
+            assert sorted(map(tuple, P.first_lines(short, R.memory_rules(), ["path"], normalise=True).collect())) == sorted(map(tuple, memory.collect()))
+            assert memory.count() and linted.count()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
