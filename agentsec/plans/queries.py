@@ -430,6 +430,26 @@ def _(spark, d):
     return rows.select("doc_id", S.severity_rank(F.col("severity")).alias("top"))
 
 
+def _active(external: list[R.Rule]) -> list[R.Rule]:
+    """The merge of rule packs, one rule after the other."""
+    kept: list[R.Rule] = []
+    for r in external:
+        if all(r.id != k.id and r.pattern != k.pattern for k in kept):
+            kept.append(r)
+    return kept + [r for r in R.INJECTION if r.id not in {k.id for k in kept}]
+
+
+ACTIVE = _active(R.pack([*packs.INJECTION_DEFAULT, *packs.INJECTION_TRANSLATED]))
+ACTIVE_TEXTS = examples(ACTIVE)
+
+
+@query("r4_active_rules", f"WITH p AS (SELECT * FROM {planted_sql('documents', 'doc_id', 'text', ACTIVE_TEXTS)}) SELECT doc_id, rule_id, severity, match FROM (" + scan_sql("p", "doc_id", "text", ACTIVE) + ")")
+def _(spark, d):
+    """Texts against the rules that a full tier has in use: packs merged as tables, then joined with the texts."""
+    docs = planted(table(spark, d, "documents"), "doc_id", "text", ACTIVE_TEXTS)
+    return R.scan_table(docs, "text", R.active_injections(spark, active="full"), ["doc_id"]).select("doc_id", "rule_id", "severity", "match")
+
+
 @query("r8_back_test", f"WITH f AS ({scan_sql('documents', 'doc_id', 'text', R.EGRESS_PII + R.EGRESS_SECRET)}) SELECT rule_id, count(*) AS hits, count(l.toxic) AS labelled, avg(l.toxic) AS precision FROM f LEFT JOIN labels l ON l.doc_id = f.doc_id GROUP BY rule_id")
 def _(spark, d):
     return R.back_test(table(spark, d, "documents"), table(spark, d, "labels"), R.EGRESS_PII + R.EGRESS_SECRET, F.col("toxic") == 1)

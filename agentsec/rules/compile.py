@@ -176,7 +176,8 @@ def first_match(text: Column, rules: Sequence[Rule], value: str = "id") -> Colum
 # --- rule tables --------------------------------------------------------------------------------------------
 
 SCHEMA = "id string, category string, severity string, flags string, pattern string, description string, tier string, place int"
-CATEGORIES = ("instruction_override", "role_manipulation", "jailbreak", "context_manipulation")
+#: Categories of injection rules. Fixed values.
+CATEGORIES = ("instruction_override", "jailbreak", "encoding", "context_manipulation")
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule], tier: str | None = None) -> DataFrame:
@@ -185,11 +186,12 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule], tier: str | None = No
 
 
 def valid_rules(rules: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
-    """Without empty fields, unknown severities or categories, nested quantifiers, and patterns that don't compile."""
-    ok = (F.trim("id") != "") & (F.trim("pattern") != "") & F.col("severity").isin("CRITICAL", "HIGH", "MEDIUM", "LOW")
+    """Without rules that have no id or pattern, an unknown severity or category (none is fine), a quantifier right upon a quantified group, or a pattern that doesn't compile."""
+    absent = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    ok = ~absent("id") & ~absent("pattern") & (absent("severity") | F.col("severity").isin("CRITICAL", "HIGH", "MEDIUM", "LOW"))
     if categories:
-        ok = ok & F.col("category").isin(*categories)
-    nested = F.col("pattern").rlike(r"\([^)]*[+*][^)]*\)[+*]")
+        ok = ok & (absent("category") | F.col("category").isin(*categories))
+    nested = F.col("pattern").rlike(r"[+*{]\)[+*{]|[+*]\{")
     rules = rules.filter(ok & ~nested)
     # Control data: each pattern is tried once, on the driver, by the engine that will run it.
     patterns = [r["pattern"] for r in rules.select("pattern").distinct().limit(MAX_RULES + 1).collect()]
@@ -241,6 +243,14 @@ def with_fallback(external: DataFrame, bundled: DataFrame) -> DataFrame:
     return external.unionByName(bundled.join(external.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
 
+def active_injections(spark: SparkSession, manual: DataFrame | None = None, further: Sequence[DataFrame] = (), active: str = "plugin") -> DataFrame:
+    """The injection rules in use: manual ones (else the default pack), further tables and the translated pack of the active tier, valid ones, first wins; then the bundled rules whose id is none of theirs."""
+    own = rule_table(spark, pack(packs.INJECTION_DEFAULT)) if manual is None else manual
+    translated = rule_table(spark, pack(packs.INJECTION_TRANSLATED), "full")
+    merged = first_wins(valid_rules(own, CATEGORIES), *[in_tier(valid_rules(t, CATEGORIES), active) for t in (*further, translated)])
+    return with_fallback(merged, rule_table(spark, INJECTION))
+
+
 def memory_rules(external: Sequence[Rule] | None = None) -> list[Rule]:
     """The given pack, or else the fallback; persistence rules always; those that don't compile are dropped."""
     out = []

@@ -319,7 +319,6 @@ CODE_FAMILIES = {
     'ci_injection': ['\\$\\{\\{\\s*github\\.event\\.issue\\.title', '\\$\\{\\{\\s*github\\.event\\.issue\\.body', '\\$\\{\\{\\s*github\\.event\\.pull_request\\.title', '\\$\\{\\{\\s*github\\.event\\.pull_request\\.body', '\\$\\{\\{\\s*github\\.event\\.comment\\.body', '\\$\\{\\{\\s*github\\.head_ref', '\\$\\{\\{\\s*github\\.event\\.commits\\['],
 }
 CODE_KEYWORDS = {'sql': '(?i)\\b(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|EXEC|EXECUTE)\\b', 'command': '\\b(subprocess|os\\.system|os\\.popen|exec|eval|Function|child_process|spawn|execSync)\\b', 'prompt': '(?i)\\b(prompt|system_prompt|user_message|completion|chat)\\b'}
-FILE_OPERATIONS = '\\b(open|readFile|writeFile|unlink|rmdir|mkdir|rename)\\s*\\('
 
 #: (indicator, phrase, weight) of the heuristic score. Fixed values.
 HEURISTIC_PHRASES = [

@@ -570,3 +570,14 @@ def test_lines_of_large_files_are_numbered_over_splits(spark, tmp_path):
             assert memory.count() and linted.count()
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_active_injections(spark):
+    full = [r.id for r in R.active_injections(spark, active="full").collect()]
+    plugin = [r.id for r in R.active_injections(spark).collect()]
+    translated = {r[0] for r in packs.INJECTION_TRANSLATED}
+    assert len(full) == len(set(full)) and translated & set(full) and not translated & set(plugin)
+    assert {r[0] for r in packs.INJECTION_DEFAULT} | {r.id for r in R.INJECTION} == set(plugin)
+    own = R.rule_table(spark, [R.INJECTION[0]._replace(pattern="mine"), R.INJECTION[1]._replace(id="new", severity="BAD")])
+    got = {r.id: r.pattern for r in R.active_injections(spark, own).collect()}
+    assert got[R.INJECTION[0].id] == "mine" and "new" not in got and len(got) == len(R.INJECTION)
