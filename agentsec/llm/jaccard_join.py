@@ -11,7 +11,8 @@ n - ceil(3n/4) + 1 of each (the larger set), and of the smaller set one of the f
    contracted. This is only a head start: most near copies are one component before any pair is listed.
 3. Prefix tokens under the first order go to hash buckets; a bucket lists pairs of *different* components that
    share a token and fit in size. A token with more than GROUP documents lists none: its documents are compared
-   in blocks, with their sketches beside them, and only pairs that may link come out. A component with very many
+   in blocks, with their sketches beside them, and only pairs that may link come out; tokens of much the same
+   documents count as one token there. A component with very many
    documents on one token in a chunk is sent as one mark, and its rows are brought by a join where another
    component has that token too.
 4. Sketches of the sets, counts in hash cells, drop pairs that cannot overlap enough. A pair must then share prefix
@@ -302,9 +303,25 @@ def block_survivors(side: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.n
     return both.min(axis=0), both.max(axis=0)
 
 
+def merged_tokens(rows: DataFrame) -> DataFrame:
+    """The `rows` (token, doc, comp, n, idx) of tokens with two components or more, tokens of much the same documents made one.
+
+    A token's lead is the least hash of its documents, so that tokens of one passage or one group of copies mostly share it. They become one token,
+    with each document once, where that takes no more comparisons than they take alone. Documents that share a token share what it became.
+    """
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.xxhash64("doc")).alias("lead")).filter("lo < hi")
+    known = materialize(rows.join(sizes.select("token", "c", "lead"), "token"), "shared")
+    together = materialize(known.groupBy("lead", "doc").agg(F.min("comp").alias("comp"), F.min("n").alias("n"), F.max("idx").alias("idx")), "together")
+    alone = known.groupBy("lead").agg(F.sum("c").alias("alone"))  # a token of c documents adds its c, c times
+    verdict = materialize(together.groupBy("lead").agg(F.count(F.lit(1)).alias("u")).join(alone, "lead").select("lead", (F.col("u") * F.col("u") <= F.col("alone")).alias("merge")), "verdict")
+    merged = together.join(verdict.filter("merge"), "lead").select(F.col("lead").alias("token"), "doc", "comp", "n", "idx")
+    return merged.union(known.join(verdict.filter("NOT merge"), "lead").select("token", "doc", "comp", "n", "idx"))
+
+
 def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of different components that share a token of many documents (token, doc, comp, n, idx) and may link."""
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = merged_tokens(rows)
+    sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     known = rows.join(sizes, "token").join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("i", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     dealt = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)

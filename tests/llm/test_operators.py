@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -398,6 +398,26 @@ def test_jaccard_join_against_brute_force(spark, texts, monkeypatch, settings):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_merged_tokens_lose_no_shared_pair(spark):
+    rng = random.Random(5)
+    holders = {t: rng.sample(range(40), 12) for t in range(30)}
+    holders |= {100 + t: list(range(20)) for t in range(6)}  # one passage: six tokens of the same documents
+    holders[200] = [50, 52, 54]  # one component only
+    comp = {d: d % 2 for d in range(60)}
+    rows = [(t, d, comp[d], 10 + d, (t + d) % 3 == 0) for t, ds in holders.items() for d in ds]
+    got = collected(jaccard_join.merged_tokens(spark.createDataFrame(rows, "token long, doc long, comp long, n long, idx boolean").repartition(3)))
+    units = defaultdict(dict)
+    for r in got:
+        assert r.doc not in units[r.token] and (r.comp, r.n) == (comp[r.doc], 10 + r.doc)
+        units[r.token][r.doc] = r.idx
+    assert not any({50, 52, 54} & set(u) for u in units.values())
+    assert len(units) <= len(holders) - 6 and sum(map(len, units.values())) < len(rows)
+    for t, ds in holders.items():
+        if t != 200:
+            idx = {d: (t + d) % 3 == 0 for d in ds}
+            assert any(all(d in u and u[d] >= idx[d] for d in ds) for u in units.values())
+
+
 def test_jaccard_join_of_nothing(none):
     assert jaccard_join.link_documents(none).count() == 0
 
