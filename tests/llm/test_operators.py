@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -116,6 +117,59 @@ def test_pii_spans(spark, docs, none):
     assert masked[1] == "mail [EMAIL] now" and masked[3] is None and masked[6] == "nothing"
 
 
+def plain_classifier(found):
+    """Probability by (kind, votes), from a Counter of (kind, code): the same estimate, one pattern and one labeler at a time."""
+    out = {}
+    for kind in {k for k, _ in found}:
+        rows = [([code // 3 ** (pii.LABELERS - 1 - j) % 3 for j in range(pii.LABELERS)], n) for (k, code), n in sorted(found.items()) if k == kind]
+        prior, start = 0.5, [0.6, 0.3, 0.1]
+        rates = {(c, j, v): start[v if c == 0 else 2 - v] for c in (0, 1) for j in range(pii.LABELERS) for v in range(3)}
+        for _ in range(pii.EM_ROUNDS):
+            post = []
+            for votes, _n in rows:
+                no, yes = 1 - prior, prior
+                for j, v in enumerate(votes):
+                    no, yes = no * rates[0, j, v], yes * rates[1, j, v]
+                post.append(yes / (no + yes))
+            total, positive = sum(n for _, n in rows), sum(n * q for (_, n), q in zip(rows, post))
+            prior = min(max((positive + 1) / (total + 2), 0.01), 0.99)
+            for c, j, v in rates:
+                share = [n * (q if c else 1 - q) for (_, n), q in zip(rows, post)]
+                hits = sum(w for w, (votes, _n) in zip(share, rows) if votes[j] == v)
+                rates[c, j, v] = (hits + 5 * start[v if c == 0 else 2 - v]) / (sum(share) + 5)
+        w = [0.1] * pii.LABELERS + [0.0]
+        at = lambda votes: 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, [*(v - 1 for v in votes), 1]))))
+        for _ in range(300):
+            off = [n * (q - at(votes)) / total for (votes, n), q in zip(rows, post)]
+            w = [x + 2.0 * (sum(o * [*(v - 1 for v in votes), 1][j] for o, (votes, _n) in zip(off, rows)) - 0.001 * x) for j, x in enumerate(w)]
+        out |= {(kind, code): at([code // 3 ** (pii.LABELERS - 1 - j) % 3 for j in range(pii.LABELERS)]) for k, code in found if k == kind}
+    return out
+
+
+def test_pii_rows_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    parts = ["jo@x.org", "call (415) 555-2671", "tel 415-555-2671", "serial 415-555-2671", "invoice 020-111-3333", "ann [at] mail [dot] com", "4111 1111 1111 1111", "order 4111111111111111",
+             "host 10.1.2.3", "version 1.2.3.400", "+1 (269) 555-3296", "fe80:0:0:0:1:2:3:4", "é", "plain words"]
+    rows = [(k, " ".join(rng.choices(parts, k=rng.randrange(0, 9)))) for k in range(150)] + [(900, None), (901, "")]
+    found, every = Counter(), {}
+    for i, t in rows:
+        base = plain_base(t or "")
+        more = pii.wide_spans(t or "", base)
+        every[i] = (base, [(x, x[1], pii.votes(t, x, False)) for x in more])
+        found.update([(x[1], pii.votes(t, x, True)) for x in base] + [(k, v) for _, k, v in every[i][1]])
+    keep = plain_classifier(found)
+    assert min(abs(q - pii.ACCEPT) for q in keep.values()) > 1e-9
+    name = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    got = collected(pii.scan_documents(frame(spark, rows).repartition(5)))
+    assert len(got) == len(rows)
+    for r in got:
+        base, more = every[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(name(base).encode()).hexdigest()
+        assert r.spans == name(sorted(base + [x for x, k, v in more if keep[k, v] >= pii.ACCEPT]))
+    assert 0 < sum(keep[k, v] >= pii.ACCEPT for _, more in every.values() for _, k, v in more)
+
+
 def test_reliabilities_separate_good_from_bad_votes():
     good, bad = int("222122", 3), int("100100", 3)
     table = pii.fit_votes(np.array([3, 3]), np.array([good, bad]), np.array([500, 300]))
@@ -358,6 +412,33 @@ def test_toxicity_learns_words_and_skips_held_out_labels(spark, none):
     assert toxicity.score_toxicity(none, lab).count() == 0
 
 
+def test_ftrl_equals_a_plain_version():
+    rng = random.Random(8)
+    rows = [(np.unique(rng.choices(range(60), k=12)).astype(np.int64), int(rng.random() < 0.4)) for _ in range(200)]
+    rows = [(np.append(s, 99) if y else s, y) for s, y in rows]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            slots, y = rows[k]
+            names = ["bias", *slots.tolist()]
+            w = {i: weight(i) for i in names}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (toxicity.POSITIVE_WEIGHT if y else 1.0)
+            for i in names:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    bias, at, found = toxicity.ftrl(rows, epochs=3)
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert 0 < len(want) < 61 and 99 in want  # L1 leaves few
+    assert dict(zip(at.tolist(), found)) == pytest.approx(want) and bias == pytest.approx(weight("bias"))
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------
 def plain_components(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
