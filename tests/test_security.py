@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,13 @@ def test_session_window_has_all_sessions_and_events(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_blocks_of_time_are_never_broadcast(spark):
+    e = security_events(spark, SF)
+    for df in (A.in_session_window(e, A.session_summary(e)), A.window_counts(e, A.session_summary(e))):
+        joins = re.findall(r"(\w+Join) \[(?:level|block)#", df._jdf.queryExecution().executedPlan().toString())
+        assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_sessions_without_bounds_get_the_last_rows(spark):
     t = lambda m: dt.datetime(2024, 1, 1, 10, m)
     rows = spark.createDataFrame([(k, t(k)) for k in range(30)] + [(30, t(29))], "id long, ts timestamp").repartition(4)
