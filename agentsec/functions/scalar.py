@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,15 +88,31 @@ def call_cost(tokens_in: Column, tokens_out: Column) -> Column:
 # --- text ---------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+#: Letters and signs beyond ASCII that NFKC leaves as they are and never joins to what stands before them. Not all, but most of what texts hold.
+STABLE = r"\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{400}-\x{482}\x{48A}-\x{52F}\x{5D0}-\x{5EA}\x{621}-\x{64A}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{20A9}-\x{20C0}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+UNSTABLE = rf"[[^\x00-\x7F]&&[^{STABLE}]]"
+#: What NFKC may change, with the character before it; it changes each of these by itself.
+PIECE = rf"[^\n]?{UNSTABLE}+"
+
+
+@F.udf(T.StringType(), useArrow=False)  # rows go in batches of a hundred, where Arrow's hold ten thousand texts
+def _nfkc(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFKC", text)
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC. Python gets only the pieces that may change, a line each."""
+    unstable = text.rlike(UNSTABLE)
+    pieces = F.split(_nfkc(F.when(unstable, F.array_join(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), "\n"))), "\n", -1)
+    rest = F.split(text, PIECE, -1)
+    changed = F.concat(F.get(rest, F.lit(0)), F.array_join(F.zip_with(pieces, F.slice(rest, F.lit(2), F.size(rest)), lambda p, r: F.concat(p, r)), ""))
+    return F.when(unstable, changed).otherwise(text)
 
 
 def normalise_unicode(text: Column) -> Column:
     """NFKC, look-alike letters to ASCII, invisible characters away. ASCII text never enters Python's part."""
     letters, plain = packs.HOMOGLYPHS
-    folded = F.regexp_replace(F.translate(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), letters, plain), INVISIBLE, "")
+    folded = F.regexp_replace(F.translate(nfkc(text), letters, plain), INVISIBLE, "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
