@@ -70,21 +70,27 @@ def consecutive(calls: DataFrame) -> DataFrame:
 
 #: Rows of a session from which on it is cut into blocks of about so many; blocks of a session at most.
 BLOCK_ROWS, MAX_BLOCKS = 1_000_000, 1000
+#: Bounds of blocks that are sent to every task, so that no session's rows meet in one task to get them; above, Spark shuffles.
+SENT_BOUNDS = 2_000_000
 
 
 def with_blocks(calls: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`calls` with `_block`: 0, 1, ... in the order of ts inside a session of more than `block_rows` rows, else 0. Equal times share a block."""
     sizes = calls.groupBy(BY).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    parts = min(MAX_BLOCKS, -(-largest // block_rows))
+    largest, many = sizes.agg(F.max("_n"), F.count_if(F.col("_n") > block_rows)).first()
+    parts = min(MAX_BLOCKS, -(-(largest or 0) // block_rows))
     if parts < 2:
         return calls.withColumn("_block", F.lit(0))
     hot = sizes.filter(F.col("_n") > block_rows).select(F.col(BY).alias("_s"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    large = calls.join(hot, F.col(BY).eqNullSafe(F.col("_s")))
+    small = F.broadcast if many * parts <= SENT_BOUNDS else lambda df: df
+    large = calls.join(small(hot), F.col(BY).eqNullSafe(F.col("_s")))
     bounds = large.groupBy("_s").agg(F.percentile_approx(micros, [k / parts for k in range(1, parts)], 10 * MAX_BLOCKS).alias("_bounds"))
-    block = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<bigint>")), lambda b: b < micros))
-    return calls.join(bounds, F.col(BY).eqNullSafe(F.col("_s")), "left").withColumn("_block", F.coalesce(F.when(micros.isNull(), -1).otherwise(block), F.lit(0))).drop("_s", "_bounds")
+    out = calls.join(small(bounds), F.col(BY).eqNullSafe(F.col("_s")), "left").withColumn("_block", F.lit(0))
+    # How many bounds lie before a row, by halving: a step looks at one bound.
+    for step in (1 << k for k in reversed(range((parts - 1).bit_length()))):
+        out = out.withColumn("_block", F.col("_block") + F.when(F.get("_bounds", F.col("_block") + (step - 1)) < micros, step).otherwise(0))
+    return out.withColumn("_block", F.when(micros.isNull(), -1).otherwise(F.col("_block"))).drop("_s", "_bounds")
 
 
 def running_in_blocks(blocked: DataFrame, values: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -103,6 +109,13 @@ def running_in_blocks(blocked: DataFrame, values: dict[str, tuple[str, Column]])
     return out.drop("_s", "_k", *[f"_v_{n}" for n in values], *[f"_p_{n}" for n in values])
 
 
+def least_of_session(blocked: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """`blocked` with the least value of the whole session: name -> expression. Rows meet them by block, as a session's rows would fill one task."""
+    sums = blocked.groupBy(BY, "_block").agg(*[F.min(v).alias(name) for name, v in values.items()])
+    least = sums.select(F.col(BY).alias("_s"), F.col("_block").alias("_k"), *[F.min(name).over(Window.partitionBy(BY)).alias(name) for name in values])
+    return blocked.join(least, F.col(BY).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_k"))).drop("_s", "_k")
+
+
 def consecutive_in_blocks(blocked: DataFrame) -> DataFrame:
     """`consecutive` of a blocked table: a run that began in a block before goes on where all rows of the block so far have one tool."""
     inside = Window.partitionBy(BY, "_block").orderBy(*ORDER)
@@ -140,17 +153,17 @@ def all_in_blocks(calls: DataFrame, detected: Column, near_miss: Column, block_r
     seen = F.when(detected, F.col("ts"))
     rows = running_in_blocks(blocked, sums | {"taint_level": ("max", F.col("call_level")), "first_detection": ("first", seen), "last_detection": ("last", seen)})
     rows = cut_lineage(consecutive_in_blocks(cut_lineage(rows)))
-    # A rise: the level is new in the session, so the first row that has it; the rows of each level are pre-aggregated.
-    first_of = rows.filter("call_level > 0").groupBy(F.col(BY).alias("_s"), F.col("call_level").alias("_l")).agg(F.min(F.struct(*ORDER)).alias("_first"))
-    rises = F.col("_first").isNotNull() & (F.struct(*ORDER) == F.col("_first")) & (F.col("call_level") == F.col("taint_level"))
-    rows = rows.join(first_of, F.col(BY).eqNullSafe(F.col("_s")) & (F.col("call_level") == F.col("_l")), "left")
+    # A rise: the level is new in the session, so the first row that has it.
+    places = F.struct(*ORDER)
+    rows = least_of_session(rows, {f"_first{k}": F.when(F.col("call_level") == k, places) for k in (1, 2, 3)})
+    rises = (F.col("call_level") == F.col("taint_level")) & F.coalesce(*[F.when(F.col("call_level") == k, places == F.col(f"_first{k}")) for k in (1, 2, 3)], F.lit(False))
     source = F.coalesce("file_path", F.concat(F.lit("command:"), F.substring("command", 1, 60)))
-    rows = rows.withColumns({"_source": F.when(rises, source), "_time": F.when(rises, F.col("ts"))}).drop("_s", "_l", "_first")
-    rows = running_in_blocks(rows, {"taint_source": ("last", F.col("_source")), "taint_time": ("last", F.col("_time"))}).drop("_source", "_time", "_block")
+    rows = rows.withColumns({"_source": F.when(rises, source), "_time": F.when(rises, F.col("ts"))}).drop("_first1", "_first2", "_first3")
+    rows = running_in_blocks(rows, {"taint_source": ("last", F.col("_source")), "taint_time": ("last", F.col("_time"))}).drop("_source", "_time")
     rows = cut_lineage(rows)
     # The call at which each spend threshold is first passed, and from these the levels in closed form, as in `spend`.
-    reached = rows.groupBy(F.col(BY).alias("_s")).agg(*[F.min(F.when(F.col("total_cost") >= x, F.col("calls"))).alias(f"_f{k}") for k, x in enumerate(levels)])
-    rows = rows.join(reached, F.col(BY).eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("calls", "_calls").withColumn("calls", F.col("_calls")).drop("_calls")
+    rows = least_of_session(rows, {f"_f{k}": F.when(F.col("total_cost") >= x, F.col("calls")) for k, x in enumerate(levels)})
+    rows = rows.drop("_block").withColumnRenamed("calls", "_calls").withColumn("calls", F.col("_calls")).drop("_calls")
     at, before = [], None
     for k in range(len(levels)):
         before = F.col(f"_f{k}") if before is None else F.when(F.col(f"_f{k}").isNotNull() & before.isNotNull(), F.greatest(F.col(f"_f{k}"), before + 1))

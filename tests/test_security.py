@@ -549,6 +549,20 @@ def test_sessions_in_blocks_equal_the_windows(spark):
     assert W.all_in_blocks(hot.limit(0), detected, near).count() == 0
 
 
+def test_blocks_are_found_by_halving(spark):
+    t = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k // 2)
+    rows = spark.createDataFrame([(k, "hot", t(k)) for k in range(600)] + [(600, "hot", None), (601, "cold", t(1))], "id long, session_id string, ts timestamp")
+    for size in (601, 300, 100, 20, 1):
+        blocked = W.with_blocks(rows, size)
+        assert "lambda" not in plan_of(blocked)  # no pass over all bounds for each row
+        got = {r.id: r._block for r in blocked.collect()}
+        parts = min(W.MAX_BLOCKS, -(-601 // size))
+        bounds = [k // 2 for k in sorted(range(600))]
+        edges = [bounds[max(0, -(-600 * k // parts) - 1)] for k in range(1, parts)]
+        assert got[601] == 0 and got[600] == (-1 if parts > 1 else 0)
+        assert all(abs(got[k] - sum(b < k // 2 for b in edges)) <= 2 for k in range(600)) and len(set(got.values())) >= min(parts, 300)
+
+
 def test_an_injection_without_severity_is_medium(spark):
     base = spark.createDataFrame([(k, "s", dt.datetime(2024, 1, 1, 0, k), "injection", sev) for k, sev in enumerate(["HIGH", None, "", "LOW"])], "id long, session_id string, ts timestamp, log string, severity string")
     rows = base.withColumns({"policy_matched": F.lit("none"), "detected": F.lit(True), "classification": F.lit("STANDARD"), "decision": F.lit("ALLOW"), "n_findings": F.lit(0), "reverted": F.lit(False)})
