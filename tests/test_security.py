@@ -195,6 +195,40 @@ def test_blocks_of_time_are_never_broadcast(spark):
         assert joins and set(joins) == {"SortMergeJoin"}
 
 
+def shuffled_rows(df):
+    """Rows that the run of `df` wrote to shuffles."""
+    df.collect()
+
+    def of(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        return (node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0) + sum(map(of, below))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_session_window_shuffles_by_input_not_by_pairs(spark):
+    e = security_events(spark, SF)
+    sessions = A.session_summary(e)
+    assert 0 < shuffled_rows(A.in_session_window(e, sessions)) < 4 * e.count() + 200 * sessions.count()
+    # nothing begins or ends in the middle: its rows are sent once
+    t = dt.datetime(2024, 1, 1)
+    rows = spark.range(5000).select("id", (F.lit(t) + F.expr("make_dt_interval(10, 0, 0, id)")).alias("ts"))
+    long = spark.createDataFrame([(f"s{k}", t + dt.timedelta(minutes=k), t + dt.timedelta(days=30, minutes=k)) for k in range(5)], "session_id string, started_at timestamp, ended_at timestamp")
+    assert 5000 <= shuffled_rows(A.in_session_window(rows, long)) < 5000 + 200 * 5
+
+
+def test_units_are_filled_once_by_blocks(spark):
+    rng = __import__("random").Random(5)
+    spans = [(a, a + n) for a, n in [(rng.randrange(-4000, 4000), rng.choice([1, 2, 31, 32, 33, 64, 100, 1023, 1024, 3000])) for _ in range(60)] + [(0, 1024), (32, 64), (-1024, 1024), (5, 6)]]
+    df = spark.createDataFrame(spans, "a long, b long")
+    for levels in ([0], [0, 3], [0, 5, 9], [0, 5, 10, 11]):
+        for r in df.select("a", "b", A._filled(F.col("a"), F.col("b"), levels).alias("p")).collect():
+            units = sorted(u for level, block in r.p for u in range(block << level, (block + 1) << level))
+            assert units == list(range(r.a, r.b)) and {level for level, _ in r.p} <= set(levels)
+            assert len([1 for level, _ in r.p if level < levels[-1]]) <= sum(2 << (up - k) for k, up in zip(levels, levels[1:]))
+
+
 def test_sessions_without_bounds_get_the_last_rows(spark):
     t = lambda m: dt.datetime(2024, 1, 1, 10, m)
     rows = spark.createDataFrame([(k, t(k)) for k in range(30)] + [(30, t(29))], "id long, ts timestamp").repartition(4)
